@@ -1,8 +1,9 @@
 """SimHash near-duplicates, all pairs within the radius found by covering locality-sensitive hashing.
 
 Bit i of a fingerprint has a code m(i) of radius + 1 bits. For each non-zero v of as many bits, table v keeps the
-fingerprint's bits whose code has an even number of ones in common with v. Codes of up to ``radius`` differing bits
-do not span the space, so some v is orthogonal to all of them: in that table the two fingerprints are equal.
+fingerprint's bits whose code has an odd number of ones in common with v. Codes of up to ``radius`` differing bits
+do not span the space, so some v has an even number in common with each: that table keeps none of these bits, and
+the two fingerprints are equal in it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def masks(radius: int = RADIUS) -> list[int]:
     code = [i % n + 1 for i in range(64)]
     out = []
     for v in range(1, n + 1):
-        m = sum(1 << i for i in range(64) if (code[i] & v).bit_count() % 2 == 0)
+        m = sum(1 << i for i in range(64) if (code[i] & v).bit_count() % 2)
         out.append(m - (1 << 64) if m >> 63 else m)
     return out
 
