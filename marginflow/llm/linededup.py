@@ -44,13 +44,14 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = checkpointed(lines.select("d", "th", "pos", "i", "h", least.alias("least")))
 
     grams = lines.where("least IS NOT NULL").select("d", "th", F.expr("-least.i AS i"), F.col("least.g").alias("g")).distinct()
-    first = grams.groupBy("g").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "th", "i")).alias("first")).where("times > 1").select("g", "first")
+    # written first, so that the join can split a gram that very many documents share
+    first = checkpointed(grams.groupBy("g").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "th", "i")).alias("first")).where("times > 1").select("g", "first"))
     before = Window.partitionBy("d", "th", "g").orderBy("i")
     links = grams.withColumn("own", F.lag("i").over(before)).join(first, "g").where("own IS NOT NULL OR struct(d, th, i) <> first")
     links = links.select("d", "th", "i", F.expr("IF(own IS NULL, first.d, d) AS d0"), F.expr("IF(own IS NULL, first.th, th) AS th0"), F.expr("i - coalesce(own, first.i) AS shift"))
 
     # lines that occur once end every match, so only stretches of repeated lines are looked at
-    common = lines.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    common = checkpointed(lines.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"))
     kept = lines.select("d", "th", "pos", "i", "h").join(common, "h")
     kept = checkpointed(kept.select("*", (F.col("i") - F.row_number().over(doc.orderBy("i"))).alias("stretch")))
 
