@@ -23,8 +23,10 @@ def ieee_divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
 
 
-def power(a: Column, b: Column) -> Column:
-    """a ^ b; 1 to any power is 1, NaN included, as in C."""
+def power(a: Column, b: Column, constant: float | None = None) -> Column:
+    """a ^ b; 1 to any power is 1, NaN included, as in C. A square is a product, which is rounded correctly."""
+    if constant == 2:
+        return a * a
     return F.when(a == 1, F.lit(1.0)).otherwise(F.pow(a, b))
 
 

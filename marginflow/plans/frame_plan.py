@@ -89,7 +89,7 @@ class FramePlan:
         if kind == "/":
             return ieee_divide(a[0], a[1])
         if kind == "^":
-            return power(a[0], a[1])
+            return power(a[0], a[1], node.children[1].attrs.get("value"))
         if kind == "abs":
             return F.abs(a[0])
         if kind == "sqrt":
