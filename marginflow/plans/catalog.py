@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..formula.parser import parse_cached
 from ..operators.semantics import PROFILES, Profile, Semantics, profile_of
 from ..sources.signals import SignalFrame, embeddings_signal, events_signal, orders_signal
-from . import engine
+from . import engine, studies
 from .oracles import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,5 @@ for _name, _signal, _text, _point in GENERIC:
     _add(_name, _signal, _text, engine.generic(_point), profile_of(_point))
 for _method in ("true", "softmax", "logsumexp"):
     QUERIES[f"soft_{_method}"] = evaluated("embeddings", "G[0,3]((x >= -0.1) U[1,4] (x >= 0.1)) or F[0,2](x >= 0)", engine.soft(_method, 10.0))
+QUERIES |= studies.QUERIES
+ORACLES |= studies.ORACLES
