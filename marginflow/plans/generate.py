@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..formula import nodes as n
 from ..formula.analysis import has_equality, operators_in
 from ..formula.nodes import Node
+from ..sources.shipping import with_code
 from ..sources.signals import TIME, TRACE, SignalFrame
 from . import engine
 
@@ -139,7 +140,7 @@ def integrate(spark: SparkSession, model: Callable, inputs: DataFrame, step: flo
                     x = x + step / 6 * (a + 2 * b + 2 * d + e)
             yield pd.DataFrame(rows, columns=[TRACE, TIME, *states])
 
-    df = inputs.mapInPandas(run, f"{TRACE} long, {TIME} double, " + ", ".join(f"{s} double" for s in states))
+    df = with_code(inputs).mapInPandas(run, f"{TRACE} long, {TIME} double, " + ", ".join(f"{s} double" for s in states))
     return SignalFrame(df, states)
 
 

@@ -9,6 +9,7 @@ from ..formula import analysis
 from ..formula.nodes import Node, postorder
 from ..operators import kernels as k
 from ..operators.semantics import BIG_M, EQUALITY_TOLERANCE, Profile
+from ..sources.shipping import with_code
 from ..sources.signals import TIME, TRACE
 
 #: Samples evaluated at a time; a trace is never split.
@@ -168,5 +169,5 @@ def evaluate(df: DataFrame, variables: tuple[str, ...], formula: Node, nodes: li
         if held:
             yield table(pa.Table.from_batches(held))
 
-    rows = df.select(TRACE, TIME, *used).repartition(TRACE).sortWithinPartitions(TRACE, TIME)
+    rows = with_code(df).select(TRACE, TIME, *used).repartition(TRACE).sortWithinPartitions(TRACE, TIME)
     return rows.mapInArrow(run, ", ".join([f"{TRACE} {kind}, {TIME} double", *(f"{n} double" for n in names)]))

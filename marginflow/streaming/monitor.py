@@ -19,6 +19,7 @@ from ..formula.nodes import Node
 from ..operators.kernels import Batch
 from ..operators.semantics import Profile
 from ..plans.kernel_plan import Evaluator, check
+from ..sources.shipping import with_code
 from ..sources.signals import TIME, TRACE
 
 
@@ -80,4 +81,4 @@ def monitor(stream: DataFrame, variables: tuple[str, ...], formula: Node, profil
             held.update((float(t[k - 1]) if k else float(since), *(a[k:].tolist() for a in arrays)))
 
     columns = [TRACE, TIME, *used, *([ended] if ended else [])]
-    return stream.select(*columns).groupBy(TRACE).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+    return with_code(stream).select(*columns).groupBy(TRACE).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
