@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import with_code
+
 #: Longest word, in symbols, that is tokenised in one piece and may be remembered.
 MEMO_SYMBOLS = 256
 #: Most words remembered in a worker; the table is emptied when full.
@@ -29,9 +31,12 @@ MEMO_WORDS = 400_000
 #: Characters read at a time; a piece ends before white space.
 PIECE_CHARS = 1 << 16
 
+#: The pattern by which byte-level tokenizers cut text where their file gives none.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
-_NEXT_SPACE = regex.compile(r"\p{White_Space}")
+_NEXT_SPACE = regex.compile(r"(?<!\p{White_Space})\p{White_Space}")
 
 
 def byte_symbols() -> list[str]:
@@ -64,7 +69,13 @@ class MergeTable:
         self.normal = [s["type"] for s in steps.get("normalizers", [steps] if steps else [])]
         pre = spec.get("pre_tokenizer") or {}
         parts = pre.get("pretokenizers", [pre])
-        self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in parts if p.get("type") == "Split"))
+        split = next((p for p in parts if p.get("type") == "Split"), None)
+        own = any(p.get("type") == "ByteLevel" and p.get("use_regex") and not p.get("add_prefix_space") for p in parts)
+        if split is None and not own:
+            raise ValueError("expected a pre-tokenizer that splits by a pattern")
+        self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL)
+        #: Whether white space only separates words; else it is part of them.
+        self.drops_space = bool(split and split.get("behavior") == "Removed" and split.get("invert"))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (x, y) in enumerate(merges):
@@ -161,7 +172,7 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(table.added, key=len, reverse=True))) + ")") if table.added else None
 
     def _chunk(self, chunk: str) -> bytes:
-        words = self.table.pattern.findall(chunk)
+        words = self.table.pattern.findall(chunk) if self.table.drops_space else [chunk]
         out = b"".join([self.memo.get(w) or self._word(w) for w in words]) if len(words) > 1 else self._word(words[0]) if words else b""
         return self._remember(chunk, out)
 
@@ -191,6 +202,8 @@ class Encoder:
                 piece = unicodedata.normalize("NFC", piece)
             elif step == "Lowercase":
                 piece = (piece.replace("Σ", "σ") if "Σ" in piece else piece).lower()
+        if not self.table.drops_space:
+            return self.table.pattern.findall(piece)
         return [x for x in _SPACE.split(piece) if x] if _SEPARATORS.search(piece) else piece.split()
 
     def encode(self, text: str | None) -> Iterator[bytes]:
@@ -275,4 +288,4 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(lists, pa.list_(pa.int32()))] * ids, names=[*keep, *names, *["token_ids"] * ids])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["token_ids array<int>"] * ids])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, kinds)
+    return with_code(docs).select(*keep, F.col(text).alias("__text")).mapInArrow(run, kinds)

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import with_code
 from .common import checkpointed, components
 
 THRESHOLD = 0.9
@@ -127,7 +128,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             "n": pa.array(np.concatenate([counts[hit], np.zeros(len(span), np.int64)])),
         })
 
-    found = checkpointed(dealt.groupBy("dim", "lo", "hi").applyInArrow(tile, "a long, b long, n long"))
+    found = checkpointed(with_code(dealt).groupBy("dim", "lo", "hi").applyInArrow(tile, "a long, b long, n long"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("vh")).agg(F.sum("n").alias("n"))
     parts = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "vh")
     of = distinct.select("vh", "id", "times").join(parts, "vh", "left").join(counts, "vh", "left")

@@ -15,13 +15,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import with_code
 from .common import train_split
 
 BUCKETS = 1 << 16
 #: Labelled rows in the training sample, as expected number: rows are taken by hash of their id.
 SAMPLE_ROWS = 8192
-#: Below this score the nearest codeword is called ambiguous.
-CLEAR = 0.6
+#: Below this score, with no language as likely as the rest together, the nearest codeword is called ambiguous.
+CLEAR = 0.5
 #: Mean log-odds are multiplied by this before the logistic loss.
 STEEPNESS = 8.0
 #: Bytes scored at a time.
@@ -35,7 +36,7 @@ _ASCII_LETTER = re.compile(rb"[a-z]")
 def codewords(n: int) -> np.ndarray:
     """n rows of +1 and -1: every split of the languages for up to six, else hashed bits, 10 for each doubling."""
     if n <= 6:
-        return np.array([[1 if (s >> i) & 1 else -1 for s in range(1, 1 << max(0, n - 1))] for i in range(n)], np.int8).reshape(n, -1)
+        return np.array([[1 if (s >> i) & 1 else -1 for s in range(1, 1 << max(0, n - 1))] for i in range(n)], np.int8).reshape(n, (1 << max(0, n - 1)) - 1)
     bits, out = 10 * (n - 1).bit_length(), []
     for b in range(4 * bits):
         column = [1 if hashlib.sha256(f"{b}:{i}".encode()).digest()[0] & 1 else -1 for i in range(n)]
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    got = picked.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    got = with_code(picked).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     langs = sorted(set(got["lang"]))
     share_of = np.zeros((len(langs), BUCKETS))
     where = {x: i for i, x in enumerate(langs)}
@@ -176,4 +177,4 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(scores < CLEAR, pa.bool_())], names=[*keep, *names])
 
     kinds = ", ".join([*(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, ambiguous boolean"])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, kinds)
+    return with_code(docs).select(*keep, F.col("text").alias("__text")).mapInArrow(run, kinds)

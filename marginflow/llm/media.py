@@ -16,6 +16,8 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
+from ..sources.shipping import with_code
+
 UNIT = 576
 PAD = b"\xff"
 RATE = 8000
@@ -133,4 +135,4 @@ def media_columns(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names, *more])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_landmarks long, feature string", *["wav binary, frames array<int>, hashes array<int>"] * bodies])
-    return docs.select(*keep, text).mapInArrow(run, kinds)
+    return with_code(docs).select(*keep, text).mapInArrow(run, kinds)

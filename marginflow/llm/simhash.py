@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import with_code
 from .common import checkpointed, components
 
 RADIUS = 4
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=[doc_id, "fp"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, fp long")
+    return with_code(docs).select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, fp long")
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -143,7 +144,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
             out = forest(np.concatenate(held), radius)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.unionByName(dealt.mapInArrow(run, "a long, b long"))
+    return pairs.unionByName(with_code(dealt).mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
