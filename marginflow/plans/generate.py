@@ -43,7 +43,7 @@ def scaling_signals(spark: SparkSession, traces: int, samples: int, seed: int =
     """The scaling workload: times evenly over [0, 10], x and y standard normal."""
     s = random_signals(spark, traces, samples, 2, "iid_gaussian", seed)
     step = 10.0 / (samples - 1)
-    return SignalFrame(s.df.select(TRACE, (F.col(TIME) * step).alias(TIME), (F.col("x0") / 2).alias("x"), (F.col("x1") / 2).alias("y")), ("x", "y"))
+    return SignalFrame(s.df.select(TRACE, (F.col(TIME) * step).alias(TIME), (F.col("x0") / 2).alias("x"), (F.col("x1") / 2).alias("y")), ("x", "y"), 1 / step)
 
 
 def sweep_family(spark: SparkSession, prefix: dict[str, list[float]], swept: str, times: list[float], low: float = -5.0, high: float = 5.0, steps: int = 41) -> SignalFrame:

@@ -16,10 +16,12 @@ class SignalFrame:
     """A batch of multi-variable time series: columns ``trace_id``, ``t`` (double) and one double a variable.
 
     Each trace has its own grid. Times are unique and strictly increasing within a trace (``validate`` checks it).
+    density: samples a unit of time in the densest trace, if known (``measured``); it tells plans how long windows are.
     """
 
     df: DataFrame
     variables: tuple[str, ...]
+    density: float | None = None
 
     @classmethod
     def from_columns(cls, df: DataFrame, trace: str = TRACE, time: str = TIME, variables: Sequence[str] | None = None) -> SignalFrame:
@@ -89,6 +91,12 @@ class SignalFrame:
             raise ValueError("discrete semantics need one strictly increasing uniform time grid")
         return low
 
+    def measured(self) -> SignalFrame:
+        """The signal with its density, from one aggregation."""
+        span = F.max(TIME) - F.min(TIME)
+        each = self.df.groupBy(TRACE).agg(F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("d"))
+        return replace(self, density=each.agg(F.max("d")).first()[0] or 0.0)
+
     def with_df(self, df: DataFrame) -> SignalFrame:
         return replace(self, df=df)
 

@@ -233,3 +233,12 @@ def test_one_exchange_and_one_sort(ragged):
     df = robustness(parse("G[0,1](F[0.5,1.5](G[0,2](x>0)))"), ragged)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_long_windows_take_kernels(spark):
+    s = SignalFrame.from_dict(spark, list(range(20)), {"x": list(range(20))})
+    is_kernel = lambda r: "MapInArrow" in r.frame._jdf.queryExecution().optimizedPlan().toString()
+    wide, narrow = parse("G[0,1000](x > 0)"), parse("G[0,10](x > 0)")
+    assert not is_kernel(evaluate(wide, s)) and is_kernel(evaluate(wide, s.measured())) and not is_kernel(evaluate(narrow, s.measured()))
+    assert is_kernel(evaluate(wide, s, ProfileBackend("rtamt", PROFILES["rtamt"])))
+    assert values(evaluate(wide, s).robustness) == values(evaluate(wide, s.measured()).robustness)
