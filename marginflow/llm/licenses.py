@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,12 +104,16 @@ def license_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     if not bounds:
         raise ValueError("no template has two words")
     low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
-    lines = docs.select(*keep, F.posexplode(F.split(text, "\n")).alias("line", "__x"))
-    normal = F.btrim(F.regexp_replace("__l", r"[^\p{L}\p{M}\p{N}]+", " "))
-    some = F.lit(False)
-    for w in anchors(templates, threshold):
-        some = some | F.contains("__l", F.lit(w))
-    lines = lines.withColumn("__l", F.lower("__x")).where(some).select(*keep, "line", F.split(normal, " ").alias("__w"))
+    words = anchors(templates, threshold)
+
+    def near(line: Column) -> Column:
+        return reduce(Column.__or__, [F.contains(line["x"], F.lit(w)) for w in words], F.lit(False))
+
+    # lines without any of the words go before they are rows: a test below might be evaluated ahead of this one
+    numbered = F.transform(F.split(F.lower(text), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
+    lines = docs.select(*keep, F.explode(F.filter(numbered, near)).alias("__l")).select(*keep, F.col("__l.line").alias("line"), F.col("__l.x").alias("__x"))
+    normal = F.btrim(F.regexp_replace("__x", r"[^\p{L}\p{M}\p{N}]+", " "))
+    lines = lines.select(*keep, "line", F.split(normal, " ").alias("__w"))
     # distinct bigrams may be far fewer than words, so only the lower bound can be put on words
     lines = lines.where(F.size("__w") > low)
     pair = F.zip_with(F.slice("__w", 1, F.size("__w") - 1), F.slice("__w", 2, F.size("__w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
