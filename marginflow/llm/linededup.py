@@ -55,12 +55,15 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept = lines.select("d", "th", "pos", "i", "h").join(common, "h")
     kept = checkpointed(kept.select("*", (F.col("i") - F.row_number().over(doc.orderBy("i"))).alias("stretch")))
 
-    starts = links.join(kept.select("d", "th", "i", "stretch"), ["d", "th", "i"]).withColumnRenamed("i", "start")
-    here = starts.join(kept, ["d", "th", "stretch"]).select("d", "th", "d0", "th0", "shift", "pos", "i", "h", F.expr("i - shift AS i0"), (F.col("i") == F.col("start")).alias("hit"))
+    # each stretch of a document once for each shift at which one of its grams matches
+    starts = links.join(kept.select("d", "th", "i", "stretch"), ["d", "th", "i"])
+    shifts = starts.select("d", "th", "stretch", "d0", "th0", "shift").distinct()
+    here = shifts.join(kept, ["d", "th", "stretch"]).select("d", "th", "d0", "th0", "shift", "pos", "i", "h", F.expr("i - shift AS i0"))
     there = kept.select(F.col("d").alias("d0"), F.col("th").alias("th0"), F.col("i").alias("i0"), "h")
-    same = here.join(there, ["d0", "th0", "i0", "h"]).groupBy("d", "th", "d0", "th0", "shift", "pos", "i").agg(F.max("hit").alias("hit"))
+    same = here.join(there, ["d0", "th0", "i0", "h"]).select("d", "th", "d0", "th0", "shift", "i", "pos")
     match = ["d", "th", "d0", "th0", "shift"]
-    runs = same.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*match).orderBy("i")))
+    hits = links.select(*match, "i", F.lit(True).alias("hit")).distinct()
+    runs = same.join(hits, [*match, "i"], "left").withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*match).orderBy("i")))
     hit = F.max("hit").over(Window.partitionBy(*match, "run"))
     return runs.select("d", "th", "pos", hit.alias("hit")).where("hit").select("d", "th", "pos").distinct()
 
