@@ -237,6 +237,18 @@ def discriminates(probe: int, signatures: dict[str, Sequence[Signature]], config
     return any(not all(same_signature(g[0], s) for s in g[1:]) for g in groups.values())
 
 
+def axis_discriminators(signatures: dict[str, Sequence[Signature]], configs: dict[str, dict[str, str]]) -> dict[str, list[int]]:
+    """For each axis the probes that tell its options apart."""
+    n = len(next(iter(signatures.values())))
+    return {axis: [p for p in range(n) if discriminates(p, signatures, configs, axis)] for axis in next(iter(configs.values()))}
+
+
+def decode(observed: Sequence[Signature], signatures: dict[str, Sequence[Signature]], configs: dict[str, dict[str, str]]) -> dict[str, str | None] | None:
+    """The axes that an observed battery fixes, None for those it leaves open; None if no class matches it."""
+    match = [m for m, s in signatures.items() if all(same_signature(a, b) for a, b in zip(observed, s, strict=True))]
+    return resolved_axes([configs[m] for m in match]) if match else None
+
+
 def synthesize_battery(signatures: dict[str, Sequence[Signature]]) -> list[int]:
     """Few probes that separate all that all probes separate: greedy refinement, then those not needed dropped."""
     names, n = list(signatures), len(next(iter(signatures.values())))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..formula.nodes import Node, label, postorder
 from ..functions.scalars import close
-from ..operators.semantics import AXES, Semantics
+from ..operators.semantics import Semantics
 from ..sources.signals import TIME, TRACE, SignalFrame
 from . import engine
 
@@ -59,14 +59,15 @@ def _traces(source: Source, nodes: list[Node], side: str) -> tuple[DataFrame | N
     return frame, have
 
 
-def localize_results(formula: Node, a: Source, b: Source, *, atol: float = 1e-9) -> list[DivergentNode]:
+def localize_results(formula: Node, a: Source, b: Source, *, atol: float = 1e-9, arithmetic: bool = False, nan_equal: bool = False) -> list[DivergentNode]:
     """Minimal divergent nodes of two sets of traces of one formula, in post-order.
 
     One join by (trace, time) and one aggregation, whatever the number of nodes. Samples that one side lacks differ;
-    equal infinities agree; NaN agrees with nothing. A node that neither side has agrees, one that only one side has
-    differs from the first sample on.
+    equal infinities agree; NaN agrees with nothing, or with ``nan_equal`` with itself. A node that neither side has
+    agrees, one that only one side has differs from the first sample on. With ``arithmetic`` the walk goes down into
+    predicates' operands.
     """
-    nodes = list(postorder(formula, False))
+    nodes = list(postorder(formula, arithmetic))
     left, have_a = _traces(a, nodes, "a")
     right, have_b = _traces(b, nodes, "b")
     both = [i for i in range(len(nodes)) if have_a[i] and have_b[i]]
@@ -75,7 +76,8 @@ def localize_results(formula: Node, a: Source, b: Source, *, atol: float = 1e-9)
         joined = left.withColumn("__a", F.lit(1)).join(right.withColumn("__b", F.lit(1)), [TRACE, TIME], "full")
         place = F.row_number().over(Window.partitionBy(TRACE).orderBy(TIME)) - 1
         numbered = joined.withColumn("__i", place)
-        apart = lambda i: ~F.coalesce(close(F.col(f"a{i}"), F.col(f"b{i}"), atol), F.lit(False))
+        same = _same if nan_equal else close
+        apart = lambda i: ~F.coalesce(same(F.col(f"a{i}"), F.col(f"b{i}"), atol), F.lit(False))
         found = numbered.agg(*[F.min(F.when(apart(i), F.struct(TRACE, "__i"))).alias(f"m{i}") for i in both]).first()
         firsts = {i: (found[f"m{i}"][0], found[f"m{i}"][1]) for i in both if found[f"m{i}"] is not None}
     for i in range(len(nodes)):
@@ -85,16 +87,17 @@ def localize_results(formula: Node, a: Source, b: Source, *, atol: float = 1e-9)
     agrees: dict[int, bool] = {}
     out = []
     for i, n in enumerate(nodes):
-        below = all(agrees[number[id(c)]] for c in n.children)
+        below = all(agrees[number[id(c)]] for c in (n.operands if arithmetic else n.children))
         agrees[i] = below and i not in firsts
         if below and i in firsts:
             out.append(DivergentNode(n, i, n is formula, *firsts[i]))
     return out
 
 
-def localize(formula: Node, signal: SignalFrame, a: str | engine.Backend, b: str | engine.Backend, *, atol: float = 1e-9, registry: engine.BackendRegistry | None = None) -> list[DivergentNode]:
+def localize(formula: Node, signal: SignalFrame, a: str | engine.Backend, b: str | engine.Backend, *, atol: float = 1e-9, registry: engine.BackendRegistry | None = None, arithmetic: bool = False, nan_equal: bool = False) -> list[DivergentNode]:
     """Minimal divergent nodes of two backends over one signal."""
-    return localize_results(formula, engine.evaluate(formula, signal, a, registry=registry), engine.evaluate(formula, signal, b, registry=registry), atol=atol)
+    x, y = (engine.evaluate(formula, signal, s, registry=registry) for s in (a, b))
+    return localize_results(formula, x, y, atol=atol, arithmetic=arithmetic, nan_equal=nan_equal)
 
 
 def divergence_table(formula: Node, signal: SignalFrame, a: engine.Backend, b: engine.Backend, atol: float = 1e-9) -> DataFrame:
@@ -132,7 +135,3 @@ def responsible_axes(formula: Node, signal: SignalFrame, a: Semantics, b: Semant
 
 def _same(x: Column, y: Column, atol: float) -> Column:
     return close(x, y, atol) | (F.isnan(x) & F.isnan(y))
-
-
-def axes_of() -> dict[str, tuple[str, ...]]:
-    return AXES

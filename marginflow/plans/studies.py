@@ -305,3 +305,43 @@ def verdict_sweep(spark, folder):
     f = parse_cached("F[2,4](x >= 0)")
     of = lambda t: engine.robustness(f, s, _backend(t)).where(F.col(TIME) == 1).select(F.lit("sweep").alias("family"), F.col(TRACE).alias("member"), (F.col("rho") >= 0).alias("sat"))
     return analytics.flip_rate(of("rtamt"), of("stlcgpp"), ["member"])
+
+
+#: Diagnostics of a backend: axis, formula, times, values, sample that tells, and what each option shows there.
+DIAGNOSTICS = (
+    ("signal_model", "G[0,2](x >= 0)", [0, 1, 9], {"x": [1, 1, -9]}, 0, (("interpolated", -0.25), ("samples", 1.0))),
+    ("boundary", "F[2,4](x >= 0)", [0, 1], {"x": [5, 3]}, 0, (("clamp", 3.0), ("pessimistic", float("-inf")))),
+    ("terminal", "(x >= 0) and (y >= 0)", [0, 1], {"x": [5, -3], "y": [5, -3]}, 1, (("none", -3.0), ("extend_penultimate", 5.0))),
+    ("equality", "x == 3", [0, 1], {"x": [3, 2]}, 1, (("signed", -1.0), ("bigm", -1e4))),
+    ("predicate", "x - y >= 1", [0, 1], {"x": [5, 5], "y": [1, 1]}, 0, (("signed", 3.0), ("euclidean", 3 / 2**0.5))),
+    ("window", "G[0.5,1.5](x > 0)", [0, 2, 4], {"x": [-1, 10, -1]}, 1, (("endpoints", 1.75), ("samples", 10.0), ("empty", float("inf")))),
+)
+
+
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"('{b}', '{d}', '{x}')"
+        for b, found in (
+            ("native", ("interpolated", "clamp", "none", "signed", "signed", "endpoints")),
+            ("breach", ("samples", "clamp", "extend_penultimate", "bigm", "signed", "samples")),
+            ("taliro", ("samples", "pessimistic", "none", "NotImplementedError", "euclidean", "empty")),
+            ("rtamt", ("ValueError", "pessimistic", "none", "signed", "signed", "ValueError")),
+            ("stlcgpp", ("ValueError", "clamp", "none", "signed", "signed", "ValueError")),
+        )
+        for d, x in zip(("signal_model", "boundary", "terminal", "equality", "predicate", "window"), found, strict=True)
+    )
+    + ") v(backend, diagnostic, label)"
+)
+def backend_profile(spark, folder):
+    """What six small diagnostics show of each backend; expectations in SQL are stated by hand."""
+    rows = []
+    for tool in ("native", "breach", "taliro", "rtamt", "stlcgpp"):
+        for axis, text, times, values, sample, options in DIAGNOSTICS:
+            got = analytics.probe_signature(text, times, values, PROFILES[tool])
+            rows.append((tool, axis, float("nan") if got[:1] == ("raises",) else float(got[sample]), got[1] if got[:1] == ("raises",) else None))
+    df = spark.createDataFrame(rows, "backend string, diagnostic string, observed double, raised string")
+    label = F.lit("unknown")
+    for axis, *_, options in DIAGNOSTICS:
+        label = F.when(F.col("diagnostic") == axis, analytics.classify(F.col("observed"), options)).otherwise(label)
+    return df.select("backend", "diagnostic", F.coalesce("raised", label).alias("label"))

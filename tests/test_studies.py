@@ -131,3 +131,44 @@ def test_generic_sweep_in_spark(spark):
             assert evaluate(parse("G[0,1](x > 0) or F[1,2](x > 1)"), s, generic(p)).robustness.count() == 4
         except NotImplementedError:
             assert p.predicate == "euclidean"
+
+
+def test_localize_into_arithmetic(spark):
+    from marginflow.plans.kernel_plan import Evaluator
+
+    class Biased(Evaluator):
+        """A mutant: sums are off by one."""
+
+        def arithmetic(self, node, args):
+            out = super().arithmetic(node, args)
+            return out + 1 if node.kind == "+" else out
+
+    s = SignalFrame.from_dict(spark, [0, 1], {"x": [1, -2]})
+    f = parse("G[0,1](sqrt(x + 2) >= 0)")
+    mutant = ProfileBackend("mutant", PROFILES["native"], evaluator=Biased)
+    [d] = localize(f, s, of("native"), mutant, arithmetic=True, nan_equal=True)
+    assert d.node.kind == "+" and not d.is_root
+    [d] = localize(f, s, of("native"), mutant)
+    assert d.node.kind == "predicate"
+
+
+def test_primitives():
+    from marginflow.plans.engine import primitive
+
+    f = parse("G[0,2](x == 1) and (x > 0) U[1,2] (y > 0)")
+    window, until = f.children
+    assert primitive(window, PROFILES["native"]) == "min/interp/clamp" and primitive(window, PROFILES["rtamt"], 0.5) == "index_min/pessimistic[0,4]"
+    assert primitive(until, PROFILES["taliro"]) == "until/strict" and primitive(until, PROFILES["rtamt_dense"]) == "until/held"
+    assert primitive(window.children[0], PROFILES["breach"]) == "equality/bigm" and primitive(f, PROFILES["native"]) == "minimum"
+
+
+def test_decoding_a_backend():
+    from dataclasses import asdict
+
+    signatures = studies.battery_signatures()
+    configs = {p.key: asdict(p) for p in all_semantics()}
+    for tool, point in TOOL_POINTS.items():
+        found = analytics.decode(signatures[point.key], signatures, configs)
+        assert all(v in (None, asdict(point)[k]) for k, v in found.items()), tool
+    assert analytics.decode([(9.0,)] * 7, signatures, configs) is None
+    assert all(analytics.axis_discriminators(signatures, configs).values())
