@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import with_code
 from .common import train_split
 
 #: Labelled rows in the training sample, as expected number: rows are taken by hash of their id.
@@ -60,7 +61,7 @@ class Lexicon:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    curve: tuple[float, float, float] = (-4.0, 1.0, 0.0)
+    curve: tuple[float, float, float] = (-2.0, 1.5, 0.0)
     _machine: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
@@ -153,17 +154,17 @@ def _tally(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return with_code(rows).mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression with a little damping, by Newton's steps."""
+def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Logistic regression of rows that occur n times, with a little damping, by Newton's steps."""
     design, b = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
     damp = np.diag([1e-3, 1e-2, 1e-2])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
-        h = design.T @ (design * (p * (1 - p))[:, None]) + damp
-        step = np.linalg.solve(h, design.T @ (y - p) - damp @ b)
+        h = design.T @ (design * (n * p * (1 - p))[:, None]) + damp
+        step = np.linalg.solve(h, design.T @ (n * (y - p)) - damp @ b)
         b += step
         if np.abs(step).max() < 1e-8:
             break
@@ -214,9 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most
             got = [lexicon.features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), *(pa.array([g[i] for g in got], pa.float64()) for i in (0, 1))], names=["toxic", "x", "y"])
 
-    got = rows.select("toxic", "text").mapInArrow(features, "toxic int, x double, y double").orderBy("toxic", "x", "y").toArrow()
-    y = (got.column(0).to_numpy() == 1).astype(float)
-    lexicon.curve = _curve(np.column_stack([got.column(1).to_numpy(), got.column(2).to_numpy()]), y)
+    found = with_code(rows).select("toxic", "text").mapInArrow(features, "toxic int, x double, y double")
+    # equal rows are counted first; the driver puts the rest in order, so that sums don't depend on it
+    got = sorted(tuple(r) for r in found.groupBy("toxic", "x", "y").count().collect())
+    y, n = np.array([float(g[0] == 1) for g in got]), np.array([float(g[3]) for g in got])
+    lexicon.curve = _curve(np.array([g[1:3] for g in got]), y, n)
     return lexicon
 
 
@@ -246,4 +249,4 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(hits, pa.int64())], names=[*keep, *names])
 
     kinds = ", ".join([*(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int, n_matched long"])
-    return docs.select(*keep, text).mapInArrow(run, kinds)
+    return with_code(docs).select(*keep, text).mapInArrow(run, kinds)
