@@ -7,6 +7,8 @@ that is no link; the others are computed again in double precision.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,11 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.linalg.norm(unit - q * scale[:, None], axis=1) + SLACK
 
 
-def links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (i, j) of all pairs with cosine >= threshold, between x and y, or i < j within x."""
+def links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of all pairs with cosine >= threshold, between x and y, or i < j within x.
+
+    They come in parts of about a million products, ordered by i, so that a dense block needs no more memory.
+    """
     xs = x / np.linalg.norm(x, axis=1)[:, None]
     ys = xs if y is None else y / np.linalg.norm(y, axis=1)[:, None]
     qx, sx, ex = quantise(xs)
@@ -38,43 +43,45 @@ def links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[np.nda
     kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
     fx, fy = qx.astype(kind), qy.astype(kind).T.copy()
     # s_u s_v q.q >= threshold - (1 + e_u) e_v - e_u, the right side as low as any v of the block has it
-    most_e, out_i, out_j = ey.max(), [], []
-    step = max(1, (1 << 22) // max(1, len(ys)))
+    most_e, most_s = ey.max(), sy.max()
+    step = max(1, (1 << 20) // max(1, len(ys)))
     for at in range(0, len(xs), step):
         products = fx[at : at + step] @ fy
         part = slice(at, at + step)
-        floor = (threshold - (1 + ex[part]) * most_e - ex[part] - SLACK) / (sx[part] * (sy.max() if threshold > 0 else sy.min()))
-        i, j = np.nonzero(products >= floor[:, None].astype(kind) * (1 - 1e-6))
+        floor = (threshold - (1 + ex[part]) * most_e - ex[part] - SLACK) / sx[part]
+        # divided by the scale that makes it least, which depends on its sign
+        floor = np.where(floor > 0, floor / most_s, floor / sy.min()) - 1
+        i, j = np.nonzero(products >= floor[:, None].astype(kind))
         bound = (1 + ex[at + i]) * ey[j] + ex[at + i] + SLACK
         ok = products[i, j] * sx[at + i] * sy[j] + bound >= threshold
-        i, j = at + i[ok], j[ok]
         if y is None:
-            i, j = i[i < j], j[i < j]
-        for lo in range(0, len(i), 1 << 16):  # candidates in full precision
-            a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-            u, v = x[a], (x if y is None else y)[b]
-            cosine = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
-            out_i.append(a[cosine >= threshold])
-            out_j.append(b[cosine >= threshold])
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.empty(0, int), np.empty(0, int))
-
-
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """At most n - 1 of the pairs, which connect what all of them connect."""
-    root = list(range(n))
-
-    def find(k):
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[ra] = rb
-            out.append((a, b))
-    return out
+            ok &= at + i < j
+        i, j = at + i[ok], j[ok]
+        if not len(i):
+            continue
+        u, v = x[i], (x if y is None else y)[j]  # candidates in full precision
+        cosine = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
+        yield i[cosine >= threshold], j[cosine >= threshold]
+
+
+class Spanning:
+    """Keeps fewer links than rows, which connect what all links given connect."""
+
+    def __init__(self, n: int):
+        self.label, self.kept = np.arange(n), []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Links (i, j), ordered by i."""
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(i)], strict=True):
+            if lo == hi:
+                continue
+            others, first = np.unique(self.label[j[lo:hi]], return_index=True)
+            mine = self.label[i[lo]]
+            new = others != mine
+            if new.any():
+                self.kept += [(int(i[lo]), int(k)) for k in j[lo:hi][first[new]]]
+                self.label[np.isin(self.label, others[new])] = mine
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -91,7 +98,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         raise ValueError("the threshold has to be positive")
     values = F.col(embedding).cast("array<double>")
     fine = F.coalesce(F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(values, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(vec_id).alias("id"), F.when(fine, values).alias("v"))
+    # single precision stays so until it is in a tile: half the bytes to move
+    kept = F.col(embedding) if vectors.schema[embedding].dataType.simpleString() == "array<float>" else values
+    rows = vectors.select(F.col(vec_id).alias("id"), F.when(fine, kept).alias("v"))
     distinct = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
     distinct = checkpointed(distinct.select(F.xxhash64("v", F.lit(2)).alias("vh"), "id", "times", "v"))
     blocks = max(1, -(-distinct.count() // block_rows))
@@ -104,24 +113,17 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         dim, lo, hi = (k.as_py() for k in key)
         side = table.column("k").to_numpy()
         ids, times = table.column("vh").to_numpy(), table.column("times").to_numpy()
-        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), dim).astype(float)
         # the largest component scales to 1, so that neither squares overflow nor all of them vanish
         v = v / np.abs(v).max(1)[:, None]
-        a = np.flatnonzero(side == lo)
-        if lo == hi:
-            i, j = links(v, None, threshold)
-        else:
-            b = np.flatnonzero(side == hi)
-            if not len(a) or not len(b):
-                i, j = np.empty(0, int), np.empty(0, int)
-            else:
-                i, j = links(v[a], v[b], threshold)
-                i, j = a[i], b[j]
-        counts = np.zeros(len(ids), np.int64)
-        np.add.at(counts, i, times[j])
-        np.add.at(counts, j, times[i])
-        hit = np.flatnonzero(counts)
-        span = spanning(len(ids), i, j)
+        a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        counts, tree = np.zeros(len(ids), np.int64), Spanning(len(ids))
+        for i, j in links(v[a], v[b] if lo != hi else None, threshold) if len(a) and len(b) else ():
+            i, j = a[i], b[j]
+            np.add.at(counts, i, times[j])
+            np.add.at(counts, j, times[i])
+            tree.add(i, j)
+        hit, span = np.flatnonzero(counts), tree.kept
         return pa.table({
             "a": pa.array(np.concatenate([ids[hit], ids[[x for x, _ in span]] if span else ids[:0]])),
             "b": pa.array([None] * len(hit) + [int(ids[y]) for _, y in span], pa.int64()),

@@ -58,11 +58,40 @@ def test_bounds_hold_and_no_link_is_missed():
     bound = (1 + err)[:, None] * err[None] + err[:, None]
     assert (np.abs(u @ u.T - approx) <= bound).all()
     for t in (0.5, 0.9, 0.99):
-        i, j = e.links(x, None, t)
+        parts = list(e.links(x, None, t))
+        i, j = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         want = np.argwhere(np.triu(u @ u.T >= t, 1))
         assert sorted(zip(i, j)) == [tuple(w) for w in want]
 
 
 def test_spanning_links():
     i, j = np.triu_indices(6, 1)
-    assert len(e.spanning(6, i, j)) == 5
+    tree = e.Spanning(6)
+    tree.add(i, j)
+    assert len(tree.kept) == 5
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        i = np.sort(r.integers(0, 30, 20))
+        j = r.integers(0, 30, 20)
+        tree, root = e.Spanning(30), list(range(30))
+        tree.add(i[:9], j[:9])
+        tree.add(i[9:], j[9:])
+
+        def labels(pairs):
+            root = list(range(30))
+            for a, b in pairs:
+                root = [root[a] if x == root[b] else x for x in root]
+            return [root.index(x) for x in root]
+
+        assert labels(tree.kept) == labels(zip(i, j)) and len(tree.kept) == 30 - len(set(labels(zip(i, j))))
+
+
+def test_a_dense_tile_is_done_in_parts():
+    x = np.random.default_rng(3).normal(size=16) + np.random.default_rng(4).normal(size=(3000, 16)) * 0.01
+    counts, tree = np.zeros(3000, int), e.Spanning(3000)
+    for i, j in e.links(x, None, 0.9):
+        assert len(i) <= 1 << 20
+        np.add.at(counts, i, 1)
+        np.add.at(counts, j, 1)
+        tree.add(i, j)
+    assert (counts == 2999).all() and len(tree.kept) == 2999
