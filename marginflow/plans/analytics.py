@@ -23,12 +23,13 @@ def _pairs(results: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) ->
 
 
 def _square(upper: DataFrame, results: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Both orders of each pair, and 1 on the diagonal."""
+    """Both orders of each pair, 1 on the diagonal, null for pairs without a common result."""
     lower = upper.select(*by, F.col("backend_b").alias("backend_a"), F.col("backend_a").alias("backend_b"), value)
-    own = results.select(*by, "backend").distinct().select(*by, F.col("backend").alias("backend_a"), F.col("backend").alias("backend_b"), F.lit(1.0).alias(value))
-    every = results.select(*by, F.col("backend").alias("backend_a")).distinct().join(results.select(*by, F.col("backend").alias("backend_b")).distinct(), list(by)) if by else None
-    out = upper.select(*by, "backend_a", "backend_b", value).unionByName(lower).unionByName(own)
-    return every.join(out, [*by, "backend_a", "backend_b"], "left") if every is not None else out
+    # a set of backends a stratum
+    names = results.groupBy(*by).agg(F.sort_array(F.collect_set("backend")).alias("__n"))
+    every = names.select(*by, "__n", F.explode("__n").alias("backend_a")).select(*by, "backend_a", F.explode("__n").alias("backend_b"))
+    out = every.join(upper.select(*by, "backend_a", "backend_b", value).unionByName(lower), [*by, "backend_a", "backend_b"], "left")
+    return out.withColumn(value, F.when(F.col("backend_a") == F.col("backend_b"), 1.0).otherwise(F.col(value)))
 
 
 def scalar_matrix(results: DataFrame, atol: float = ATOL, rtol: float = RTOL, by: Sequence[str] = ()) -> DataFrame:

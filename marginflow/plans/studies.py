@@ -31,15 +31,26 @@ def _rho(spark: SparkSession, folder: str, tool: str, text: str = FORMULA) -> Da
     return engine.robustness(parse_cached(text), events_signal(spark, folder), _backend(tool))
 
 
+#: Formulas whose results are recorded, the second of which not every tool evaluates.
+RECORDED = (("inequality", FORMULA), ("equality", "not G[0,6](y == 5) and x >= 1"))
+
+
 def recorded(spark: SparkSession, folder: str) -> DataFrame:
-    """Results of the tools on users' traces, one of them declining some: a pair is a trace."""
+    """Results of the tools on all users' traces under both formulas: a pair is a formula and a trace. A tool that
+    rejects a formula abstains on each trace."""
     place = (F.row_number().over(Window.partitionBy(TRACE).orderBy(TIME)) - 1).cast("long")
+    signal = events_signal(spark, folder)
     out = None
-    for tool in TOOLS:
-        rho = _rho(spark, folder, tool).withColumn("t_idx", place)
-        declined = (F.lit(tool) == "taliro") & (F.col(TRACE) % 10 == 0)
-        part = rho.where(~declined | (F.col("t_idx") == 0)).select(F.col(TRACE).alias("pair_id"), F.array(F.lit("eventually"), F.when(F.col(TRACE) % 2 == 0, F.lit("not")).otherwise(F.lit("and"))).alias("operators"), (F.col(TRACE) % 3).alias("regime"), F.lit(tool).alias("backend"), F.when(declined, "abstain").otherwise("ok").alias("status"), F.when(declined, "NotImplementedError").alias("exc"), F.when(~declined, F.col("t_idx")).alias("t_idx"), F.when(~declined, F.col("rho")).alias("rho"))
-        out = part if out is None else out.unionByName(part)
+    for regime, text in RECORDED:
+        formula = parse_cached(text)
+        fixed = [F.concat_ws("-", F.lit(regime), TRACE).alias("pair_id"), F.array(*map(F.lit, sorted(analysis.operators_in(formula)))).alias("operators"), F.lit(regime).alias("regime")]
+        for tool in TOOLS:
+            try:
+                rho = engine.robustness(formula, signal, _backend(tool))
+                part = rho.withColumn("t_idx", place).select(*fixed, F.lit(tool).alias("backend"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("exc"), "t_idx", "rho")
+            except generate.ABSTAIN as e:
+                part = signal.df.select(TRACE).distinct().select(*fixed, F.lit(tool).alias("backend"), F.lit("abstain").alias("status"), F.lit(type(e).__name__).alias("exc"), F.lit(None).cast("long").alias("t_idx"), F.lit(None).cast("double").alias("rho"))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -47,9 +58,15 @@ def _one(tool: str, text: str = FORMULA) -> str:
     return f"({oracle('events', parse_cached(text), PROFILES[tool])})"
 
 
+_OPERATORS = {"inequality": "['eventually']", "equality": "['always', 'and', 'not']"}
 _RECORDED = " UNION ALL ".join(
-    f"SELECT trace_id AS pair_id, ['eventually', CASE WHEN trace_id % 2 = 0 THEN 'not' ELSE 'and' END] AS operators, trace_id % 3 AS regime, '{t}' AS backend, CASE WHEN d THEN 'abstain' ELSE 'ok' END AS status, CASE WHEN d THEN 'NotImplementedError' END AS exc, CASE WHEN NOT d THEN i END AS t_idx, CASE WHEN NOT d THEN rho END AS rho"
-    f" FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY t) - 1 AS i, '{t}' = 'taliro' AND trace_id % 10 = 0 AS d FROM {_one(t)}) WHERE NOT d OR i = 0"
+    f"SELECT '{regime}-' || trace_id AS pair_id, {_OPERATORS[regime]} AS operators, '{regime}' AS regime, '{t}' AS backend, "
+    + (
+        f"'abstain' AS status, 'NotImplementedError' AS exc, NULL::BIGINT AS t_idx, NULL::DOUBLE AS rho FROM (SELECT DISTINCT trace_id FROM ({SIGNALS['events']}))"
+        if (regime, t) == ("equality", "taliro")
+        else f"'ok' AS status, NULL AS exc, row_number() OVER (PARTITION BY trace_id ORDER BY t) - 1 AS t_idx, rho FROM {_one(t, text)}"
+    )
+    for regime, text in RECORDED
     for t in TOOLS
 )
 _MATCH = "(NOT isnan(a.rho) AND NOT isnan(b.rho) AND (a.rho = b.rho OR (NOT isinf(a.rho) AND NOT isinf(b.rho) AND abs(a.rho - b.rho) <= 1e-6 + 1e-6 * greatest(abs(a.rho), abs(b.rho)))))"
@@ -57,9 +74,10 @@ _MATCH = "(NOT isnan(a.rho) AND NOT isnan(b.rho) AND (a.rho = b.rho OR (NOT isin
 
 def _matrix(rate: str, by: str = "") -> str:
     c = f"{by}, " if by else ""
-    return f"""WITH r AS ({_RECORDED}), rate AS ({rate})
-SELECT {c}backend_a, backend_b, agreement FROM rate UNION ALL SELECT {c}backend_b, backend_a, agreement FROM rate
-UNION ALL SELECT DISTINCT {c}backend, backend, 1.0::DOUBLE FROM r"""
+    on = f"USING ({c}backend_a, backend_b)"
+    return f"""WITH r AS ({_RECORDED}), rate AS ({rate}), sides AS (SELECT * FROM rate UNION ALL SELECT {c}backend_b, backend_a, agreement FROM rate),
+n AS (SELECT DISTINCT {c}backend FROM r), every AS (SELECT {"a." + by + ", " if by else ""}a.backend AS backend_a, b.backend AS backend_b FROM n a JOIN n b ON {"a." + by + " = b." + by if by else "true"})
+SELECT {c}backend_a, backend_b, CASE WHEN backend_a = backend_b THEN 1.0::DOUBLE ELSE agreement END AS agreement FROM every LEFT JOIN sides {on}"""
 
 
 def query(sql: str | None = None):
