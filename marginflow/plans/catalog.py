@@ -10,7 +10,7 @@ from ..formula.parser import parse_cached
 from ..operators.semantics import PROFILES, Profile, Semantics, profile_of
 from ..sources.signals import SignalFrame, embeddings_signal, events_signal, orders_signal
 from . import engine, studies
-from .oracles import oracle
+from .oracles import held_until, held_window, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 SOURCES: dict[str, Callable[[SparkSession, str], SignalFrame]] = {"events": events_signal, "embeddings": embeddings_signal, "orders": orders_signal}
@@ -101,8 +101,7 @@ ORACLES: dict[str, str] = {}
 
 def _add(name: str, signal: str, text: str, backend: engine.ProfileBackend, profile: Profile) -> None:
     QUERIES[name] = evaluated(signal, text, backend)
-    # SQL states no backward recurrence over whole tables in useful time: the resampled and dense until go without
-    if profile.model in ("pl", "discrete") or profile.model == "dense" and "U[" not in text:
+    if profile.model != "zoh":
         ORACLES[name] = oracle(signal, parse_cached(text), profile)
 
 
@@ -110,7 +109,14 @@ for _name, _signal, _text, _profile in FORMULAS:
     _add(_name, _signal, _text, _backend(_profile), PROFILES[_profile])
 for _name, _signal, _text, _point in GENERIC:
     _add(_name, _signal, _text, engine.generic(_point), profile_of(_point))
+# the resampled grid, stated for the half steps of these three
+ORACLES["pymtl_always"] = held_window(True, 100000.0, 0, 3)
+ORACLES["pymtl_eventually"] = held_window(False, 100000.0, 2, 5)
+ORACLES["pymtl_until"] = held_until(50000.0, 150000.0, 2, 5, 1)
+SMOOTH = "G[0,3]((x >= -0.1) U[1,4] (x >= 0.1)) or F[0,2](x >= 0)"
 for _method in ("true", "softmax", "logsumexp"):
-    QUERIES[f"soft_{_method}"] = evaluated("embeddings", "G[0,3]((x >= -0.1) U[1,4] (x >= 0.1)) or F[0,2](x >= 0)", engine.soft(_method, 10.0))
+    QUERIES[f"soft_{_method}"] = evaluated("embeddings", SMOOTH, engine.soft(_method, 10.0))
+# exponentials differ in the last bit between libraries; true maxima don't
+ORACLES["soft_true"] = oracle("embeddings", parse_cached(SMOOTH), PROFILES["stlcgpp"])
 QUERIES |= studies.QUERIES
 ORACLES |= studies.ORACLES

@@ -121,6 +121,9 @@ class Oracle:
 
     def until(self, name: str, p: str, q: str, a: float, c: float) -> None:
         A, C, prefix = num(a), num(c), "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        if self.p.model == "dense":
+            self.until_held(name, p, q, a, c)
+            return
         if self.p.model == "discrete":
             s, e = round(a / self.step), round(c / self.step)
             seen = f"r.rn BETWEEN l.rn + {s} AND l.rn + {e}"
@@ -138,6 +141,44 @@ class Oracle:
         self.add(f"SELECT {last}.*, coalesce(u, '-inf'::DOUBLE) AS {name} FROM {last} LEFT JOIN (SELECT trace_id, t, max(c) AS u FROM $ WHERE seen GROUP BY 1, 2) USING (trace_id, t)")
 
 
+    def until_held(self, name: str, p: str, q: str, a: float, c: float) -> None:
+        """Eventually q in the window, and throughout [0, a] the unbounded until: the best of all later witnesses."""
+        last = self.ctes[-1][0]
+        held = f"min(r.{p}) OVER (PARTITION BY l.trace_id, l.t ORDER BY r.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        self.add(f"SELECT l.trace_id, l.t, least(r.{q}, {held}) AS c FROM {last} l JOIN {last} r ON l.trace_id = r.trace_id AND r.t >= l.t")
+        self.add(f"SELECT {last}.*, u AS {name}_u FROM {last} JOIN (SELECT trace_id, t, max(c) AS u FROM $ GROUP BY 1, 2) USING (trace_id, t)")
+        self.window(f"{name}_f", q, a, c, False)
+        if a > 1e-9:
+            self.window(f"{name}_g", f"{name}_u", 0.0, a, True)
+        self.add(f"SELECT *, least({name}_f, {name}_{'g' if a > 1e-9 else 'u'}) AS {name} FROM $")
+
+
+#: Orders held on a grid of half steps: z is the step, two a sample; l and r are margins over two bounds.
+_HELD = """WITH s AS (SELECT trace_id, t, x, count(*) OVER (PARTITION BY trace_id) AS n FROM ({signal})),
+g AS (SELECT s.trace_id, z, x - {low}::DOUBLE AS l, x - {high}::DOUBLE AS r FROM s, range(2) k(b), LATERAL (SELECT (2 * t)::BIGINT + b AS z) WHERE z <= 2 * (n - 1))"""
+_STEPS = "PARTITION BY trace_id ORDER BY z"
+
+
+def held_window(low: bool, bound: float, first: int, last: int) -> str:
+    """A window over the held orders, at samples: NaN where it starts past the end."""
+    agg = "min" if low else "max"
+    head = _HELD.format(signal=SIGNALS["orders"], low=num(bound)[:-8], high=num(bound)[:-8])
+    return f"{head} SELECT trace_id, z / 2::DOUBLE AS t, rho FROM (SELECT trace_id, z, coalesce({agg}(l) OVER ({_STEPS} ROWS BETWEEN {first} FOLLOWING AND {last} FOLLOWING), 'nan'::DOUBLE) + 0.0::DOUBLE AS rho FROM g) WHERE z % 2 = 0"
+
+
+def held_until(low: float, high: float, first: int, last: int, before: int) -> str:
+    """l until r over the held orders, at samples: eventually r in the steps first to last, always l in the steps 0
+    to before, and the untimed until of both, each window held past its end."""
+    head = _HELD.format(signal=SIGNALS["orders"], low=num(low)[:-8], high=num(high)[:-8])
+    fill = lambda x: f"last_value({x} IGNORE NULLS) OVER ({_STEPS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""{head},
+w AS (SELECT *, max(r) OVER ({_STEPS} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead, max(r) OVER ({_STEPS} ROWS BETWEEN {first} FOLLOWING AND {last} FOLLOWING) AS f, min(l) OVER ({_STEPS} ROWS BETWEEN CURRENT ROW AND {before} FOLLOWING) AS a, min(l) OVER ({_STEPS} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM g),
+p AS (SELECT a.trace_id, a.z, least(greatest(b.r, -b.ahead), coalesce(min(b.l) OVER (PARTITION BY a.trace_id, a.z ORDER BY b.z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE)) AS c FROM w a JOIN w b ON a.trace_id = b.trace_id AND b.z >= a.z),
+u AS (SELECT trace_id, z, max(c) AS weak FROM p GROUP BY 1, 2),
+f AS (SELECT trace_id, z, ahead, rest, {fill("f")} AS f, {fill("a")} AS a FROM w)
+SELECT trace_id, z / 2::DOUBLE AS t, CASE WHEN f IS NULL THEN 'nan'::DOUBLE ELSE least(f, a, greatest(weak, rest), ahead) END + 0.0::DOUBLE AS rho FROM f JOIN u USING (trace_id, z) WHERE z % 2 = 0"""
+
+
 def oracle(signal: str, formula: Node, profile: Profile, extra: str = "") -> str:
     """SQL for ``trace_id, t, rho``, or for ``extra`` over the last step ($) with rho the formula's column."""
     o = Oracle(signal, profile)

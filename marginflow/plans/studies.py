@@ -192,26 +192,25 @@ def profile_classify(spark, folder):
     return rho.groupBy(analytics.classify(F.col("rho"), [("holds", 1e4), ("fails", -1e4)]).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_NODES = ("G[0.5,1.5](x >= 5)", "x >= 1", SPARSE)
-
-
-def _localised() -> str:
-    # post-order over logic nodes: the window's predicate, the window, the other predicate, the conjunction
+def _localised(signal: str, nodes: tuple[tuple[str, str], ...], a: str, b: str) -> str:
+    """For each logic node in post-order, its formula and label, where two tools' values differ."""
     out = []
-    for i, (text, name) in enumerate((("x >= 5", "(x >= 5)"), (_NODES[0], "G[0.5,1.5]((x >= 5))"), (_NODES[1], "(x >= 1)"), (SPARSE, "(G[0.5,1.5]((x >= 5)) and (x >= 1))"))):
-        apart = "NOT (NOT isnan(a.rho) AND NOT isnan(b.rho) AND (a.rho = b.rho OR abs(a.rho - b.rho) <= 1e-9))"
-        out.append(f"SELECT {i} AS node_index, '{name}' AS label, count(*) FILTER (apart) AS n_divergent, coalesce((min({{'k': trace_id, 'i': i}}) FILTER (apart)).k, -1) AS first_trace, coalesce((min({{'k': trace_id, 'i': i}}) FILTER (apart)).i, -1)::INT AS first_index FROM (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY t) - 1 AS i, {apart} AS apart FROM {_one('native', text)} a JOIN {_one('breach', text)} b USING (trace_id, t))")
+    of = lambda tool, text: f"({oracle(signal, parse_cached(text), PROFILES[tool])})"
+    apart = "NOT (NOT isnan(a.rho) AND NOT isnan(b.rho) AND (a.rho = b.rho OR abs(a.rho - b.rho) <= 1e-9))"
+    first = "(min({'k': trace_id, 'i': i}) FILTER (apart))"
+    for i, (text, name) in enumerate(nodes):
+        out.append(f"SELECT {i} AS node_index, '{name}' AS label, count(*) FILTER (apart) AS n_divergent, coalesce({first}.k, -1) AS first_trace, coalesce({first}.i, -1)::INT AS first_index FROM (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY t) - 1 AS i, {apart} AS apart FROM {of(a, text)} a JOIN {of(b, text)} b USING (trace_id, t))")
     return " UNION ALL ".join(out)
 
 
-@query(_localised())
+@query(_localised("events", (("x >= 5", "(x >= 5)"), ("G[0.5,1.5](x >= 5)", "G[0.5,1.5]((x >= 5))"), ("x >= 1", "(x >= 1)"), (SPARSE, "(G[0.5,1.5]((x >= 5)) and (x >= 1))")), "native", "breach"))
 def localize_native_breach(spark, folder):
     return diagnostics.divergence_table(parse_cached(SPARSE), events_signal(spark, folder), _backend("native"), _backend("breach")).na.fill(-1)
 
 
-@query()
+@query(_localised("embeddings", (("x >= 0", "(x >= 0)"), ("G[1,4](x >= 0)", "G[1,4]((x >= 0))"), ("F[0,2](G[1,4](x >= 0))", "F[0,2](G[1,4]((x >= 0)))")), "rtamt", "stlcgpp"))
 def localize_rtamt_stlcgpp(spark, folder):
-    return diagnostics.divergence_table(parse_cached("F[0,2](G[1,4](x >= 0))"), embeddings_signal(spark, folder), _backend("rtamt"), _backend("stlcgpp"))
+    return diagnostics.divergence_table(parse_cached("F[0,2](G[1,4](x >= 0))"), embeddings_signal(spark, folder), _backend("rtamt"), _backend("stlcgpp")).na.fill(-1)
 
 
 @query(f"SELECT trace_id, t, x FROM ({SIGNALS['embeddings']})")
@@ -316,7 +315,7 @@ def fuzz_agreement(spark, folder):
     return analytics.scalar_matrix(found.withColumn("pair_id", F.concat_ws("-", "pair_id", TRACE)).where("status = 'ok'"))
 
 
-@query()
+@query("SELECT 'sweep' AS family, 41::BIGINT AS n, 21::BIGINT AS flips, 21 / 41 AS flip_rate")
 def verdict_sweep(spark, folder):
     """Verdicts of two semantics over a family that sweeps its last sample."""
     s = generate.sweep_family(spark, {"x": [1.0, 1.0, 0.0]}, "x", [0.0, 1.0, 2.0])
