@@ -105,46 +105,74 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b): links among the distinct fingerprints of ``nodes`` (column fp) that connect all pairs within ``radius``.
-
-    Buckets of two are settled by their least and greatest member while they are counted. Larger ones are dealt
-    in blocks of about ``tile`` fingerprints, and each pair of blocks is a task's tile, so that no bucket has to
-    fit one task; a tile yields fewer links than it has fingerprints.
+def near_components(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(fp, component): of the distinct fingerprints of ``nodes`` (column fp) those linked with another one, with the
+    component that all links of ``radius`` bits or fewer give; its name is a member.
+
+    First, in each bucket, members are linked to its least one, and buckets of two are thereby settled. Where that
+    leaves a bucket with several components, those besides the largest are compared with all of it: blocks of about
+    ``tile`` fingerprints are dealt, a pair of blocks to a tile, so that no bucket has to fit one task. A dense group
+    of near copies is mostly one component by then; a tile gives fewer links than it has fingerprints.
     """
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])
     spread = nodes.select("fp", F.posexplode(keys).alias("t", "key"))
     buckets = checkpointed(spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    pairs = buckets.where("n = 2").select("a", "b").where(F.bit_count(F.expr("a ^ b")) <= radius)
-    blocks = F.ceil(F.col("n") / tile)
-    many = spread.join(buckets.where("n > 2").select("t", "key", blocks.alias("blocks")), ["t", "key"])
-    many = many.withColumn("k", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    dealt = many.select("t", "key", "fp", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "blocks").where("blocks = 1 OR k <> j")
-    dealt = dealt.select(F.xxhash64("t", "key", F.least("k", "j"), F.greatest("k", "j")).alias("tile"), "t", "key", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "fp")
+    close = F.bit_count(F.expr("a ^ b")) <= radius
+    pairs = buckets.where("n = 2").select("a", "b").where(close)
+    many = checkpointed(spread.join(buckets.where("n > 2").select("t", "key", "a"), ["t", "key"]))
+    stars = many.select("a", F.col("fp").alias("b")).where("a <> b").where(close)
+    first = checkpointed(components(pairs.unionByName(stars)).withColumnRenamed("node", "fp"))
+
+    members = checkpointed(many.join(first, "fp", "left").select("t", "key", "fp", F.coalesce("component", "fp").alias("c")))
+    counts = members.groupBy("t", "key", "c").agg(F.count(F.lit(1)).alias("m"))
+    split = counts.groupBy("t", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("top")).where("parts > 1")
+    split = checkpointed(split.select("t", "key", F.col("top.c").alias("top"), F.ceil((F.col("n") - F.col("top.m")) / tile).alias("few"), F.ceil(F.col("top.m") / tile).alias("rest")))
+    # blocks 0 to few - 1 hold what is outside the largest component, the others that component
+    dealt = members.join(split, ["t", "key"])
+    h = F.xxhash64("fp")
+    k = F.when(F.col("c") == F.col("top"), F.col("few") + F.pmod(h, F.col("rest"))).otherwise(F.pmod(h, F.col("few")))
+    dealt = dealt.withColumn("k", k)
+    partners = F.when(F.col("k") < F.col("few"), F.col("few") + F.col("rest")).otherwise(F.col("few"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), partners - 1))).where("k <> j OR few = 1 AND rest = 0")
+    lo, hi = F.least("k", "j"), F.greatest("k", "j")
+    dealt = dealt.select(F.xxhash64("t", "key", lo, hi).alias("tile"), "t", "key", lo.alias("lo"), hi.alias("hi"), "fp", "c")
     dealt = dealt.repartition("tile").sortWithinPartitions("tile", "t", "key", "lo", "hi")
 
     def run(batches):
         import pyarrow as pa
 
-        held: list[np.ndarray] = []  # one tile can go over several batches
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # one tile can go over several batches
         at = None
+
+        def done() -> list[tuple[int, int]]:
+            fps, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            of = dict(zip(fps.tolist(), c.tolist(), strict=True))
+            return [(of[x], of[y]) for x, y in forest(fps, radius) if of[x] != of[y]]
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(6)]
+            columns = [batch.column(i).to_numpy() for i in range(7)]
             cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:5]])) + 1
             out = []
-            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                key = tuple(int(c[lo]) for c in columns[:5])
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == stop:
+                    continue
+                key = tuple(int(c[start]) for c in columns[:5])
                 if at is not None and key != at:
-                    out += forest(np.concatenate(held), radius)
+                    out += done()
                     held = []
                 at = key
-                held.append(columns[5][lo:hi])
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                held.append((columns[5][start:stop], columns[6][start:stop]))
+            yield batch_of(out)
         if held:
-            out = forest(np.concatenate(held), radius)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield batch_of(done())
 
-    return pairs.unionByName(with_code(dealt).mapInArrow(run, "a long, b long"))
+    # links between components already found
+    second = components(with_code(dealt).mapInArrow(run, "a long, b long")).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    known = first.unionByName(second.select(F.col("component").alias("fp"), "component").join(first, "fp", "left_anti"))
+    return known.join(second, "component", "left").select("fp", F.coalesce("joined", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -156,8 +184,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     fps = checkpointed(fingerprints(docs, doc_id, text))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min(doc_id).alias("least")))
-    parts = components(near_links(nodes.select("fp"), radius))
-    of = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    of = checkpointed(of)
+    parts = near_components(nodes.select("fp"), radius)
+    of = checkpointed(nodes.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     return fps.join(of.join(ids, "component").select("fp", "component_id"), "fp").select(doc_id, "fp", "component_id")

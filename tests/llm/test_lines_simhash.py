@@ -138,20 +138,14 @@ def test_near_duplicates_against_brute_force(spark, tile):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = simhash.near_links(nodes, tile=tile).collect()
-    place = {x: i for i, x in enumerate(signed)}
-    assert all(((p.a ^ p.b) & (2**64 - 1)).bit_count() <= 4 for p in got)
-    root = list(range(len(fps)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for p in got:
-        a, b = find(place[p.a]), find(place[p.b])
-        root[max(a, b)] = min(a, b)
-    assert [find(i) for i in range(len(fps))] == brute_components(fps)
+    got = {r.fp: r.component for r in simhash.near_components(nodes, tile=tile).collect()}
+    want = brute_components(fps)
+    named = {}
+    for i, x in enumerate(signed):
+        named.setdefault(want[i], set()).add(got.get(x, x))
+    assert all(len(v) == 1 for v in named.values()) and len(set.union(*named.values())) == len(named)
+    alone = {x for i, x in enumerate(signed) if want.count(want[i]) == 1}
+    assert not alone & set(got)
 
 
 def test_forest_of_a_dense_group_is_small():
