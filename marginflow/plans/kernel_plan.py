@@ -139,10 +139,17 @@ def evaluate(df: DataFrame, variables: tuple[str, ...], formula: Node, nodes: li
 
         all_nodes = list(postorder(formula))
 
+        def changes(a: pa.Array) -> np.ndarray:
+            """Whether each element but the first differs from the one before; nulls are equal."""
+            x, y = a.slice(1), a.slice(0, len(a) - 1)
+            apart = pc.not_equal(pc.is_null(x), pc.is_null(y)).to_numpy(zero_copy_only=False)
+            if pa.types.is_struct(a.type):
+                return np.logical_or.reduce([apart, *map(changes, a.flatten())])
+            return apart | pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False)
+
         def table(rows: pa.Table) -> pa.RecordBatch:
             trace = rows.column(0).combine_chunks()
-            new = pc.fill_null(pc.not_equal(trace.slice(1), trace.slice(0, len(trace) - 1)), pc.not_equal(pc.is_null(trace.slice(1)), pc.is_null(trace.slice(0, len(trace) - 1))))
-            starts = np.concatenate([[0], np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1])
+            starts = np.concatenate([[0], np.flatnonzero(changes(trace)) + 1])
             columns = [c.combine_chunks().to_numpy(zero_copy_only=False).astype(float) for c in rows.columns[1:]]
             found = make(profile, k.Batch(columns[0], starts), dict(zip(used, columns[1:], strict=True)), step).run(formula)
             # + 0.0 turns -0.0 into 0.0
@@ -158,11 +165,8 @@ def evaluate(df: DataFrame, variables: tuple[str, ...], formula: Node, nodes: li
             if size < BATCH_ROWS:
                 continue
             rows = pa.Table.from_batches(held)
-            trace = rows.column(0).combine_chunks()
-            last = trace[-1]
             # the last trace may go on in the next batch
-            differs = pc.fill_null(pc.not_equal(trace, last), True) if last.is_valid else pc.is_valid(trace)
-            whole = int(pc.sum(differs).as_py() or 0)
+            whole = int(np.max(np.flatnonzero(changes(rows.column(0).combine_chunks())) + 1, initial=0))
             if whole:
                 yield table(rows.slice(0, whole))
             held, size = rows.slice(whole).combine_chunks().to_batches(), len(rows) - whole

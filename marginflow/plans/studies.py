@@ -247,6 +247,12 @@ def native_always_chunked(spark, folder):
     return engine.own_rows(engine.robustness(parse_cached("G[0,24](x >= 5)"), cut, _backend("native")), 200.0)
 
 
+@query(f"SELECT * FROM {_one('native', '(x >= 1) U[0,48] (y >= 6)')}")
+def native_until_chunked(spark, folder):
+    cut = engine.in_chunks(events_signal(spark, folder), 200.0, 48.0 + 200.0)
+    return engine.own_rows(engine.robustness(parse_cached("(x >= 1) U[0,48] (y >= 6)"), cut, _backend("native")), 200.0)
+
+
 @query(f"SELECT trace_id, t, sign(rho) + 0.0::DOUBLE AS rho FROM {_one('native')}")
 def boolean_plugin(spark, folder):
     """A backend of one's own: the sign of the native robustness."""

@@ -224,9 +224,13 @@ def test_kernel_batches_keep_traces_whole(spark, monkeypatch):
 
 def test_chunks_give_the_same(ragged):
     f = parse("G[0,1](F[0.5,1.5](x>0))")
-    whole = robustness(f, ragged)
-    cut = engine.own_rows(robustness(f, engine.in_chunks(ragged, 4.0, 2.5 + 3.0)), 4.0)
-    assert values(cut) == values(whole)
+    for name in ("native", "breach", "taliro"):
+        backend = ProfileBackend(name, PROFILES[name])
+        cut = engine.own_rows(robustness(f, engine.in_chunks(ragged, 4.0, 2.5 + 3.0, 1.5), backend), 4.0)
+        assert values(cut) == values(robustness(f, ragged, backend))
+    g = parse("(x > 0) U[0,1] (y > 1)")
+    cut = engine.own_rows(robustness(g, engine.in_chunks(ragged, 2.0, 1.0 + 1.5)), 2.0)
+    assert values(cut) == values(robustness(g, ragged))
 
 
 def test_one_exchange_and_one_sort(ragged):
