@@ -139,23 +139,27 @@ class FramePlan:
         A, C = literal(a), literal(c)
         # each sample with the next one, to interpolate from
         self.df = self.df.withColumn(f"{name}_s", F.expr(f"struct({TIME} AS t, {x} AS x, __nt AS nt, lead({x}) OVER ({W}) AS nx)"))
-        lo = f"last_value({name}_s) OVER ({up_to(a)})"
-        parts = {"m": self.reduced(x, frame(a, c), low), "l": lo, "e": f"last_value({x}) OVER ({ALL})"}
+        parts = {"m": self.reduced(x, frame(a, c), low), "e": f"last_value({x}) OVER ({ALL})"}
+        if a:  # from 0 on, a window holds the sample it starts at: it is not empty and its start adds nothing
+            parts["l"] = f"last_value({name}_s) OVER ({up_to(a)})"
         if p.window == "interp":
             parts["h"] = f"last_value({name}_s) OVER ({up_to(c)})"
         self.df = self.df.select("*", *(F.expr(v).alias(f"{name}_{k}") for k, v in parts.items()))
         m, l, e, h = (f"{name}_{k}" for k in "mleh")
         at = lambda seg, q: f"CASE WHEN {q} >= __te THEN {e} ELSE {seg}.x + ({q} - {seg}.t) / ({seg}.nt - {seg}.t) * ({seg}.nx - {seg}.x) END"
         start, stop = f"({TIME} + {A})", f"({TIME} + {C})"
+        if not a and p.window != "interp":
+            self.df = self.df.withColumn(name, F.col(m))
+            return
         if p.window == "breach":
             inner = f"CASE WHEN {m} IS NOT NULL THEN {m} WHEN __rn = 1 THEN {at(l, start)} ELSE {x} END"
             past = e
         else:
             past = e if p.boundary == "clamp" else identity
-            empty = at(l, f"({start} + {stop}) / 2") if p.boundary == "clamp" else identity
+            empty = "NULL" if not a else at(l, f"({start} + {stop}) / 2") if p.boundary == "clamp" else identity
             if p.window == "interp":
                 # the greater of nulls and numbers is the number: an end that is a sample adds none
-                left = f"IF({l}.t <> {start} AND {start} > __t0 + {literal(SAME)} AND {start} < __te AND abs({l}.nt - {start}) > {literal(SAME)}, {at(l, start)}, NULL)"
+                left = "CAST(NULL AS DOUBLE)" if not a else f"IF({l}.t <> {start} AND {start} > __t0 + {literal(SAME)} AND {start} < __te AND abs({l}.nt - {start}) > {literal(SAME)}, {at(l, start)}, NULL)"
                 right = f"IF({stop} < __te - {literal(SAME)} AND abs({h}.t - {stop}) > {literal(SAME)}, {at(h, stop)}, NULL)"
                 ends = f"{best}({m}, {left}, {right})"
                 if self.nan and low:
