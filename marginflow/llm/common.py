@@ -27,6 +27,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut to at most ``rows`` rows: what a function makes of a batch takes memory beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def train_split(doc_id: Column) -> Column:
     """True for held-out rows: crc32 of the id as text leaves remainder 2 by 4. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

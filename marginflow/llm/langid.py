@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import with_code
-from .common import train_split
+from .common import slices, train_split
 
 BUCKETS = 1 << 16
 #: Labelled rows in the training sample, as expected number: rows are taken by hash of their id.
@@ -26,7 +26,7 @@ CLEAR = 0.5
 #: Mean log-odds are multiplied by this before the logistic loss.
 STEEPNESS = 8.0
 #: Bytes scored at a time.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 UNIT = 1 << 30
 
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         import pyarrow as pa
 
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 idx, ok = trigrams(cleaned(text) + b"  ")
                 idx = idx[ok]
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
             langs, scores = ["und"] * n, np.zeros(n)
             texts = batch.column(batch.num_columns - 1).to_pylist()

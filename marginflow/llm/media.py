@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..sources.shipping import with_code
+from .common import slices
 
 UNIT = 576
 PAD = b"\xff"
@@ -127,12 +128,10 @@ def media_columns(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())] * bodies]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):  # stored forms are as large as the texts
-                batch = whole.slice(at, 256)
-                rows = [row(x.as_py()) for x in batch.column(len(keep))]
-                arrays = [batch.column(i) for i in range(len(keep))] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names, *more])
+        for batch in slices(batches):  # stored forms are as large as the texts
+            rows = [row(x.as_py()) for x in batch.column(len(keep))]
+            arrays = [batch.column(i) for i in range(len(keep))] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names, *more])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_landmarks long, feature string", *["wav binary, frames array<int>, hashes array<int>"] * bodies])
     return with_code(docs).select(*keep, text).mapInArrow(run, kinds)
