@@ -75,11 +75,14 @@ class MergeTable:
             raise ValueError("expected a pre-tokenizer that splits by a pattern")
         self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL)
         #: Whether white space only separates words; else it is part of them.
-        self.drops_space = bool(split and split.get("behavior") == "Removed" and split.get("invert"))
+        #: The shortcuts for plain words take it that words are runs of letters.
+        self.drops_space = "[\\p{L}]+" in self.pattern.pattern and bool(split and split.get("behavior") == "Removed" and split.get("invert"))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        #: The token that each merge makes.
+        self.made = [self.vocab[x + y] for x, y in merges]
         for rank, (x, y) in enumerate(merges):
-            self.ranks[self.vocab[x], self.vocab[y]] = (rank, self.vocab[x + y])
+            self.ranks[self.vocab[x], self.vocab[y]] = rank
         symbols = byte_symbols()
         self.inner = [self.vocab.get(s) for s in symbols]
         self.final = [self.vocab.get(s + self.suffix) for s in symbols]
@@ -102,39 +105,40 @@ class MergeTable:
 
     def merge(self, ids: list[int]) -> list[int]:
         """The merges in order of rank, leftmost first, over one whole piece of a word."""
-        ranks, n = self.ranks, len(ids)
+        ranks, made, n = self.ranks, self.made, len(ids)
         if n < 2:
             return ids
         if n <= 32:
             return self._merge_short(ids)
         ids, left, right = list(ids), list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, x, y, z = heapq.heappop(heap)
+            r, i, x, y = heapq.heappop(heap)
             j = right[i]
             if ids[i] != x or j < 0 or ids[j] != y:
                 continue
-            ids[i], ids[j], right[i] = z, -1, right[j]
+            ids[i], ids[j], right[i] = made[r], -1, right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for k, m in ((left[i], i), (i, right[i])):
-                if k >= 0 and m >= 0 and (r := ranks.get((ids[k], ids[m]))):
-                    heapq.heappush(heap, (r[0], k, ids[k], ids[m], r[1]))
+                if k >= 0 and m >= 0 and (r := ranks.get((ids[k], ids[m]))) is not None:
+                    heapq.heappush(heap, (r, k, ids[k], ids[m]))
         return [x for x in ids if x >= 0]
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         """The same for a short piece: ranks of neighbours in a list, its least taken until none is left."""
-        get, none, ids = self.ranks.get, (1 << 60, 0), list(ids)
-        pairs = [get(p, none) for p in zip(ids, ids[1:])]
-        while pairs and (best := min(pairs)) is not none:
-            i = pairs.index(best)
-            ids[i : i + 2] = [best[1]]
-            del pairs[i]
+        get, made, none = self.ranks.get, self.made, len(self.made)
+        ids = list(ids)
+        ranks = [get(p, none) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i : i + 2] = (made[best],)
+            del ranks[i]
             if i:
-                pairs[i - 1] = get((ids[i - 1], ids[i]), none)
-            if i < len(pairs):
-                pairs[i] = get((ids[i], ids[i + 1]), none)
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
     def stream(self, symbols: Iterable[int]) -> Iterator[int]:
@@ -159,8 +163,9 @@ class MergeTable:
 
     def word(self, word: bytes) -> list[int]:
         """Tokens of one word (a piece that the pre-tokenizer cuts out), as UTF-8."""
-        ids = [self.inner[b] for b in word[:-1]] + [self.final[word[-1]]]
-        ids = [i for i in ids if i is not None]
+        ids = [*map(self.inner.__getitem__, word[:-1]), self.final[word[-1]]]
+        if None in ids:  # bytes that the vocabulary lacks are left out
+            ids = [i for i in ids if i is not None]
         return self.merge(ids) if len(ids) <= MEMO_SYMBOLS else list(self.stream(ids))
 
 
@@ -172,7 +177,12 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(table.added, key=len, reverse=True))) + ")") if table.added else None
 
     def _chunk(self, chunk: str) -> bytes:
-        words = self.table.pattern.findall(chunk) if self.table.drops_space else [chunk]
+        if chunk.isalpha() or not self.table.drops_space:
+            words = [chunk]
+        elif chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            words = [chunk[:-1], chunk[-1]]  # as the pattern would have it
+        else:
+            words = self.table.pattern.findall(chunk)
         out = b"".join([self.memo.get(w) or self._word(w) for w in words]) if len(words) > 1 else self._word(words[0]) if words else b""
         return self._remember(chunk, out)
 
