@@ -63,6 +63,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is a table in the shared folder ``spark.checkpoint.dir``, so a
     lost executor costs no more than the running stage. Where that is unset (tests), checkpoints are used."""
@@ -76,6 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if folder:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:  # only the last table is needed any more
+                _drop(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
         else:
             docs = checkpointed(docs)
     return docs
