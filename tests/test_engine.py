@@ -246,3 +246,18 @@ def test_long_windows_take_kernels(spark):
     assert not is_kernel(evaluate(wide, s)) and is_kernel(evaluate(wide, s.measured())) and not is_kernel(evaluate(narrow, s.measured()))
     assert is_kernel(evaluate(wide, s, ProfileBackend("rtamt", PROFILES["rtamt"])))
     assert values(evaluate(wide, s).robustness) == values(evaluate(wide, s.measured()).robustness)
+
+
+def test_random_formulas_agree_between_plans(ragged):
+    from marginflow.plans import frame_plan
+
+    rng, done = random.Random(11), 0
+    renamed = SignalFrame(ragged.df.withColumnsRenamed({"x": "x0", "y": "x1"}), ("x0", "x1"))
+    while done < 8:
+        f = random_formula(rng, 2, 3)
+        name = ("native", "breach", "taliro", "rtamt_dense")[done % 4]
+        if not frame_plan.supports(f, PROFILES[name]) or f.kind == "predicate":
+            continue
+        done += 1
+        a, b = (values(ProfileBackend(name, PROFILES[name], p).evaluate(f, renamed).robustness) for p in ("frames", "kernels"))
+        np.testing.assert_array_equal(np.array(a), np.array(b), f"{name} {f}")

@@ -104,3 +104,16 @@ def test_nodes():
     assert [n.kind for n in postorder(f, False)] == ["predicate", "always"]
     assert str(f) == "G[0,1](((x + 1) >= 2))"
     assert str(parse(str(f))) == str(f)
+
+
+def test_text_of_random_formulas_reads_back():
+    import random
+
+    from marginflow.plans.generate import random_formula
+
+    rng = random.Random(7)
+    for _ in range(300):
+        f = random_formula(rng, 3, 4)
+        g = parse(str(f))
+        # a negative constant reads as a product with -1
+        assert ("-" in str(f) or str(g) == str(f)) and analysis.horizon(g) == analysis.horizon(f) and analysis.operators_in(g) == analysis.operators_in(f)
