@@ -27,7 +27,7 @@ from ..sources.shipping import with_code
 #: Longest word, in symbols, that is tokenised in one piece and may be remembered.
 MEMO_SYMBOLS = 256
 #: Most words remembered in a worker; the table is emptied when full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 #: Characters read at a time; a piece ends before white space.
 PIECE_CHARS = 1 << 16
 
