@@ -174,12 +174,14 @@ def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, f
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = MOST_ENTRIES) -> Lexicon:
     """A lexicon and curve from labelled rows that are not held out.
 
-    About ``sample_rows`` of them are used, by hash of the id; repeated labels of an id count each. Entries in too
+    About ``sample_rows`` ids are used, by their hash; an id with several labels is toxic if one of them says so, and
+    each of its documents counts. Entries in too
     few toxic rows are dropped, then counted in the others; those much likelier in toxic rows are kept, the
     shortest of those that say the same. The driver gets entry counts, at most 20 times ``most``, and three numbers
     for each row of the sample. Without labels of both kinds the given words and a fixed curve are used.
     """
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~train_split(F.col("doc_id"))).select("doc_id", "toxic")
+    usable = F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~train_split(F.col("doc_id"))
+    marked = labels.where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marked.count()
     share = min(1.0, sample_rows / max(1, n))
     marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
