@@ -21,6 +21,8 @@ from .common import slices, train_split
 BUCKETS = 1 << 16
 #: Labelled rows in the training sample, as expected number: rows are taken by hash of their id.
 SAMPLE_ROWS = 8192
+#: Most languages learned, those with most rows in the sample; labels beyond that are taken for noise.
+MOST_LANGS = 200
 #: Below this score, with no language as likely as the rest together, the nearest codeword is called ambiguous.
 CLEAR = 0.5
 #: Mean log-odds are multiplied by this before the logistic loss.
@@ -108,7 +110,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from ``text`` and non-null ``lang`` of rows that are not held out.
 
     About ``sample_rows`` rows are used, picked by hash of the id. Executors sum each text's trigram shares as
-    integers, so sums don't depend on order; the driver gets a number for each language and bucket seen. Without
+    integers, so sums don't depend on order; the driver gets a number for each language and bucket seen, for at most MOST_LANGS languages. Without
     labelled rows the model has no language and predicts ``und``.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~train_split(F.col("doc_id")))
@@ -131,7 +133,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    got = with_code(picked).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    counts = with_code(picked).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # an executor's model and the driver's counts are bounded by MOST_LANGS x BUCKETS
+    known = [r[0] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
+    got = counts.where(F.col("lang").isin(known)).toArrow().to_pydict() if known else {"lang": [], "bucket": [], "n": []}
     langs = sorted(set(got["lang"]))
     share_of = np.zeros((len(langs), BUCKETS))
     where = {x: i for i, x in enumerate(langs)}
