@@ -24,8 +24,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated runs of lines; ``n_chars`` follows the text. All documents stay."""
-    clean = linededup.dedup_lines(docs, out="text")
+    """Deletes later copies of repeated runs of lines, at documents' ends too; ``n_chars`` follows the text. All
+    documents stay."""
+    clean = linededup.dedup_lines(docs, out="text", tails=True)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

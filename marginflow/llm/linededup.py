@@ -28,9 +28,12 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return lines.select("d", "th", "pos", F.unhex(F.md5("line")).alias("h"), (F.size(F.split("line", f"[{BLANKS}]+"))).alias("n"))
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", noise: int = NOISE_WORDS, guarantee: int = GUARANTEE_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", noise: int = NOISE_WORDS, guarantee: int = GUARANTEE_WORDS, tails: bool = False) -> DataFrame:
     """(d, th, pos): the lines to delete, pos counted from 0 over all lines of the text.
 
+    With ``tails`` the last, partial stretches of a document, which have a gram but not ``guarantee`` words, select
+    their least gram too, so that a repeated last line of ``noise`` words is found, and short documents are.
+
     d is the document's id (null: the least long) and th its text's 64-bit hash; documents come in the order of
     both. Repeated rows (same id and text) count as one document.
     """
@@ -40,7 +43,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = lines.select("*", F.coalesce(F.sum("n").over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"), F.row_number().over(by_pos).alias("i"), F.sum("n").over(doc).alias("total"))
     gram = F.when(F.col("s") + noise <= F.col("total"), F.unhex(F.md5(F.array_join(F.transform(F.collect_list("h").over(by_word.rangeBetween(0, noise - 1)), F.hex), ""))))
     lines = lines.select("d", "th", "pos", "i", "s", "total", "h", gram.alias("g"))
-    least = F.when(F.col("s") + guarantee <= F.col("total"), F.min(F.struct("g", F.expr("-i AS i"))).over(by_word.rangeBetween(0, guarantee - noise)))
+    # lines near the end have no gram: null, so that a partial stretch passes them over
+    least = F.when(F.col("s") + (noise if tails else guarantee) <= F.col("total"), F.min(F.when(F.col("g").isNotNull(), F.struct("g", F.expr("-i AS i")))).over(by_word.rangeBetween(0, guarantee - noise)))
     lines = checkpointed(lines.select("d", "th", "pos", "i", "h", least.alias("least")))
 
     grams = lines.where("least IS NOT NULL").select("d", "th", F.expr("-least.i AS i"), F.col("least.g").alias("g")).distinct()
@@ -68,15 +72,16 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return runs.select("d", "th", "pos", hit.alias("hit")).where("hit").select("d", "th", "pos").distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", noise: int = NOISE_WORDS, guarantee: int = GUARANTEE_WORDS, out: str = "text_clean", count: str = "n_deleted") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", noise: int = NOISE_WORDS, guarantee: int = GUARANTEE_WORDS, out: str = "text_clean", count: str = "n_deleted", tails: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, with ``out``, the text without later repeated runs, and ``count``.
 
     A null text stays null with 0 deleted lines; a text all of whose lines go becomes empty; a document shorter
-    than ``guarantee`` words, or a repeated run shorter than ``noise`` words, is left as it is. Repeated rows get
-    the same result each. Columns named ``out`` or ``count`` are replaced.
+    than ``guarantee`` words (with ``tails``, than ``noise`` words), or a repeated run shorter than ``noise`` words,
+    is left as it is. Without ``tails`` a repeated line at a document's end can stay, as in ``OP6_SQL``. Repeated
+    rows get the same result each. Columns named ``out`` or ``count`` are replaced.
     """
     docs = docs.drop(*[c for c in (out, count) if c != text and c != doc_id])
-    gone = repeated_lines(docs, doc_id, text, noise, guarantee).groupBy("d", "th").agg(F.sort_array(F.collect_list("pos")).alias("__gone")).withColumnsRenamed({"d": "__d", "th": "__th"})
+    gone = repeated_lines(docs, doc_id, text, noise, guarantee, tails).groupBy("d", "th").agg(F.sort_array(F.collect_list("pos")).alias("__gone")).withColumnsRenamed({"d": "__d", "th": "__th"})
     keyed = docs.withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(text)})
     joined = keyed.join(gone, ["__d", "__th"], "left")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from marginflow.llm import linededup, simhash
 from marginflow.llm.queries import OP6_SQL
 
@@ -77,6 +78,17 @@ def test_guarantee(spark):
     assert all(got[i] == n for i, n in shared) and all(got[2 * k] == 0 for k in range(30))
 
 
+def test_tails(spark):
+    """With tails a line of 8 words or more is found at the end of any document, however short."""
+    line = "one two three four five six seven eight nine"
+    rows = [(1, f"top\n{line}\n{LONG}"), (2, f"{LONG} own a\n{line}"), (3, line), (4, f"own b\n{line}\n"), (5, "one two three four"), (6, "one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text_clean for r in linededup.dedup_lines(docs, tails=True).collect()}
+    assert got == {1: rows[0][1], 2: f"{LONG} own a", 3: "", 4: "own b\n", 5: rows[4][1], 6: rows[5][1]}
+    stage = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs.selectExpr("*", "0L AS n_chars"), "").collect()}
+    assert stage == got
+
+
 def test_native():
     source = open(linededup.__file__).read()
     assert "pandas" not in source and "udf" not in source and "mapIn" not in source and "rdd" not in source
