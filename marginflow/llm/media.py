@@ -59,10 +59,12 @@ def from_wav(stored: bytes) -> bytes:
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(frames, PEAKS): bins of each frame's strongest local maxima, strongest first, and whether there is one.
 
-    Strengths are rounded to eighths of a decibel step before they are compared; ties go to the lower bin.
+    Strengths are rounded to eighths of a decibel step before they are compared; ties go to the lower bin. The last
+    frame holds the last sample; beyond it the transform sees silence (128), which is in no payload.
     """
     x = np.frombuffer(samples, np.uint8)
-    n = 1 + max(0, len(x) - WINDOW) // HOP
+    n = 1 + -(-max(0, len(x) - WINDOW) // HOP)
+    x = np.pad(x, (0, WINDOW + (n - 1) * HOP - len(x)), constant_values=128)
     bins, found = np.zeros((n, PEAKS), np.int32), np.zeros((n, PEAKS), bool)
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     for at in range(0, n, BLOCK):

@@ -113,6 +113,35 @@ def test_peaks_of_tones():
     assert Counter(frames.tolist())[0] == media.AHEAD * media.PEAKS
 
 
+def test_the_last_byte_reaches_the_frames():
+    """A change in the last byte of a payload changes the last frame, whose peaks are those of the padded samples."""
+    r = np.random.default_rng(1)
+    for units in (1, 2, 5):
+        x = r.integers(0, 256, media.UNIT * units, dtype=np.uint8)
+        bins, _ = media.peaks(x.tobytes())
+        assert (len(bins) - 1) * media.HOP + media.WINDOW >= len(x) > (len(bins) - 2) * media.HOP + media.WINDOW
+        loud = x.copy()
+        loud[-media.HOP // 2 :] = np.rint(128 + 120 * np.sin(np.arange(media.HOP // 2) * 2)).astype(np.uint8)
+        changed = media.peaks(loud.tobytes())[0]
+        assert (bins[:-1] == changed[: len(bins) - 1]).all() and (bins[-1] != changed[-1]).any()
+    # the peaks of the last frame's spectrum, as numpy gives it
+    part = np.zeros(media.WINDOW)
+    rest = x[(len(bins) - 1) * media.HOP :]
+    part[: len(rest)] = rest.astype(float) - 128
+    level = np.rint(np.log2(np.abs(np.fft.rfft(part * media._HANN)) ** 2 + 1) * 8)
+    local = [b for b in range(1, 128) if level[b] > level[b - 1] and level[b] >= level[b + 1]]
+    assert bins[-1].tolist() == sorted(local, key=lambda b: (-level[b], b))[: media.PEAKS]
+
+
+def test_a_last_byte_alone_changes_the_spectrum(monkeypatch):
+    seen = []
+    fft = np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda part, axis: seen.append(part.copy()) or fft(part, axis=axis))
+    for last in (0, 255):
+        media.peaks(bytes([7] * (media.UNIT - 1) + [last]))
+    assert (seen[0][:-1] == seen[1][:-1]).all() and (seen[0][-1] != seen[1][-1]).any()
+
+
 def test_blocks_of_frames_do_not_matter(monkeypatch):
     x = np.random.default_rng(0).integers(0, 256, 576 * 40, dtype=np.uint8).tobytes()
     whole = media.landmarks(x)
