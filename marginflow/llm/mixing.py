@@ -1,26 +1,31 @@
 """Interleaves sources to target weights by Pfair scheduling.
 
-A source's rows are cut into blocks. With weight w, block k of the source is released at floor(k / w) and due by
-ceil((k + 1) / w); in each slot the released block with the earliest deadline goes next. While all sources last,
-every prefix of the schedule holds each source's share to within one block. When a source runs out, the remaining
-weights are scaled up and the same rule starts a new phase, so every row is placed exactly once.
+A source's rows are cut into blocks. In the ideal schedule all sources that last are served at once, each in
+proportion to its exact weight; where one ends, the others share its part. Block k of a source is released at the
+slot in which the ideal schedule begins it and due by the slot in which it ends it; in each slot the released block
+with the earliest deadline goes next. The ideal schedule meets all these bounds, so earliest deadline first does
+too: every prefix holds each source's share to within one block, however long it is and however many sources end.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
+from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank
+from ..sources.shipping import with_code
+from .common import checkpointed, gapless_rank
 
 BLOCK_ROWS = 8
-#: Slots after which a phase's schedule repeats: weights are rounded to multiples of 1 / PERIOD.
+#: Slots in which weights are rounded, where a caller asks for a repeated period.
 PERIOD = 1000
-#: Most distinct sources with weights of their own.
-MOST_SOURCES = 500
+#: Blocks of the streamed schedule written at a time.
+CHUNK = 8192
 
 
 def round_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -78,27 +83,95 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PE
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def streamed(rows: dict[str, int], weights: dict[str, float], block_rows: int = BLOCK_ROWS) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, phase, slot, first position) of each block in order of slots, by exact weights.
+
+    A phase is a number of sources that have run out. Memory is bounded by the number of sources.
+    """
+    names = sorted(s for s in rows if rows[s])
+    exact = [Fraction(weights[s]) for s in names]
+    unit = lcm(*(w.denominator for w in exact))
+    weight = [int(w * unit) for w in exact]
+    blocks = [-(-rows[s] // block_rows) for s in names]
+    # where sources end in the ideal schedule: blocks of those that ended, and the weight of those that last
+    ends = sorted(range(len(names)), key=lambda i: Fraction(blocks[i], weight[i]))
+    at = [blocks[i] / weight[i] for i in ends]
+    ended, lasting = [0], [sum(weight)]
+    for i in ends:
+        ended.append(ended[-1] + blocks[i])
+        lasting.append(lasting[-1] - weight[i])
+
+    def window(i: int, k: int) -> tuple[int, int]:
+        # both lines agree where a source ends, so the rounding of ``at`` is of no matter
+        j, m = bisect_right(at, k / weight[i]), bisect_right(at, (k + 1) / weight[i])
+        return ended[j] + k * lasting[j] // weight[i], ended[m] - (-(k + 1) * lasting[m] // weight[i])
+
+    waiting = [(*window(i, 0), i, 0) for i in range(len(names))]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    phase = start = 0
+    for slot in range(sum(blocks)):
+        while waiting and waiting[0][0] <= slot:
+            _, due, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, i, k))
+        due, i, k = heapq.heappop(ready)
+        if due < slot + 1:
+            raise AssertionError("a deadline was missed")
+        yield names[i], k, phase, slot, start
+        start += min(block_rows, rows[names[i]] - k * block_rows)
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, (*window(i, k + 1), i, k + 1))
+        else:
+            phase += 1
+
+
+def _written(counts: DataFrame, weights: dict[str, float] | None, block_rows: int) -> DataFrame:
+    """The streamed schedule of the counted sources (__s, __n) as a table, simulated by one task chunk by chunk."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = {s: n for batch in batches for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        given = {s: n**0.5 for s, n in rows.items() if s} if weights is None else weights
+        least = min(given.values(), default=1.0)
+        plan = streamed(rows, {s: given.get(s, least) for s in rows}, block_rows)
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["__s", "__block", "mix_phase", "mix_slot", "__start"]
+        while chunk := [x for _, x in zip(range(CHUNK), plan)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)], names=names)
+
+    return checkpointed(with_code(counts.coalesce(1)).mapInArrow(run, "__s string, __block long, mix_phase int, mix_slot long, __start long"))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with mix_phase, mix_slot (the block's place) and mix_position (the row's).
 
-    Without ``weights`` each source weighs the square root of its rows. A source without a weight, and null, share
-    one remainder source with the least weight given. Rows of a source come in order of the hash of ``order``'s
-    columns. Positions are 0, 1, 2, ... without gaps; all rows are kept; rows equal in ``order`` follow one another
-    in any order. Earlier columns of these names are replaced.
+    Without ``weights`` each source weighs the square root of its rows, however many sources there are. A source
+    without a weight, and null, share one remainder source with the least weight given; weights lie above 0. Rows of
+    a source come in order of the hash of ``order``'s columns. Positions are 0, 1, 2, ... without gaps; all rows are
+    kept; rows equal in ``order`` follow one another in any order. Earlier columns of these names are replaced.
+
+    The schedule is simulated by one task, which keeps the sources' counts in memory, and written as a table. With
+    ``period``, weights are rounded to multiples of 1 / period instead and that one period is repeated in each
+    phase: shares then hold to within a block of the rounded weights only, and the plan grows with the square of
+    the number of sources.
     """
+    if weights is not None and not all(w > 0 for w in weights.values()):
+        raise ValueError("weights lie above 0")
     docs = docs.drop("mix_phase", "mix_slot", "mix_position")
     named = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    counts = {r[0]: r[1] for r in docs.groupBy(named.alias("s")).count().orderBy(F.desc("count"), "s").limit(MOST_SOURCES + 1).collect()}
+    mapped = named if weights is None else F.when(named.isin(sorted(weights)), named).otherwise(F.lit("")) if weights else F.lit("")
+    counts = docs.groupBy(mapped.alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = gapless_rank(docs.withColumns({"__s": mapped, "__h": F.xxhash64(*order, F.lit(8))}), ["__s"], ["__h", *order], "__rank")
+    ranked = ranked.withColumn("__block", F.floor(F.col("__rank") / block_rows).cast("long"))
+    if period is None:
+        placed = ranked.join(_written(counts, weights, block_rows), ["__s", "__block"])
+        return placed.select(*docs.columns, "mix_phase", "mix_slot", (F.col("__start") + F.col("__rank") % block_rows).alias("mix_position"))
+    rows = {r[0]: r[1] for r in counts.collect()}
     if weights is None:
-        weights = {s: n**0.5 for s, n in counts.items() if s} if len(counts) <= MOST_SOURCES else {"": 1.0}
+        weights = {s: n**0.5 for s, n in rows.items() if s}
     least = min(weights.values(), default=1.0)
-    known = sorted(weights)
-    mapped = F.when(named.isin(known), named).otherwise(F.lit("")) if known else F.lit("")
-    rows = {r[0]: r[1] for r in docs.groupBy(mapped.alias("s")).count().collect()}
     weight = {s: weights.get(s, least) for s in rows}
-    tail_first = docs.withColumns({"__s": mapped, "__h": F.xxhash64(*order, F.lit(8))})
-    ranked = gapless_rank(tail_first, ["__s"], ["__h", *order], "__rank")
-    ranked = ranked.withColumn("__block", F.floor(F.col("__rank") / block_rows).cast("long"))
     phases = schedule({s: -(-n // block_rows) for s, n in rows.items()}, weight, period)
     # a last block can be short: later positions move up by what it lacks
     short = []
@@ -112,7 +185,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
                 at = p["slot"] + b // p["parts"][s] * p["period"] + places[b % p["parts"][s]]
                 short.append((at, stop * block_rows - rows[s]))
     spark = docs.sparkSession
-    # at most sources x phases rows, of a place for each of the period's slots: bounded by MOST_SOURCES and period
+    # at most sources x phases rows, of a place for each of the period's slots
     plan = spark.createDataFrame(table, "__s string, mix_phase int, __first long, __stop long, __slot long, __parts long, __period long, __places array<long>").where("__first < __stop")
     placed = ranked.join(F.broadcast(plan), "__s").where("__block >= __first AND __block < __stop")
     k = F.col("__block") - F.col("__first")

@@ -62,6 +62,45 @@ def test_mix_against_brute_force(spark):
     assert all(max(p.mix_position for p in by_slot[k]) < min(p.mix_position for p in by_slot[k + 1]) for k in range(len(want) - 1))
 
 
+def ideal(blocks, weights, slots):
+    """Blocks of each source that the ideal schedule has served after so many slots, in fractions."""
+    done, left = dict.fromkeys(blocks, Fraction(0)), Fraction(slots)
+    while left:
+        lasting = [s for s in blocks if done[s] < blocks[s]]
+        total = sum(Fraction(weights[s]) for s in lasting)
+        step = min(left, *((blocks[s] - done[s]) * total / Fraction(weights[s]) for s in lasting))
+        for s in lasting:
+            done[s] += step * Fraction(weights[s]) / total
+        left -= step
+    return done
+
+
+def held(rows, weights, step=1):
+    """That every step-th prefix holds each source's exact share to within one block, and all blocks come once."""
+    blocks, seen, at = {s: -(-n // 8) for s, n in rows.items()}, Counter(), 0
+    for s, k, phase, slot, start in mixing.streamed(rows, weights):
+        assert (k, slot, start) == (seen[s], sum(seen.values()) if step == 1 else slot, at)
+        assert step > 1 or phase == sum(seen[x] == blocks[x] for x in blocks)
+        seen[s] += 1
+        at += min(8, rows[s] - 8 * k)
+        if (slot + 1) % step == 0:
+            want = ideal(blocks, weights, slot + 1)
+            assert all(abs(seen[x] - want[x]) <= 1 for x in blocks)
+    assert seen == Counter(blocks) and at == sum(rows.values())
+
+
+def test_streamed_shares_are_exact():
+    r = random.Random(2)
+    for _ in range(15):
+        rows = {f"s{i}": r.randint(1, r.choice([20, 400])) for i in range(r.randint(1, 9))}
+        held(rows, {s: r.choice([n**0.5, r.random() + 1e-3, 1.0]) for s, n in rows.items()})
+    # 37,500 slots: weights rounded to 1 / 1000 would be off by many blocks
+    held({"a": 200_000, "b": 100_000}, {"a": 2**0.5, "b": 1.0}, 997)
+    # a large source among many small ones keeps its own share
+    rows = {"hot": 100_000} | {f"s{i}": 10 for i in range(800)}
+    held(rows, {s: n**0.5 for s, n in rows.items()}, 1499)
+
+
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id long, source string")
     assert [x.mix_position for x in mixing.mix(docs).collect()] == [0]
