@@ -101,6 +101,20 @@ def test_streamed_shares_are_exact():
     held(rows, {s: n**0.5 for s, n in rows.items()}, 1499)
 
 
+def test_many_sources_are_mixed(spark):
+    """600 small sources and a large one: no number of sources turns weights off."""
+    docs = spark.range(6000 + 4800).selectExpr("id AS doc_id", "IF(id < 6000, 'hot', concat('s', id % 600)) AS source")
+    out = sorted(mixing.mix(docs).collect(), key=lambda x: x.mix_position)
+    assert [x.mix_position for x in out] == list(range(10800)) and {x.doc_id for x in out} == set(range(10800))
+    rows = Counter(x.source for x in out)
+    blocks = {s: -(-n // 8) for s, n in rows.items()}
+    want = ideal(blocks, {s: n**0.5 for s, n in rows.items()}, 500)
+    seen = Counter(x.source for x in out if x.mix_slot < 500)
+    assert all(abs(seen[s] / 8 - want[s]) <= 1 for s in rows) and len({x.mix_slot for x in out if x.source == "hot"}) == blocks["hot"]
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"hot": 0.0})
+
+
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id long, source string")
     assert [x.mix_position for x in mixing.mix(docs).collect()] == [0]
