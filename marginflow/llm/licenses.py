@@ -31,6 +31,15 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+_GNU = "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1} General Public License as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version."
+#: Longer texts, looked for in passages only: usual headers and a clause that tells a licence.
+HEADERS: dict[str, tuple[str, ...]] = {
+    "GPL-3.0": (_GNU.format(":", "", ",", 3),),
+    "GPL-2.0": (_GNU.format(";", "", ";", 2),),
+    "LGPL-3.0": (_GNU.format(":", "Lesser", ",", 3),),
+    "AGPL-3.0": (_GNU.format(":", "Affero", ",", 3),),
+    "BSD-3-Clause": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",),
+}
 #: Frequent words, tried last where lines are told apart by single words.
 COMMON = ("a", "and", "by", "for", "in", "is", "of", "on", "or", "the", "this", "to", "under", "with")
 
@@ -122,8 +131,76 @@ def license_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     return best.select(*keep, "line", F.col("__best.license").alias("license"), F.col("__best.dice").alias("dice"))
 
 
+def license_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES, headers: Mapping[str, tuple[str, ...]] = HEADERS, threshold: float = THRESHOLD) -> DataFrame:
+    """The ``keep`` columns with row (a number of the row), line, license and dice of notices wrapped over lines or
+    within longer ones: around each anchor word the best run of words, which begins and ends with a bigram of the
+    template and is no longer than the size bounds let it be. Lines that reach the threshold as a whole are left to
+    ``license_lines``. A notice is found from each of its anchor words, so rows repeat.
+    """
+    both = {n: (*templates.get(n, ()), *headers.get(n, ())) for n in {*templates, *headers}}
+    words = anchors(both, threshold)
+    kept = [(n, t, b) for n in sorted(both) for t in both[n] if (b := bigrams_of(t))]
+    # bigrams in a row: a text's own repetitions come on top of the distinct ones
+    longest = [size_bounds(len(b), threshold)[1] + len(words_of(t)) - 1 - len(b) for _, t, b in kept]
+    reach = max(longest) + 1
+
+    def near(x: Column) -> Column:
+        return reduce(Column.__or__, [F.contains(x, F.lit(w)) for w in words])
+
+    def split(x: Column) -> Column:
+        return F.split(F.btrim(F.regexp_replace(x, r"[^\p{L}\p{M}\p{N}]+", " ")), " ")
+
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    def whole(x: Column) -> Column:
+        # bound once, since a lambda's expressions are evaluated wherever they stand
+        return F.element_at(F.transform(F.array(F.array_distinct(pairs(split(x)))), lambda b: _dice(b, F.size(b), templates, threshold).isNotNull()), 1)
+
+    rows = docs.where(near(F.lower(text))).select(*keep, F.monotonically_increasing_id().alias("row"), F.split(F.lower(text), "\n").alias("__ls"))
+    # a line found as a whole becomes one word that no template has
+    left = F.transform("__ls", lambda x: F.when(near(x) & whole(x), F.lit("|")).otherwise(x))
+    rows = rows.select(*keep, "row", left.alias("__ls")).where(F.exists("__ls", near))
+    said = F.flatten(F.transform("__ls", lambda x, i: F.transform(F.when(x == "|", F.array(F.lit("|"))).otherwise(F.filter(split(x), lambda w: w != "")), lambda w: F.struct(w.alias("w"), i.alias("line")))))
+    rows = rows.select(*keep, "row", said.alias("__w"))
+    found = F.filter(F.transform("__w", lambda x, i: F.when(near(x["w"]), i)), lambda i: i.isNotNull())
+    rows = rows.select(*keep, "row", "__w", F.explode(found).alias("__i"))
+    first = F.greatest(F.col("__i") - reach, F.lit(0))
+    rows = rows.select(*keep, "row", F.slice("__w", first + 1, F.col("__i") - first + reach + 1).alias("__w"))
+    rows = rows.select(*keep, "row", F.col("__w.line").alias("__at"), pairs(F.col("__w.w")).alias("__b"))
+
+    def run(rank: int, name: str, own: list[str], most: int) -> Column:
+        low, high = size_bounds(len(own), threshold)
+        need = next(c for c in range(len(own) + 1) if 2 * c >= threshold * (low + len(own)))
+        mine = F.array(*map(F.lit, own))
+
+        def score(d: Column, i: Column) -> Column:
+            n = F.size(F.array_intersect(d, mine))
+            ok = F.size(d).between(low, high) & (2 * n >= threshold * (F.size(d) + len(own)))
+            return F.when(ok, F.struct((2.0 * n / (F.size(d) + len(own))).alias("dice"), F.lit(-rank).alias("rank"), (-i).alias("start"), F.lit(name).alias("license")))
+
+        def windows(hits: Column) -> Column:
+            def ends(i: Column) -> Column:
+                within = F.filter(hits, lambda j: (j - i + 1).between(low, most))
+                return F.array_max(F.transform(F.transform(within, lambda j: F.array_distinct(F.slice("__b", i + 1, j - i + 1))), lambda d: score(d, i)))
+
+            return F.when(F.size(hits) >= need, F.array_max(F.transform(hits, ends)))
+
+        hits = F.filter(F.transform("__b", lambda b, i: F.when(F.array_contains(mine, b), i)), lambda i: i.isNotNull())
+        return F.element_at(F.transform(F.array(hits), windows), 1)
+
+    best = [run(rank, name, own, most) for rank, ((name, _, own), most) in enumerate(zip(kept, longest))]
+    best = best if len(best) > 1 else best * 2
+    rows = rows.select(*keep, "row", "__at", F.greatest(*best).alias("__best")).where("__best IS NOT NULL")
+    return rows.select(*keep, "row", F.element_at("__at", 1 - F.col("__best.start")).alias("line"), F.col("__best.license").alias("license"), F.col("__best.dice").alias("dice"))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each id with a licence notice: its licences in order, number of such lines, the greatest Dice
-    coefficient and the first such line. Rows that share an id are taken together; a null id is an id."""
-    lines = license_lines(docs, (doc_id,), text, templates, threshold)
-    return lines.groupBy(doc_id).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.count(F.lit(1)).alias("n_lines"), F.max("dice").alias("dice"), F.min("line").cast("long").alias("first_line"))
+    """One row for each id with a licence notice: its licences in order, number of lines that are a notice or in which
+    one begins, the greatest Dice coefficient and the first such line. Rows that share an id are taken together; a
+    null id is an id."""
+    lines = license_lines(docs, (doc_id,), text, templates, threshold).withColumn("row", F.lit(None).cast("long"))
+    found = lines.unionByName(license_passages(docs, (doc_id,), text, templates, HEADERS, threshold))
+    begun = F.size(F.collect_set(F.when(F.col("row").isNotNull(), F.struct("row", "line")))).cast("long")
+    n_lines = F.count(F.when(F.col("row").isNull(), 1)) + begun
+    return found.groupBy(doc_id).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), n_lines.alias("n_lines"), F.max("dice").alias("dice"), F.min("line").cast("long").alias("first_line"))

@@ -79,6 +79,18 @@ def test_license_documents(spark):
         licenses.scan(docs, threshold=0.0)
 
 
+def test_wrapped_and_embedded_notices(spark):
+    import textwrap
+
+    mit = licenses.TEMPLATES["MIT"][3][:-1] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    gpl = textwrap.wrap(licenses.HEADERS["GPL-3.0"][0], 70)
+    texts = ["\n".join(textwrap.wrap(mit, 78)), mit, "a\n\nThe sources of this project can be found online and are released under the MIT License.", "x\n" + "\n".join("# " + x for x in gpl), "Released under the MIT License.\n" + " ".join(gpl), "a license that is released under no terms\nat all", None]
+    got = {r.doc_id: (r.licenses, r.n_lines, r.dice, r.first_line) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("MIT", 1, 1.0, 0), 1: ("MIT", 1, 1.0, 0), 2: ("MIT", 1, 1.0, 2), 3: ("GPL-3.0", 1, 1.0, 1), 4: ("GPL-3.0,MIT", 2, 1.0, 0)}
+    plan = licenses.license_passages(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_size_bounds():
     for n in range(1, 40):
         low, high = licenses.size_bounds(n, 0.8)
