@@ -81,30 +81,37 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH raw AS (SELECT doc_id AS d, text, string_split(text, chr(10)) AS ls FROM documents),
-l0 AS (SELECT d, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM raw),
-l1 AS (SELECT d, pos, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM l0),
-l2 AS (SELECT d, pos, md5(line) AS h, len(regexp_split_to_array(line, '[ \\t\\r\\f\\v]+')) AS n FROM l1 WHERE line <> ''),
-l3 AS (SELECT d, pos, h, n, coalesce(sum(n) OVER (PARTITION BY d ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
-              row_number() OVER (PARTITION BY d ORDER BY pos) AS i, sum(n) OVER (PARTITION BY d)::BIGINT AS total FROM l2),
-l4 AS (SELECT *, CASE WHEN s + 8 <= total THEN md5(upper(list_aggregate(list(h) OVER (PARTITION BY d ORDER BY s RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING), 'string_agg', ''))) END AS g FROM l3),
-l5 AS (SELECT *, CASE WHEN s + 16 <= total THEN min(g || lpad((1000000000 - i)::VARCHAR, 10, '0')) OVER (PARTITION BY d ORDER BY s RANGE BETWEEN CURRENT ROW AND 8 FOLLOWING) END AS m FROM l4),
-grams AS (SELECT DISTINCT d, 1000000000 - substr(m, 33)::BIGINT AS i, substr(m, 1, 32) AS g FROM l5 WHERE m IS NOT NULL),
-firsts AS (SELECT g, min({'d': d, 'i': i}) AS f FROM grams GROUP BY g HAVING count(*) > 1),
-links AS (SELECT d, i, coalesce(own * 0 + d, f.d) AS d0, i - coalesce(own, f.i) AS shift
-          FROM (SELECT *, lag(i) OVER (PARTITION BY d, g ORDER BY i) AS own FROM grams) JOIN firsts USING (g) WHERE own IS NOT NULL OR d <> f.d OR i <> f.i),
-common AS (SELECT h FROM l3 GROUP BY h HAVING count(*) > 1),
-kept AS (SELECT d, pos, i, h, i - row_number() OVER (PARTITION BY d ORDER BY i) AS stretch FROM l3 SEMI JOIN common USING (h)),
-here AS (SELECT k.d, links.d0, links.shift, k.pos, k.i, k.h, k.i = links.i AS hit
-         FROM links JOIN kept a ON a.d = links.d AND a.i = links.i JOIN kept k ON k.d = links.d AND k.stretch = a.stretch),
-same AS (SELECT x.d, x.d0, x.shift, x.pos, x.i, bool_or(x.hit) AS hit FROM here x JOIN kept y ON y.d = x.d0 AND y.i = x.i - x.shift AND y.h = x.h GROUP BY ALL),
-runs AS (SELECT *, i - row_number() OVER (PARTITION BY d, d0, shift ORDER BY i) AS run FROM same),
-gone AS (SELECT DISTINCT d, pos FROM (SELECT d, pos, bool_or(hit) OVER (PARTITION BY d, d0, shift, run) AS hit FROM runs) WHERE hit),
-left_over AS (SELECT l0.d, string_agg(l0.line, chr(10) ORDER BY l0.pos) AS text FROM l0 ANTI JOIN gone USING (d, pos) GROUP BY l0.d),
-counts AS (SELECT d, count(*) AS n FROM gone GROUP BY d)
-SELECT r.d AS doc_id, coalesce(len(r.ls), 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_deleted,
-       CASE WHEN r.text IS NOT NULL THEN md5(coalesce(o.text, '')) END AS clean_md5
-FROM raw r LEFT JOIN counts c USING (d) LEFT JOIN left_over o USING (d)
+WITH raw AS (SELECT doc_id AS d, text, string_split(replace(regexp_replace(replace(text, chr(10), chr(10) || chr(64976)), '([.!?;] )', '\\1' || chr(64976), 'g'), chr(12290), chr(12290) || chr(64976)), chr(64976)) AS ps FROM documents),
+l0 AS (SELECT d, unnest(ps) AS x, unnest(range(len(ps))) AS pos FROM raw),
+l1 AS (SELECT d, pos, x, trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11) || chr(10)) AS t, coalesce(lag(x) OVER (PARTITION BY d ORDER BY pos) LIKE '%' || chr(10), true) AS nl FROM l0),
+l2 AS (SELECT d, pos, nl, t, substr(md5(t), 1, 16) AS h, least(length(t) - length(replace(t, ' ', '')) + 1, length(replace(t, ' ', ''))) AS n FROM l1 WHERE t <> ''),
+u AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, sum(n) OVER (PARTITION BY d)::BIGINT AS total,
+             nl AND coalesce(lead(nl) OVER w, true) AS line FROM l2 WINDOW w AS (PARTITION BY d ORDER BY pos)),
+g0 AS (SELECT d, i, s, n, line, CASE WHEN n >= 8 THEN h WHEN s + 8 <= total THEN substr(md5(list_aggregate(list(h) OVER (PARTITION BY d ORDER BY s RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING), 'string_agg', '')), 1, 16) END AS g FROM u),
+g1 AS (SELECT *, CASE WHEN g IS NOT NULL THEN {'g': g, 'i': i} END AS x FROM g0),
+g2 AS (SELECT d, CASE WHEN g IS NULL OR (line AND n > 8) THEN x WHEN line THEN min(x) OVER (PARTITION BY d ORDER BY s RANGE BETWEEN CURRENT ROW AND 8 FOLLOWING)
+              ELSE min(x) OVER (PARTITION BY d ORDER BY s ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) END AS m FROM g1),
+grams AS (SELECT *, lag(i) OVER (PARTITION BY d, g ORDER BY i) AS own FROM (SELECT DISTINCT d, m.i AS i, m.g AS g FROM g2 WHERE m IS NOT NULL)),
+firsts AS (SELECT g, min({'d': d, 'i': i}) AS f FROM grams WHERE own IS NULL GROUP BY g HAVING count(*) > 1),
+links AS (SELECT d, i, d AS d0, i - own AS shift FROM grams WHERE own IS NOT NULL UNION ALL SELECT d, i, f.d, i - f.i FROM grams JOIN firsts USING (g) WHERE own IS NULL AND d <> f.d),
+parts AS (SELECT d, d0, shift, i // 256 AS stretch, greatest(min(i) - 16, shift, 0) AS lo, max(i) + 16 AS hi, list(i) AS hits FROM links GROUP BY d, d0, shift, i // 256),
+same AS (SELECT p.d, p.d0, p.shift, p.stretch, a.i, list_contains(p.hits, a.i) AS hit FROM parts p JOIN u a ON a.d = p.d AND a.i BETWEEN p.lo AND p.hi JOIN u b ON b.d = p.d0 AND b.i = a.i - p.shift AND b.t = a.t),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY d, d0, shift, stretch ORDER BY i) AS run FROM same),
+again AS (SELECT DISTINCT d, i FROM (SELECT d, i, bool_or(hit) OVER (PARTITION BY d, d0, shift, stretch, run) AS hit FROM runs) WHERE hit),
+merged AS (SELECT d, min(i) AS lo, max(i) AS hi FROM (SELECT d, i, i - row_number() OVER (PARTITION BY d ORDER BY i) AS run FROM again) GROUP BY d, run),
+sized AS (SELECT m.d, m.lo, m.hi, sum(u.n) AS words FROM merged m JOIN u ON u.d = m.d AND u.i BETWEEN m.lo AND m.hi GROUP BY ALL),
+edges AS (SELECT d, i FROM u WHERE nl UNION ALL SELECT d, max(i) + 1 FROM u GROUP BY d),
+short AS (SELECT z.d, min(e.i) AS lo, max(e.i) - 1 AS hi FROM sized z JOIN edges e ON e.d = z.d AND e.i BETWEEN z.lo AND z.hi + 1 WHERE z.words < 24 GROUP BY z.d, z.lo HAVING max(e.i) > min(e.i)),
+gone AS (SELECT d, lo, hi FROM sized WHERE words >= 24 UNION ALL SELECT s.d, s.lo, s.hi FROM short s JOIN u ON u.d = s.d AND u.i BETWEEN s.lo AND s.hi GROUP BY ALL HAVING sum(u.n) >= 8),
+cut AS (SELECT g.d, g.lo, g.hi, a.pos AS at, b.pos AS until, NOT a.nl AS mid, NOT a.nl AND EXISTS (SELECT 1 FROM u WHERE u.d = g.d AND u.nl AND u.i BETWEEN g.lo + 1 AND g.hi + 1) AS feed
+        FROM gone g JOIN u a ON a.d = g.d AND a.i = g.lo JOIN u b ON b.d = g.d AND b.i = g.hi),
+dead AS (SELECT u.d, u.pos, c.feed AND u.i = c.lo AS feed FROM u JOIN cut c ON c.d = u.d AND u.i BETWEEN c.lo AND c.hi),
+left_over AS (SELECT l0.d, string_agg(CASE WHEN dead.pos IS NULL THEN l0.x WHEN dead.feed THEN chr(10) ELSE '' END, '' ORDER BY l0.pos) AS text FROM l0 LEFT JOIN dead USING (d, pos) GROUP BY l0.d),
+ended AS (SELECT c.d FROM cut c JOIN raw r USING (d) WHERE c.until = len(r.ps) - 1 AND NOT c.mid),
+counts AS (SELECT d, count(*) AS n FROM dead GROUP BY d)
+SELECT r.d AS doc_id, coalesce(len(string_split(r.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_deleted,
+       md5(CASE WHEN c.n IS NULL THEN r.text WHEN e.d IS NOT NULL AND o.text LIKE '%' || chr(10) THEN left(o.text, -1) ELSE o.text END) AS clean_md5
+FROM raw r LEFT JOIN counts c USING (d) LEFT JOIN left_over o USING (d) LEFT JOIN ended e USING (d)
 """
 
 

@@ -30,8 +30,11 @@ def ours(spark, rows):
 def test_lines_against_sql(spark):
     r = random.Random(0)
     lines = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(1, 14))) for _ in range(25)] + ["", "  "]
-    for _ in range(3):
-        rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(1, 12)))) for i in range(40)]
+    for k in range(4):
+        # with k, sentences in a line; at last, few long documents of many units
+        joins = ["\n"] if not k else ["\n", ". ", ". ", "! ", "。"]
+        rows = [(i, "".join(r.choice(lines) + r.choice(joins) for _ in range(r.randint(1, 12) if k < 3 else 300))) for i in range(40 if k < 3 else 8)]
+        rows = [(i, t[:-1] if i % 2 else t) for i, t in rows]
         assert ours(spark, rows) == duck(rows)
 
 
@@ -78,14 +81,71 @@ def test_guarantee(spark):
     assert all(got[i] == n for i, n in shared) and all(got[2 * k] == 0 for k in range(30))
 
 
+def cleaned(spark, rows, kind="long", **options):
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    return {r.doc_id: r.text_clean for r in linededup.dedup_lines(docs, **options).collect()}
+
+
 def test_tails(spark):
-    """With tails a line of 8 words or more is found at the end of any document, however short."""
+    """A line of 8 words or more is found at the end of any document, however short."""
     line = "one two three four five six seven eight nine"
     rows = [(1, f"top\n{line}\n{LONG}"), (2, f"{LONG} own a\n{line}"), (3, line), (4, f"own b\n{line}\n"), (5, "one two three four"), (6, "one two three four")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text_clean for r in linededup.dedup_lines(docs, tails=True).collect()}
-    assert got == {1: rows[0][1], 2: f"{LONG} own a", 3: "", 4: "own b\n", 5: rows[4][1], 6: rows[5][1]}
-    stage = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs.selectExpr("*", "0L AS n_chars"), "").collect()}
+    assert cleaned(spark, rows) == {1: rows[0][1], 2: f"{LONG} own a", 3: "", 4: "own b\n", 5: rows[4][1], 6: rows[5][1]}
+
+
+def sentence(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n)) + "."
+
+
+def test_passages_within_lines(spark):
+    """Passages of over 50 words in the middle of lines, cut in at any word, in the same place of no two documents."""
+    r = random.Random(5)
+    rows, passages = [], []
+    for k in range(12):
+        passage = " ".join(sentence(r, r.randint(5, 11)) for _ in range(8))[:-1]
+        passages.append(passage.split())
+        for i in range(4):
+            around = [" ".join(sentence(r, r.randint(4, 12)) for _ in range(6)).split() for _ in range(2)]
+            at, to = r.randint(3, 30), r.randint(3, 30)
+            rows.append((4 * k + i, " ".join(around[0][:at] + passages[-1] + around[1][to:])))
+    got = cleaned(spark, rows)
+    for k, passage in enumerate(passages):
+        inner = " ".join(passage[12:-12])
+        assert got[4 * k] == rows[4 * k][1]
+        for i in range(1, 4):
+            # all but the sentences that the passage is cut in
+            lost = len(rows[4 * k + i][1].split()) - len(got[4 * k + i].split())
+            assert inner not in got[4 * k + i] and len(passage) - 24 <= lost <= len(passage)
+    assert cleaned(spark, [(i, sentence(r, 60)) for i in range(5)])[3].count(" ") == 59
+
+
+def test_what_stays_of_lines(spark):
+    """Line feeds of lines that stay in part stay, those of whole lines go; short runs within lines stay."""
+    a, b, c, d = ("Aa bb cc dd ee ff gg hh ii jj kk.", "Ba bb cc dd ee ff gg hh ii jj kk!", "Ca bb cc dd ee ff gg hh ii jj kk?", "Da bb cc dd ee ff gg hh ii jj kk.")
+    rows = [(1, f"{a} {b} {c}\n{d}"), (2, f"x y. {a} {b} {c}\nz"), (3, f"x\n{a} {b} {c} y z.\nz"), (4, f"w. {b} {c}\n{d} v\n\nu"), (5, f"one. {b} two."), (6, f"{d}\nend"), (7, f"q. {a} {b} {c}\n{d} r."), (8, f"k\n{d}")]
+    assert cleaned(spark, rows) == {1: rows[0][1], 2: "x y. \nz", 3: "x\ny z.\nz", 4: "w. \nv\n\nu", 5: rows[4][1], 6: "end", 7: "q. \nr.", 8: "k"}
+    assert ours(spark, rows) == duck(rows)
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", f"x\n{LONG}"), ("a", LONG), (None, f"{LONG}\ny"), ("a", LONG)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter((r.doc_id, r.text_clean) for r in got) == Counter([("b", "x"), ("a", ""), ("a", ""), (None, f"{LONG}\ny")])
+
+
+def test_a_mark_in_the_text_is_kept(spark):
+    rows = [(1, LONG), (2, f"a\ufdd0b\n{LONG}\nc. d")]
+    assert cleaned(spark, rows) == {1: LONG, 2: "a\ufdd0b\nc. d"}
+
+
+def test_copies_are_spared(spark):
+    """With spare a document that is mostly repeated stays whole, for the near-duplicate stage."""
+    r = random.Random(6)
+    text = "\n".join(sentence(r, 12) for _ in range(10))
+    rows = [(1, text), (2, text), (3, text.replace(" ", " x ", 1)), (4, text[: len(text) // 2] + "\n" + "\n".join(sentence(r, 12) for _ in range(10)))]
+    got = cleaned(spark, rows, spare=0.6)
+    assert [got[i] for i in (1, 2, 3)] == [rows[i][1] for i in range(3)] and len(got[4]) < len(rows[3][1]) * 0.8
+    stage = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0L AS n_chars"), "").collect()}
     assert stage == got
 
 
