@@ -15,6 +15,9 @@ from marginflow.llm import bpe, langid, linededup, mixing, simhash
 from marginflow.llm.common import checkpointed, read
 from marginflow.llm.queries import tokenizer_path
 
+#: Share of a document's words that line dedup deletes at most.
+SPARE = 0.6
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language. ``und`` (null or without a letter) and texts whose nearest codeword is
@@ -24,9 +27,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated runs of lines, at documents' ends too; ``n_chars`` follows the text. All
-    documents stay."""
-    clean = linededup.dedup_lines(docs, out="text", tails=True)
+    """Deletes later copies of repeated runs of lines and passages; ``n_chars`` follows the text. All documents
+    stay. One that would lose more than SPARE of its words is a copy, which the next stage judges as a whole."""
+    clean = linededup.dedup_lines(docs, out="text", count="__deleted", spare=SPARE)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
