@@ -1,10 +1,11 @@
 """BPE encoding by a bounded-lookahead streaming transducer, and incremental decoding.
 
-The merge list fixes how far to the right of a boundary text can matter (``MergeTable.lookahead``). A token that
-ends at least that many symbols before the end of what has been read can no longer change, so it is emitted and
-forgotten; the state is the unread tail. Words up to ``MEMO_SYMBOLS`` are tokenised at once and remembered in a
-table of fixed size. The tokens between two boundaries of a tokenisation are the tokenisation of the text between
-them, so the transducer may restart at each boundary that it emits.
+The merge list fixes how far to the right of a boundary text can matter: ``MergeTable.far`` for the token before the
+boundary, ``MergeTable.lookahead`` for any. Each word runs through the transducer (``MergeTable.stream``): every
+``STEP`` symbols, the tokens up to the last boundary with enough symbols behind it can no longer change, so they are
+emitted and forgotten; the state is the unread tail. The tokens between two boundaries of a tokenisation are the
+tokenisation of the text between them, so the transducer may restart at each boundary that it emits. What it made of
+a word is remembered in a table of bounded bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -23,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import with_code
-
-#: Longest word, in symbols, that is tokenised in one piece and may be remembered.
-MEMO_SYMBOLS = 256
-#: Most words remembered in a worker; the table is emptied when full.
-MEMO_WORDS = 800_000
+from .common import slices
+
+#: Symbols read between two looks at which tokens are stable.
+STEP = 16
+#: Bytes of remembered words in a worker, in two generations; the older one goes when the younger one is full.
+MEMO_BYTES = 96 << 20
+#: Longest chunk, in characters, that is remembered.
+MEMO_CHARS = 256
 #: Characters read at a time; a piece ends before white space.
 PIECE_CHARS = 1 << 16
 
@@ -86,22 +91,29 @@ class MergeTable:
         symbols = byte_symbols()
         self.inner = [self.vocab.get(s) for s in symbols]
         self.final = [self.vocab.get(s + self.suffix) for s in symbols]
-        self.lookahead = self._lookahead(merges)
+        far = self._lookahead(merges)
+        #: By token: symbols right of it that can decide whether it stands.
+        self.far = [far.get(self.tokens.get(i), 0) for i in range(max(self.tokens, default=-1) + 1)]
+        self.width = [self._size(self.tokens.get(i, "")) for i in range(len(self.far))]
+        self.lookahead = max(self.far, default=0)
+
+    def _size(self, token: str) -> int:
+        return len(token.removesuffix(self.suffix)) if self.suffix else len(token)
 
-    def _lookahead(self, merges: list[tuple[str, str]]) -> int:
-        """Most symbols right of a boundary that can decide whether a merge crosses it.
+    def _lookahead(self, merges: list[tuple[str, str]]) -> dict[str, int]:
+        """By token, the most symbols right of it that can decide whether a merge takes it away.
 
         Whether token y stands when rule r is tried depends on text right of y only through earlier rules that
         take y as their left part, and through the rule that made y, whose right part is subject to the same.
-        ``far[y]`` is that distance over the rules seen so far; rules are seen in order of rank.
+        ``far[y]`` is that distance over the rules seen so far; rules are seen in order of rank. What lies left of a
+        boundary that stands is merged the same whatever lies right of it, so the last token alone decides.
         """
         far: dict[str, int] = {}
-        size = lambda t: len(t.removesuffix(self.suffix)) if self.suffix else len(t)
         for x, y in merges:
             beyond = far.get(y, 0)
-            far[x] = max(far.get(x, 0), size(y) + beyond)
+            far[x] = max(far.get(x, 0), self._size(y) + beyond)
             far[x + y] = max(far.get(x + y, 0), beyond)
-        return max(far.values(), default=0) + 1  # and the symbol that tells whether the word ends
+        return far
 
     def merge(self, ids: list[int]) -> list[int]:
         """The merges in order of rank, leftmost first, over one whole piece of a word."""
@@ -141,59 +153,78 @@ class MergeTable:
                 ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
-    def stream(self, symbols: Iterable[int]) -> Iterator[int]:
-        """Tokens of one word given as a stream of symbols, each emitted once it is stable."""
-        window = max(4096, 4 * self.lookahead)
+    def stream(self, symbols: Iterable[int], step: int = STEP) -> Iterator[int]:
+        """Tokens of one word given as a stream of symbols, each emitted once it is stable. No more than about
+        ``lookahead``, a token and ``step`` symbols are held."""
         tail: list[int] = []
-        width = {}
+        seen, far, width = 0, self.far, self.width
         for s in symbols:
             tail.append(s)
-            if len(tail) < window:
+            seen += 1
+            if seen % step:
                 continue
-            done, end = 0, len(tail) - self.lookahead
-            for token in self.merge(tail):
-                if token not in width:
-                    width[token] = len(self.tokens[token].removesuffix(self.suffix) if self.suffix else self.tokens[token])
-                if done + width[token] > end:
+            ids, behind = self.merge(tail), 0
+            for k in range(len(ids) - 1, -1, -1):
+                if behind >= far[ids[k]]:
+                    yield from ids[: k + 1]
+                    tail = tail[len(tail) - behind :]
                     break
-                done += width[token]
-                yield token
-            tail = tail[done:]
+                behind += width[ids[k]]
         yield from self.merge(tail)
 
-    def word(self, word: bytes) -> list[int]:
-        """Tokens of one word (a piece that the pre-tokenizer cuts out), as UTF-8."""
-        ids = [*map(self.inner.__getitem__, word[:-1]), self.final[word[-1]]]
-        if None in ids:  # bytes that the vocabulary lacks are left out
-            ids = [i for i in ids if i is not None]
-        return self.merge(ids) if len(ids) <= MEMO_SYMBOLS else list(self.stream(ids))
+    def symbols(self, word: str) -> Iterator[int]:
+        """The symbols of a word (a piece that the pre-tokenizer cuts out), without those that the vocabulary lacks."""
+        for at in range(0, len(word), PIECE_CHARS):
+            data = word[at : at + PIECE_CHARS].encode()
+            last = at + PIECE_CHARS >= len(word)
+            for s in map(self.inner.__getitem__, data[:-1] if last else data):
+                if s is not None:
+                    yield s
+            if last and (s := self.final[data[-1]]) is not None:
+                yield s
 
 
 class Encoder:
     """Text to token ids, in pieces; remembers the ids of chunks between white space."""
 
     def __init__(self, table: MergeTable):
-        self.table, self.memo = table, {}
+        self.table, self.memo, self.old, self.held = table, {}, {}, 0
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(table.added, key=len, reverse=True))) + ")") if table.added else None
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _words(self, chunk: str) -> Iterable[str]:
         if chunk.isalpha() or not self.table.drops_space:
-            words = [chunk]
-        elif chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
-            words = [chunk[:-1], chunk[-1]]  # as the pattern would have it
-        else:
-            words = self.table.pattern.findall(chunk)
-        out = b"".join([self.memo.get(w) or self._word(w) for w in words]) if len(words) > 1 else self._word(words[0]) if words else b""
+            return [chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            return [chunk[:-1], chunk[-1]]  # as the pattern would have it
+        return (m[0] for m in self.table.pattern.finditer(chunk))
+
+    def _chunk(self, chunk: str) -> bytes:
+        if (out := self.old.get(chunk)) is None:
+            words = list(self._words(chunk))
+            out = b"".join([self.memo.get(w) or self._word(w) for w in words]) if words != [chunk] else self._word(chunk)
         return self._remember(chunk, out)
 
     def _word(self, word: str) -> bytes:
-        return self._remember(word, array("I", self.table.word(word.encode())).tobytes())
+        out = self.old.get(word)
+        return self._remember(word, array("I", self.table.stream(self.table.symbols(word))).tobytes() if out is None else out)
+
+    def _long(self, chunk: str) -> Iterator[bytes]:
+        """The ids of a chunk of any length, in blocks."""
+        block = array("I")
+        for word in self._words(chunk):
+            for token in self.table.stream(self.table.symbols(word)):
+                block.append(token)
+                if len(block) >= PIECE_CHARS:
+                    yield block.tobytes()
+                    block = array("I")
+        yield block.tobytes()
 
     def _remember(self, chunk: str, out: bytes) -> bytes:
-        if len(chunk) <= MEMO_SYMBOLS:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
+        if len(chunk) <= MEMO_CHARS and chunk not in self.memo:
+            self.held += sys.getsizeof(chunk) + sys.getsizeof(out) + 100  # and the table's own place for it
             self.memo[chunk] = out
+            if 2 * self.held > MEMO_BYTES:
+                self.old, self.memo, self.held = self.memo, {}, 0
         return out
 
     def _pieces(self, text: str) -> Iterator[str]:
@@ -220,14 +251,18 @@ class Encoder:
         """Blocks of ids as native unsigned 32-bit integers. A null or empty text gives none."""
         if not text:
             return
-        memo = self.memo
         parts = self.special.split(text) if self.special and self.special.search(text) else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 yield array("I", [self.table.added[part]]).tobytes()
                 continue
             for piece in self._pieces(part):
-                yield b"".join([memo.get(c) or self._chunk(c) for c in self._normal(piece)])
+                chunks, get = self._normal(piece), self.memo.get
+                if len(piece) <= 2 * PIECE_CHARS:
+                    yield b"".join([get(c) or self._chunk(c) for c in chunks])
+                else:  # without white space for long
+                    for c in chunks:
+                        yield from self._long(c)
 
 
 class Decoder:
@@ -266,8 +301,8 @@ def _codec(path: str) -> tuple[Encoder, Decoder]:
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
     """The ``keep`` columns with n_tokens, ids_sha256, decoded_sha256 and, on request, the ids themselves.
 
-    One pass over the rows where they are, no shuffle; memory is bounded by a batch. A null or empty text has no
-    tokens; very long texts, and words without any white space, run through the transducer in pieces. Repeated
+    One pass over the rows where they are, no shuffle; memory is bounded by a text and MEMO_BYTES, since ids are
+    digested block by block (with ``ids``, by the ids of 256 rows). A null or empty text has no tokens. Repeated
     rows give repeated rows; further columns are left out unless named in ``keep``.
     """
     fields = [docs.schema[c] for c in keep]
@@ -279,17 +314,22 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
         import pyarrow as pa
 
         encoder, decoder = _codec(path)
-        for batch in batches:
+        def watched(blocks, h, counts):
+            for b in blocks:
+                h.update(b)
+                counts.append(len(b) // 4)
+                yield b
+
+        for batch in slices(batches):
             out: dict[str, list] = {n: [] for n in names}
             lists = []
             for value in batch.column(batch.num_columns - 1):
-                blocks = list(encoder.encode(value.as_py()))
-                h, d = hashlib.sha256(), hashlib.sha256()
-                for b in blocks:
-                    h.update(b)
-                for b in decoder.decode(blocks):
+                h, d, counts = hashlib.sha256(), hashlib.sha256(), []
+                blocks = encoder.encode(value.as_py())
+                blocks = list(blocks) if ids else blocks
+                for b in decoder.decode(watched(blocks, h, counts)):
                     d.update(b)
-                out["n_tokens"].append(sum(map(len, blocks)) // 4)
+                out["n_tokens"].append(sum(counts))
                 out["ids_sha256"].append(h.hexdigest())
                 out["decoded_sha256"].append(d.hexdigest())
                 if ids:
