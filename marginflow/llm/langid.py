@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import with_code
-from .common import slices, train_split
+from .common import checkpointed, slices, train_split
 
 BUCKETS = 1 << 16
-#: Labelled rows in the training sample, as expected number: rows are taken by hash of their id.
+#: Labelled rows in the training sample, as expected number: rows are taken by hash of their id and text.
 SAMPLE_ROWS = 8192
-#: Most languages learned, those with most rows in the sample; labels beyond that are taken for noise.
-MOST_LANGS = 200
+#: Rows of each language that come into the sample besides, as expected number, however rare the language is.
+RARE_ROWS = 64
 #: Below this score, with no language as likely as the rest together, the nearest codeword is called ambiguous.
 CLEAR = 0.5
 #: Mean log-odds are multiplied by this before the logistic loss.
@@ -106,51 +106,62 @@ class Model:
         return loss.argmin(1), 1 / p.sum(1)
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from ``text`` and non-null ``lang`` of rows that are not held out.
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, rare_rows: int = RARE_ROWS) -> Model:
+    """A model from ``text`` and non-null ``lang`` of rows that are not held out, for all languages among them.
 
-    About ``sample_rows`` rows are used, picked by hash of the id. Executors sum each text's trigram shares as
-    integers, so sums don't depend on order; the driver gets a number for each language and bucket seen, for at most MOST_LANGS languages. Without
-    labelled rows the model has no language and predicts ``und``.
+    About ``sample_rows`` rows are used, picked by hash of id and text, and at least about ``rare_rows`` of each
+    language. Executors sum each text's trigram shares as integers, so sums don't depend on order; the driver gets
+    a number for each language and bucket seen in the sample. Without labelled rows the model has no language and
+    predicts ``und``.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~train_split(F.col("doc_id")))
-    n = rows.count()
-    share = min(1.0, sample_rows / max(1, n))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("lang", "text")
+    sizes = checkpointed(rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("__n")))
+    n = sizes.agg(F.sum("__n")).first()[0] or 0
+    share = F.greatest(F.lit(sample_rows / max(1, n)), F.lit(float(rare_rows)) / F.col("__n"))
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    # the sizes' own statistics decide whether they are broadcast
+    picked = rows.select(F.col("lang").cast("string").alias("lang"), "text", u.alias("__u")).join(sizes, "lang").where(F.col("__u") < share).select("lang", "text")
 
     def count(batches):
-        import pyarrow as pa
-
-        sums: dict[str, np.ndarray] = {}
         for batch in slices(batches):
+            sums: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 idx, ok = trigrams(cleaned(text) + b"  ")
                 idx = idx[ok]
                 if len(idx):
-                    sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    sums[lang] += np.bincount(idx, minlength=BUCKETS) * UNIT // len(idx)
+                    at, times = np.unique(idx, return_counts=True)
+                    got = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    got[at] += times * UNIT // len(idx)
+                if len(sums) > 32:
+                    yield from flush(sums)
+                    sums = {}
+            yield from flush(sums)
+
+    def flush(sums):
+        import pyarrow as pa
+
         for lang, v in sums.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = with_code(picked).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # an executor's model and the driver's counts are bounded by MOST_LANGS x BUCKETS
-    known = [r[0] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    got = counts.where(F.col("lang").isin(known)).toArrow().to_pydict() if known else {"lang": [], "bucket": [], "n": []}
-    langs = sorted(set(got["lang"]))
-    share_of = np.zeros((len(langs), BUCKETS))
+    counts = with_code(picked).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = counts.column("lang").to_pylist()
+    langs = sorted(set(names))
     where = {x: i for i, x in enumerate(langs)}
-    share_of[[where[x] for x in got["lang"]], got["bucket"]] = got["n"]
-    if langs:
-        share_of /= share_of.sum(1, keepdims=True)
+    of = np.array([where[x] for x in names], np.int64)
+    bucket, share_of = counts.column("bucket").to_numpy(), counts.column("n").to_numpy().astype(float)
+    if langs:  # a language's shares add up to 1
+        order = np.lexsort((bucket, of))  # sums in one order, whatever comes first
+        of, bucket, share_of = of[order], bucket[order], share_of[order]
+        share_of /= np.bincount(of, share_of, len(langs))[of]
     codes = codewords(len(langs))
     smooth = 1e-6
     weights = np.zeros((codes.shape[1], BUCKETS), np.float32)
     trust = np.ones(codes.shape[1])
     for b in range(codes.shape[1]):
-        one, none = (np.log(share_of[codes[:, b] == s].mean(0) + smooth) for s in (1, -1))
-        weights[b] = one - none
-        gap = (share_of @ weights[b].astype(np.float64)) * codes[:, b]
+        mean = lambda side: np.bincount(bucket, share_of * (codes[of, b] == side), BUCKETS) / (codes[:, b] == side).sum()  # noqa: B023, E731
+        weights[b] = np.log(mean(1) + smooth) - np.log(mean(-1) + smooth)
+        gap = np.bincount(of, share_of * weights[b].astype(np.float64)[bucket], len(langs)) * codes[:, b]
         trust[b] = max(0.05, np.tanh(gap.min()))  # how far the worst language lies on its side
     return Model(langs, codes, weights, trust)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -18,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import with_code
-from .common import train_split
+from .common import checkpointed, train_split
 
 #: Labelled rows in the training sample, as expected number: rows are taken by hash of their id.
 SAMPLE_ROWS = 16_384
-#: Most entries learned.
-MOST_ENTRIES = 2000
+#: Sampled ids up to which they are broadcast; beyond, the texts are joined by id.
+BROADCAST_IDS = 1_000_000
+#: Decimals of the features that the curve is fitted to.
+GRID = 2
 #: Lengths of the beginnings of words that are tried.
 PREFIXES = range(2, 9)
 #: Words known beforehand, with the weight they have where no label tells otherwise.
@@ -31,12 +34,17 @@ GIVEN = ("idiot", "moron", "scum", "stupid", "trash", "loser", "worthless", "pat
 #: Phrases in which a match is meant otherwise.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "not stupid", "no idiot", "loser bracket")
 
-_CYRILLIC, _CYRILLIC_AS = "аеорсухіјѕԁһԛԝкмтвн", "aeopcyxijsdhqwkmtbh"
-_GREEK, _GREEK_AS = "αοερνικτυ", "aoepviktu"
-_HOMOGLYPHS = str.maketrans(_CYRILLIC + _GREEK, _CYRILLIC_AS + _GREEK_AS)
-_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
-_LOOKS_FOREIGN = re.compile("[\u00ad\u0370-\u052f\u200b-\u200d\u2060\ufeff\uff01-\uff5e]")
-_WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
+#: Letters that look like Latin ones, in the order of those they stand for.
+_CYRILLIC, _CYRILLIC_AS = "аеорсухіјѕԁһԛԝкмтвнгзбчѵүёїӏ", "aeopcyxijsdhqwkmtbhr3b4vyeil"
+_GREEK, _GREEK_AS = "αβεγηικνορτυχωζμ", "abeynikvoptuxwzu"
+_ARMENIAN, _ARMENIAN_AS = "աոսցօհյքզ", "anugohjqq"
+_SMALL_CAPS, _SMALL_CAPS_AS = "ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢıɑɡɩʋøđħłŧæœß", "abcdefghijklmnoprstuvwyziagivodhltaob"
+_HOMOGLYPHS = str.maketrans(_CYRILLIC + _GREEK + _ARMENIAN + _SMALL_CAPS, _CYRILLIC_AS + _GREEK_AS + _ARMENIAN_AS + _SMALL_CAPS_AS)
+#: Marks that decomposed letters carry, and signs that are not seen.
+_UNSEEN = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+#: Letters one by one with a sign between them.
+_APART = re.compile(r"(?<![^\W_])(?:[a-z][.\-_*·]){2,}[a-z](?![^\W_])")
+_HAS_APART = re.compile(r"[a-z][.\-_*·][a-z][.\-_*·][a-z]")
 _SIGNS = str.maketrans("013457@$", "oieastas")
 _MIXED = re.compile(r"(?<=[a-z])[013457@$]+(?=[a-z])|(?<![^\W_])[013457@$]+(?=[a-z]{2})|(?<=[a-z][a-z])[013457](?![^\W_])")
 _HAS_SIGN = re.compile(r"[a-z][013457@$]|[013457@$][a-z]")
@@ -44,13 +52,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and digits mapped; other letters, spacing and signs stay."""
+    """Lower case; compatibility forms, accents and look-alikes to plain letters; digits and signs inside words to
+    the letters they stand for; letters set apart by signs together. Other letters, spacing and signs stay."""
     text = text.lower()
-    if not text.isascii() and _LOOKS_FOREIGN.search(text):
-        text = _INVISIBLE.sub("", text).translate(_WIDE).lower().translate(_HOMOGLYPHS)
+    if not text.isascii():
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text)).lower().translate(_HOMOGLYPHS)
     if _HAS_SIGN.search(text):
         for _ in range(2):  # signs next to signs
             text = _MIXED.sub(lambda m: m[0].translate(_SIGNS), text)
+    if _HAS_APART.search(text):
+        text = _APART.sub(lambda m: re.sub(r"[^a-z]", "", m[0]), text)
     return text
 
 
@@ -128,7 +139,7 @@ def entries_of(text: str) -> set[str]:
     out = set()
     for w in set(_WORD.findall(fold(text))):
         if len(w) > 1:
-            out.add(w[:40] + "$")
+            out.add(w + "$")
             out.update(w[:k] for k in PREFIXES if len(w) >= k)
     return out
 
@@ -140,6 +151,7 @@ def _tally(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
         import pyarrow as pa
 
         counts: Counter[str] = Counter()
+        read = 0
 
         def flush():
             got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
@@ -150,8 +162,10 @@ def _tally(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
             for text in batch.column(0):
                 found = entries_of(text.as_py())
                 counts.update(found if only is None else found & only)
-                if len(counts) > 500_000:
+                read += len(found) + sum(map(len, found)) // 16
+                if read > 2_000_000:
                     yield flush()
+                    read = 0
         yield flush()
 
     return with_code(rows).mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
@@ -171,50 +185,63 @@ def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, f
     return tuple(float(v) for v in b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = MOST_ENTRIES) -> Lexicon:
+def least_rows(n1: int) -> int:
+    """Toxic rows, of ``n1``, that have to have an entry: a hundredth of them, and two at least."""
+    return max(2, n1 // 100)
+
+
+def chosen(ones: dict[str, int], zeros: dict[str, int], n1: int, n0: int) -> dict[str, float]:
+    """Weights of the entries kept, from their counts in n1 toxic and n0 other rows.
+
+    The weight is the log ratio of both rates. It lies above 2, and the toxic rate, less what chance may add, above
+    three times the other. An entry that a kept shorter one begins goes, unless it weighs 0.7 more.
+    """
+    weight = {}
+    for e, a in ones.items():
+        w = math.log((a + 0.5) / (n1 + 1)) - math.log((zeros.get(e, 0) + 0.5) / (n0 + 1))
+        if w > 2.0 and (a - 1.64 * math.sqrt(a)) / n1 > 3 * (zeros.get(e, 0) + 1) / n0:
+            weight[e] = w
+    kept: dict[str, float] = {}
+    for e in sorted(weight, key=lambda e: (len(e.rstrip("$")), e)):
+        stem = e.rstrip("$")
+        if not any(kept.get(stem[:k], 0) >= weight[e] - 0.7 for k in range(1, min(len(stem), PREFIXES[-1]) + 1)):
+            kept[e] = weight[e]
+    return kept
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
     """A lexicon and curve from labelled rows that are not held out.
 
     About ``sample_rows`` ids are used, by their hash; an id with several labels is toxic if one of them says so, and
-    each of its documents counts. Entries in too
-    few toxic rows are dropped, then counted in the others; those much likelier in toxic rows are kept, the
-    shortest of those that say the same. The driver gets entry counts, at most 20 times ``most``, and three numbers
-    for each row of the sample. Without labels of both kinds the given words and a fixed curve are used.
+    each of its documents counts. Entries much likelier in toxic rows are kept, the shortest of those that say the
+    same; no number of entries is set, but those in too few toxic rows to be told from chance are not. The driver
+    gets the counts of entries in that many toxic rows of the sample, and the rows' features on a grid. Without
+    labels of both kinds the given words and a fixed curve are used.
     """
     usable = F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~train_split(F.col("doc_id"))
     marked = labels.where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marked.count()
     share = min(1.0, sample_rows / max(1, n))
-    marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    marked = checkpointed(marked.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
     given = {f"{w}$": 3.0 for w in GIVEN}
-    # the sample's ids are bounded by sample_rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").where("text IS NOT NULL")
+    small = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
+    rows = docs.select("doc_id", "text").join(small, "doc_id").where("text IS NOT NULL")
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
     if not n1 or not n0:
         return Lexicon(given)
     toxic, clean = rows.where("toxic = 1").select("text"), rows.where("toxic <> 1").select("text")
-    floor = max(2, n1 // 100)
-    ones = {r[0]: r[1] for r in _tally(toxic, None).where(F.col("n") >= floor).orderBy(F.desc("n"), "entry").limit(20 * most).collect()}
-    # an entry that says the same as a shorter one is left out before counting
+    ones = {r[0]: r[1] for r in _tally(toxic, None).where(F.col("n") >= least_rows(n1)).collect()}
     zeros = {r[0]: r[1] for r in _tally(clean, frozenset(ones)).collect()}
-    weight = {}
-    for e, a in ones.items():
-        w = math.log((a + 0.5) / (n1 + 1)) - math.log((zeros.get(e, 0) + 0.5) / (n0 + 1))
-        if w > 2.0 and (a - 1.64 * math.sqrt(a)) / n1 > 3 * (zeros.get(e, 0) + 1) / n0:
-            weight[e] = w
-    kept: dict[str, float] = {}
-    for e in sorted(weight, key=lambda e: (len(e.rstrip("$")), e)):
-        stem = e.rstrip("$")
-        if not any(kept.get(stem[:k], 0) >= weight[e] - 0.7 for k in range(1, len(stem) + 1)):
-            kept[e] = weight[e]
-    top = dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:most])
+    top = chosen(ones, zeros, n1, n0)
     lexicon = Lexicon({**{e: w for e, w in given.items() if e.rstrip("$") not in top}, **top})
 
     def features(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = [lexicon.features(t.as_py()) for t in batch.column(1)]
+            # on a grid, so that the driver's share is bounded however often an id's documents repeat
+            got = [[round(v, GRID) for v in lexicon.features(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), *(pa.array([g[i] for g in got], pa.float64()) for i in (0, 1))], names=["toxic", "x", "y"])
 
     found = with_code(rows).select("toxic", "text").mapInArrow(features, "toxic int, x double, y double")
