@@ -64,9 +64,9 @@ def _units(pieces: Column) -> Column:
 
 
 def _words(t: Column) -> Column:
-    """Words of each unit: one more than blanks, and no more than other characters, so that wide gaps make none."""
-    full = F.transform(t, lambda x: F.length(F.replace(x, F.lit(" "), F.lit(""))))
-    return F.zip_with(t, full, lambda x, n: F.least(F.length(x) - n + 1, n))
+    """Words of each unit: one more than blanks, and no more than other bytes, so that wide gaps make none."""
+    full = F.transform(t, lambda x: F.octet_length(F.replace(x, F.lit(" "), F.lit(""))))
+    return F.zip_with(t, full, lambda x, n: F.least(F.octet_length(x) - n + 1, n))
 
 
 def _document(docs: DataFrame, doc_id: str) -> Column:

@@ -76,7 +76,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return clean.select("doc_id", n.alias("n_lines"), "n_deleted", F.md5("text_clean").alias("clean_md5"))
 
 
@@ -84,7 +84,7 @@ OP6_SQL = """
 WITH raw AS (SELECT doc_id AS d, text, string_split(replace(regexp_replace(replace(text, chr(10), chr(10) || chr(64976)), '([.!?;] )', '\\1' || chr(64976), 'g'), chr(12290), chr(12290) || chr(64976)), chr(64976)) AS ps FROM documents),
 l0 AS (SELECT d, unnest(ps) AS x, unnest(range(len(ps))) AS pos FROM raw),
 l1 AS (SELECT d, pos, x, trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11) || chr(10)) AS t, coalesce(lag(x) OVER (PARTITION BY d ORDER BY pos) LIKE '%' || chr(10), true) AS nl FROM l0),
-l2 AS (SELECT d, pos, nl, t, substr(md5(t), 1, 16) AS h, least(length(t) - length(replace(t, ' ', '')) + 1, length(replace(t, ' ', ''))) AS n FROM l1 WHERE t <> ''),
+l2 AS (SELECT d, pos, nl, t, substr(md5(t), 1, 16) AS h, least(strlen(t) - strlen(replace(t, ' ', '')) + 1, strlen(replace(t, ' ', ''))) AS n FROM l1 WHERE t <> ''),
 u AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, sum(n) OVER (PARTITION BY d)::BIGINT AS total,
              nl AND coalesce(lead(nl) OVER w, true) AS line FROM l2 WINDOW w AS (PARTITION BY d ORDER BY pos)),
 g0 AS (SELECT d, i, s, n, line, CASE WHEN n >= 8 THEN h WHEN s + 8 <= total THEN substr(md5(list_aggregate(list(h) OVER (PARTITION BY d ORDER BY s RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING), 'string_agg', '')), 1, 16) END AS g FROM u),
