@@ -223,7 +223,7 @@ def test_near_duplicates_against_brute_force(spark, tile):
 def test_forest_of_a_dense_group_is_small():
     r = np.random.default_rng(0)
     fps = np.array(sorted({int(x) for x in (1 << r.integers(0, 62, 400)) | (1 << r.integers(0, 62, 400))}), np.int64)
-    links = simhash.forest(fps, 4)
+    links = simhash.forest(fps, 4)  # rows of fps
     assert len(links) == len(fps) - 1
 
 
@@ -238,3 +238,42 @@ def test_documents(spark):
     want = Counter((i, f, least[c]) for (i, _), f, c in zip(rows, fps, comp))
     assert Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got) == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def edited(r, text, share):
+    words = text.split()
+    for i in r.sample(range(len(words)), int(share * len(words))):
+        words[i] = sentence(r, 1)
+    return " ".join(words)
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_texts_by_five_word_shingles(spark):
+    """Recall of pairs with a similarity of 0.8 or more over 0.9; texts below 0.6, and others, are left alone."""
+    r = random.Random(7)
+    vocabulary = [sentence(r, 1)[:-1] for _ in range(3000)]
+    rows, close = [], 0
+    for k in range(120):
+        text = " ".join(r.choice(vocabulary) for _ in range(r.randint(150, 600)))
+        rows.append((10 * k, text))
+        rows.append((10 * k + 1, edited(r, text, 0.02 if k < 90 else 0.09)))
+    rows += [(5000, rows[0][1]), (None, None), (5001, ""), (5002, rows[0][1])]
+    got = {x.doc_id: x.component_id for x in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5000] == got[5002] == 0 and got[5001] == 5001 and got[None] == 5001
+    hits = [got[10 * k + 1] == 10 * k for k in range(120) if jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8]
+    far = [got[10 * k + 1] == 10 * k + 1 for k in range(120) if jaccard(rows[2 * k][1], rows[2 * k + 1][1]) < 0.6]
+    assert len(hits) > 60 and sum(hits) >= 0.9 * len(hits) and len(far) > 20 and all(far)
+    assert simhash.near_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_group_of_near_texts(spark):
+    """A large group of near copies is one component, with small tiles too."""
+    r = random.Random(8)
+    text = " ".join(sentence(r, 1)[:-1] for _ in range(400))
+    rows = [(i, edited(r, text, 0.008)) for i in range(300)] + [(1000 + i, sentence(r, 200)) for i in range(50)]
+    got = {x.doc_id: x.component_id for x in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i for i in range(50))
