@@ -39,23 +39,28 @@ def train_split(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all of a row that can be hashed, to break ties: rows with the same one are the same."""
+    return F.xxhash64(*[f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+
+
 def gapless_rank(df: DataFrame, groups: list[str], order: list[str], out: str, buckets: int = 4096) -> DataFrame:
-    """Adds ``out``: 0, 1, 2, ... within each group, without sending a group to one task.
+    """Adds ``out``: 0, 1, 2, ... within each group, without sending a group or a repeated key to one task.
 
-    Rows are dealt by (group, bucket of the order columns' hash). Counts per (group, bucket), at most
-    ``buckets`` rows a group, give each bucket its offset; rows are numbered within their bucket only. The
-    count and the numbering both partition by (group, bucket), so the rows move once. Null group values form
-    one group. Rows equal in all order columns get consecutive numbers in any order.
+    Rows are dealt by (group, bucket of the order columns' and the whole row's hash). Counts per (group, bucket), at
+    most ``buckets`` rows a group, give each bucket its offset; rows are numbered within their bucket only, in order
+    of ``order`` and then of the whole row's hash, so that a task that is run again numbers them the same. The count
+    and the numbering both partition by (group, bucket), so the rows move once. Null group values form one group.
     """
     keys = [f"__g{i}" for i in range(len(groups))]
-    keyed = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    keyed = df.withColumn("__tie", row_hash(df)).withColumn("__b", F.pmod(F.xxhash64(*order, "__tie"), F.lit(buckets)).cast("int"))
     for key, group in zip(keys, groups, strict=True):
         # one non-null string key for each value, so that joins match nulls
         keyed = keyed.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null")))
     counts = keyed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*keys, "__b").orderBy(*order)
+    within = Window.partitionBy(*keys, "__b").orderBy(*order, "__tie")
     ranked = keyed.join(offsets, [*keys, "__b"]).withColumn(out, F.col("__before") + F.row_number().over(within) - 1)
     return ranked.select(*df.columns, out)
 

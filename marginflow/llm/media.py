@@ -24,6 +24,8 @@ PAD = b"\xff"
 RATE = 8000
 WINDOW = 256
 HOP = 192
+#: Silence that the transform sees before and behind the samples, since a window's ends weigh nothing.
+EDGE = 64
 #: Peaks of a frame, and frames ahead in which a peak finds partners (the strongest peak of each).
 PEAKS = 2
 AHEAD = 3
@@ -59,12 +61,13 @@ def from_wav(stored: bytes) -> bytes:
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(frames, PEAKS): bins of each frame's strongest local maxima, strongest first, and whether there is one.
 
-    Strengths are rounded to eighths of a decibel step before they are compared; ties go to the lower bin. The last
-    frame holds the last sample; beyond it the transform sees silence (128), which is in no payload.
+    Strengths are rounded to eighths of a decibel step before they are compared; ties go to the lower bin. The
+    first frame begins EDGE samples before the first one and the last frame ends as many or more behind the last
+    one; there the transform sees silence (128), which is in no payload. So every sample weighs in some frame.
     """
     x = np.frombuffer(samples, np.uint8)
-    n = 1 + -(-max(0, len(x) - WINDOW) // HOP)
-    x = np.pad(x, (0, WINDOW + (n - 1) * HOP - len(x)), constant_values=128)
+    n = 1 + -(-max(0, len(x) + 2 * EDGE - WINDOW) // HOP)
+    x = np.pad(x, (EDGE, WINDOW + (n - 1) * HOP - EDGE - len(x)), constant_values=128)
     bins, found = np.zeros((n, PEAKS), np.int32), np.zeros((n, PEAKS), bool)
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     for at in range(0, n, BLOCK):

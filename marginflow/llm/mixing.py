@@ -148,8 +148,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
 
     Without ``weights`` each source weighs the square root of its rows, however many sources there are. A source
     without a weight, and null, share one remainder source with the least weight given; weights lie above 0. Rows of
-    a source come in order of the hash of ``order``'s columns. Positions are 0, 1, 2, ... without gaps; all rows are
-    kept; rows equal in ``order`` follow one another in any order. Earlier columns of these names are replaced.
+    a source come in order of a hash of the row. Positions are 0, 1, 2, ... without gaps; all rows are kept; ties in
+    ``order`` are broken by the whole row, so a task that is run again gives the same positions. Earlier columns of
+    these names are replaced.
 
     The schedule is simulated by one task, which keeps the sources' counts in memory, and written as a table. With
     ``period``, weights are rounded to multiples of 1 / period instead and that one period is repeated in each

@@ -126,7 +126,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(read(spark, sf_dir, "documents"), bodies=False)
+    return media.media_columns(read(spark, sf_dir, "documents")).drop("wav")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def assign(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
     """One row for each row of ``docs``: key, size, text_crc32, shard, slot and grown_shard.
 
     size: UTF-8 bytes of the text plus 1 (null: 1); text_crc32 as unsigned (null: that of no bytes); slot: 0, 1, 2,
-    ... within the shard, in order of a hash bucket of the key and then the key; grown_shard: the shard with one
+    ... within the shard, in order of a hash of the row, ties broken by all columns; grown_shard: the shard with one
     more of mean weight. The key and the weights alone decide the shard, so repeated keys share one. Texts are read
     but never moved.
     """
