@@ -19,11 +19,25 @@ from marginflow.llm.queries import tokenizer_path
 SPARE = 0.6
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """The columns under names that no operator uses, so that none of them clashes with a result's."""
+    return docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+
+
+def back(result: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns set aside under their own names again."""
+    return result.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language. ``und`` (null or without a letter) and texts whose nearest codeword is
     ambiguous are rejected; ``lang`` becomes the predicted language."""
-    found = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return found.where("lang_pred <> 'und' AND NOT ambiguous").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    kept = aside(docs)
+    names = dict(zip(docs.columns, kept.columns))
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    found = langid.predict(kept.withColumn("text", F.col(names["text"])), model, keep=tuple(kept.columns))
+    found = found.where("lang_pred <> 'und' AND NOT ambiguous").withColumn(names["lang"], F.col("lang_pred"))
+    return back(found, docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +48,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component: the one whose id is the component's, once if it is
-    repeated. Documents without an id can't be told from one another, so all of them stay."""
-    found = simhash.near_duplicates(docs)
+    """Keeps one document of each near-duplicate component (five-word shingles, similarity of 0.8 or more): the one
+    whose id is the component's, once if it is repeated. Documents without an id can't be told from one another, so
+    all of them stay."""
+    found = simhash.near_texts(docs)
     keep = checkpointed(found.where("doc_id = component_id").select("doc_id").distinct())
     once = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
     # rows that share an id: the first text in order of its hash
@@ -47,7 +62,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Orders the documents so that reading the files in order mixes the sources to their target weights."""
-    return mixing.stored_in_order(mixing.mix(docs)).select(*docs.columns)
+    kept = aside(docs)
+    names = dict(zip(docs.columns, kept.columns))
+    mixed = mixing.mix(kept, source=names["source"], order=(names["doc_id"],))
+    return back(mixing.stored_in_order(mixed), docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
