@@ -17,9 +17,12 @@ ATOL, RTOL = 1e-6, 1e-6
 
 
 def _pairs(results: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    a = results.where("status = 'ok'").select(*keys, *keep, F.col("backend").alias("backend_a"), F.col("rho").alias("__x"))
-    b = results.where("status = 'ok'").select(*keys, F.col("backend").alias("backend_b"), F.col("rho").alias("__y"))
-    return a.join(b, list(keys)).where("backend_a < backend_b")
+    """Each two backends with a result for the same keys, from one grouping: a group holds a value a backend."""
+    ok = results.where("status = 'ok'").groupBy(*keys)
+    each = ok.agg(F.sort_array(F.collect_list(F.struct("backend", "rho"))).alias("__r"), *[F.first(k).alias(k) for k in keep])
+    pair = lambda x, y: F.struct(x["backend"].alias("backend_a"), y["backend"].alias("backend_b"), x["rho"].alias("__x"), y["rho"].alias("__y"))
+    both = F.flatten(F.transform("__r", lambda x, i: F.transform(F.slice("__r", i + 2, F.size("__r")), lambda y: pair(x, y))))
+    return each.select(*keys, *keep, F.explode(both).alias("__p")).select(*keys, *keep, "__p.*")
 
 
 def _square(upper: DataFrame, results: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -43,8 +46,7 @@ def scalar_matrix(results: DataFrame, atol: float = ATOL, rtol: float = RTOL, by
 
 def full_signal_matrix(results: DataFrame, atol: float = ATOL, rtol: float = RTOL) -> DataFrame:
     """Share of pairs on which two backends agree at every sample, among pairs of equal length."""
-    n = results.where("status = 'ok'").groupBy("pair_id", "backend").agg(F.count(F.lit(1)).alias("n"))
-    sized = results.where("status = 'ok'").join(n, ["pair_id", "backend"])
+    sized = results.where("status = 'ok'").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pair_id", "backend")))
     match = F.coalesce(values_match(F.col("__x"), F.col("__y"), atol, rtol), F.lit(False))
     each = _pairs(sized, ["pair_id", "t_idx", "n"]).groupBy("pair_id", "backend_a", "backend_b").agg(F.bool_and(match).alias("all"))
     rate = each.groupBy("backend_a", "backend_b").agg(F.avg(F.col("all").cast("double")).alias("agreement"))
@@ -299,22 +301,33 @@ def signature_of(evaluate: Callable[[], DataFrame]) -> Signature:
     return tuple(r[0] for r in rows)
 
 
-def probe_signature(formula: str, times: Sequence[float], values: dict[str, Sequence[float]], profile) -> Signature:
-    """A probe's outcome under a profile, computed on the driver: a handful of samples."""
+def outcome(formula, times: Sequence[float], values: dict[str, Sequence[float]], profile) -> list[float] | Exception:
+    """A formula's values over one trace under a profile, by the kernels where this runs, or what they raise."""
     import numpy as np
 
-    from ..formula.parser import parse_cached
     from ..operators.kernels import Batch
     from .kernel_plan import Evaluator, check
 
-    root, t = parse_cached(formula), np.asarray(times, float)
+    t = np.asarray(times, float)
     try:
         gaps = np.diff(t)
         step = float(gaps[0]) if len(gaps) else 1.0
         if profile.model == "discrete" and not np.allclose(gaps, step, rtol=1e-9, atol=1e-12):
             raise ValueError("discrete semantics need a uniform grid")
-        check(root, profile, step)
-        found = Evaluator(profile, Batch(t, np.array([0])), {k: np.asarray(v, float) for k, v in values.items()}, step).run(root)
-    except (ValueError, NotImplementedError, KeyError, TypeError) as e:
-        return ("raises", type(e).__name__)
-    return tuple(float(x) for x in found[id(root)])
+        check(formula, profile, step)
+        found = Evaluator(profile, Batch(t, np.array([0])), {k: np.asarray(v, float) for k, v in values.items()}, step).run(formula)
+    except Exception as e:
+        return e
+    return [float(x) + 0.0 for x in found[id(formula)]]
+
+
+def probe_signature(formula: str, times: Sequence[float], values: dict[str, Sequence[float]], profile) -> Signature:
+    """A probe's outcome under a profile, computed on the driver: a handful of samples."""
+    from ..formula.parser import parse_cached
+
+    got = outcome(parse_cached(formula), times, values, profile)
+    if isinstance(got, (ValueError, NotImplementedError, KeyError, TypeError)):
+        return ("raises", type(got).__name__)
+    if isinstance(got, Exception):
+        raise got
+    return tuple(got)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..formula import nodes as n
 from ..formula.analysis import has_equality, operators_in
 from ..formula.nodes import Node
+from ..operators.semantics import Profile
 from ..sources.shipping import with_code
 from ..sources.signals import TIME, TRACE, SignalFrame
 from . import engine
@@ -93,28 +95,61 @@ def random_formula(rng: random.Random, variables: int, depth: int = 3, broad: bo
     return make(depth)
 
 
-def fuzz(spark: SparkSession, backends: dict[str, engine.Backend], formulas: int, traces: int = 4, seed: int = 0, broad: bool = True) -> DataFrame:
+def random_samples(rng: random.Random, names: list[str], length: int, regime: str) -> dict[str, list[float]]:
+    """One trace on the driver or in a worker, as in ``random_signals``."""
+    if regime == "random_walk":
+        return {v: list(accumulate(rng.gauss(0, 1) for _ in range(length))) for v in names}
+    return {v: [rng.uniform(-5, 5) if regime == "iid_uniform" else rng.gauss(0, 2) for _ in range(length)] for v in names}
+
+
+def random_probe(seed: int) -> tuple[str, list[float], dict[str, list[float]]]:
+    """A small formula with few samples (formula, times, values), for telling semantics apart: one of six shapes by
+    turns, on an even or uneven grid, with multiples of a half for numbers."""
+    rng = random.Random(f"probe {seed}")
+    half = lambda low, high: rng.randint(2 * low, 2 * high) / 2
+    a = half(0, 3)
+    window = f"[{n.number(a)},{n.number(a + half(0, 3))}]"
+    level = n.number(half(0, 2))
+    shape = (f"G{window}(x >= {level})", f"x >= {level} {rng.choice(('and', 'or'))} y >= 0", f"F{window}(x == {level})", f"(x >= {level}) U{window} (y >= 0)", f"F{window}({rng.randint(1, 3)} * x + y >= {level})", f"G{window}(F{window}(x >= {level}))")[seed % 6]
+    gaps = [1.0 if rng.random() < 0.5 else half(1, 3) for _ in range(rng.randint(1, 5))]
+    if rng.random() < 0.6:
+        gaps = [1.0] * len(gaps)
+    times = [0.0, *accumulate(gaps)]
+    return shape, times, {v: [half(-3, 3) for _ in times] for v in ("x", "y")}
+
+
+def fuzz(spark: SparkSession, profiles: dict[str, Profile], pairs: int, seeds: Sequence[int] = (0,), broad: bool = True) -> DataFrame:
     """Recorded results of random formulas over random signals: pair_id, regime, operators, has_eq, backend, status,
-    exc, t_idx, trace_id, rho. Formulas are driver-side; each is one lazy branch of the union."""
-    rng = random.Random(seed)
-    parts: list[DataFrame] = []
-    for p in range(formulas):
-        variables, regime, length = rng.randint(1, 3), rng.choice(REGIMES), rng.randint(8, 32)
-        signal = random_signals(spark, traces, length, variables, regime, seed * 1000 + p)
-        f = random_formula(rng, variables, 3, broad)
-        fixed = [F.lit(p).cast("long").alias("pair_id"), F.lit(regime).alias("regime"), F.array(*map(F.lit, sorted(operators_in(f)))).cast("array<string>").alias("operators"), F.lit(has_equality(f)).alias("has_eq")]
-        for name, b in backends.items():
-            try:
-                values = b.evaluate(f, signal).robustness
-            except Exception as e:  # recorded, as an abstention or an error
-                status = "abstain" if isinstance(e, ABSTAIN) else "error"
-                parts.append(spark.range(1).select(*fixed, F.lit(name).alias("backend"), F.lit(status).alias("status"), F.lit(type(e).__name__).alias("exc"), F.lit(None).cast("long").alias("t_idx"), F.lit(None).cast("long").alias(TRACE), F.lit(None).cast("double").alias("rho")))
-                continue
-            parts.append(values.select(*fixed, F.lit(name).alias("backend"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("exc"), F.col(TIME).cast("long").alias("t_idx"), TRACE, "rho"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    exc, t_idx, rho. A pair is a formula of 1 to 3 variables and a trace of 8 to 32 samples; each seed gives ``pairs``
+    of them. One job whatever their number: a pair is made from its number and evaluated by all profiles where it
+    is, so a job that runs again gives the same."""
+    kinds = "pair_id string, regime string, operators array<string>, has_eq boolean, backend string, status string, exc string, t_idx long, rho double"
+
+    def run(batches):
+        import pyarrow as pa
+
+        from . import analytics
+
+        names = [c.split(" ")[0] for c in kinds.split(", ")]
+        types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64()]
+        for batch in batches:
+            rows = []
+            for seed, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rng = random.Random(f"{seed} {p}")
+                variables, regime, length = rng.randint(1, 3), rng.choice(REGIMES), rng.randint(8, 32)
+                f = random_formula(rng, variables, 3, broad)
+                values = random_samples(rng, [f"x{i}" for i in range(variables)], length, regime)
+                fixed = f"{seed}-{p}", regime, sorted(operators_in(f)), has_equality(f)
+                for name, profile in profiles.items():
+                    got = analytics.outcome(f, list(map(float, range(length))), values, profile)
+                    if isinstance(got, Exception):  # recorded, as an abstention or an error
+                        rows.append((*fixed, name, "abstain" if isinstance(got, ABSTAIN) else "error", type(got).__name__, None, None))
+                    else:
+                        rows += [(*fixed, name, "ok", None, i, x) for i, x in enumerate(got)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    numbers = spark.range(pairs * len(seeds)).select(F.element_at(F.array(*[F.lit(s).cast("long") for s in seeds]), (F.col("id") % len(seeds) + 1).cast("int")).alias("seed"), F.floor(F.col("id") / len(seeds)).alias("p"))
+    return with_code(numbers).mapInArrow(run, kinds)
 
 
 def integrate(spark: SparkSession, model: Callable, inputs: DataFrame, step: float, end: float, states: tuple[str, ...]) -> SignalFrame:

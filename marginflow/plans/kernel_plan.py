@@ -160,16 +160,17 @@ def evaluate(df: DataFrame, variables: tuple[str, ...], formula: Node, nodes: li
         for batch in batches:
             if not batch.num_rows:
                 continue
+            # where the batch's last trace begins, if not before the batch; only new rows are compared
+            begun = np.flatnonzero(changes(batch.column(0))) + 1
+            start = int(begun[-1]) if len(begun) else None
+            if start is None and held and changes(pa.concat_arrays([held[-1].column(0).slice(held[-1].num_rows - 1), batch.column(0).slice(0, 1)]))[0]:
+                start = 0
+            if start is not None and size + start and size + batch.num_rows >= BATCH_ROWS:
+                yield table(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                held, size = [], 0
+                batch = batch.slice(start)
             held.append(batch)
             size += batch.num_rows
-            if size < BATCH_ROWS:
-                continue
-            rows = pa.Table.from_batches(held)
-            # the last trace may go on in the next batch
-            whole = int(np.max(np.flatnonzero(changes(rows.column(0).combine_chunks())) + 1, initial=0))
-            if whole:
-                yield table(rows.slice(0, whole))
-            held, size = rows.slice(whole).combine_chunks().to_batches(), len(rows) - whole
         if held:
             yield table(pa.Table.from_batches(held))
 

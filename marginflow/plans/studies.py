@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import asdict
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -290,20 +291,22 @@ def required_max_gap_table(spark, folder):
     return spark.createDataFrame([(f, float(analysis.required_max_gap(parse_cached(f)))) for f, _, _ in ANALYSED], "formula string, gap double")
 
 
-#: Probes that tell semantics apart: name, formula, times, values.
-BATTERY = (
-    ("boundary", "F[2,4](x >= 0)", [0, 1, 2], {"x": [-5, -1, 3]}),
-    ("terminal", "(x >= 0) and (y >= 0)", [0, 1, 2], {"x": [5, 5, -3], "y": [5, 5, -3]}),
-    ("window", "G[0.5,1.5](x > 0)", [0, 1, 2, 3], {"x": [1, -2, 3, 1]}),
-    ("nonuniform", "G[0,1](x > 0)", [0, 0.5, 1.5, 3, 4], {"x": [0, 3, 1, -2, 2]}),
-    ("equality", "x == 3", [0, 1, 2, 3, 4], {"x": [3, 2, 4, 3, 1]}),
-    ("until", "(x >= 0) U[2,4] (y >= 0)", [0, 1, 2, 3, 4], {"x": [1, 1, -1, 1, 1], "y": [-1, -1, 1, 1, -1]}),
-    ("multivar", "G[0,2](x + y >= 0)", [0, 1, 2], {"x": [1, -0.5, 2], "y": [1, -0.5, 2]}),
-)
+#: Random probes that the battery is picked from.
+PROBES = 48
+
+
+@cache
+def battery() -> tuple[tuple[str, list[float], dict[str, list[float]]], ...]:
+    """Few probes that tell apart all semantics that PROBES random ones tell apart."""
+    probes = [generate.random_probe(k) for k in range(PROBES)]
+    profiles = {s.key: profile_of(s) for s in all_semantics()}
+    signatures = {key: [analytics.probe_signature(*probe, profile) for probe in probes] for key, profile in profiles.items()}
+    return tuple(probes[p] for p in analytics.synthesize_battery(signatures))
 
 
+@cache
 def battery_signatures() -> dict[str, list[analytics.Signature]]:
-    return {s.key: [analytics.probe_signature(f, t, v, profile_of(s)) for _, f, t, v in BATTERY] for s in all_semantics()}
+    return {s.key: [analytics.probe_signature(*probe, profile_of(s)) for probe in battery()] for s in all_semantics()}
 
 
 @query()
@@ -315,10 +318,15 @@ def semantics_quotient(spark, folder):
     return spark.createDataFrame(rows, "config string, class_id int, " + ", ".join(f"{a} string" for a in next(iter(points.values()))))
 
 
+#: Pairs of a formula and a trace for each seed, and the tools compared.
+FUZZ_PAIRS, FUZZ_SEEDS = 500, (0, 1, 2)
+FUZZ_TOOLS = ("native", "breach", "rtamt", "rtamt_dense", "pymtl", "stlcgpp", "taliro")
+
+
 @query()
 def fuzz_agreement(spark, folder):
-    found = generate.fuzz(spark, {t: _backend(t) for t in ("native", "breach", "rtamt", "stlcgpp")}, 6)
-    return analytics.scalar_matrix(found.withColumn("pair_id", F.concat_ws("-", "pair_id", TRACE)).where("status = 'ok'"))
+    found = generate.fuzz(spark, {t: PROFILES[t] for t in FUZZ_TOOLS}, FUZZ_PAIRS, FUZZ_SEEDS)
+    return analytics.scalar_matrix(found)
 
 
 @query("SELECT 'sweep' AS family, 41::BIGINT AS n, 21::BIGINT AS flips, 21 / 41 AS flip_rate")
@@ -332,12 +340,12 @@ def verdict_sweep(spark, folder):
 
 #: Diagnostics of a backend: axis, formula, times, values, sample that tells, and what each option shows there.
 DIAGNOSTICS = (
-    ("signal_model", "G[0,2](x >= 0)", [0, 1, 9], {"x": [1, 1, -9]}, 0, (("interpolated", -0.25), ("samples", 1.0))),
-    ("boundary", "F[2,4](x >= 0)", [0, 1], {"x": [5, 3]}, 0, (("clamp", 3.0), ("pessimistic", float("-inf")))),
-    ("terminal", "(x >= 0) and (y >= 0)", [0, 1], {"x": [5, -3], "y": [5, -3]}, 1, (("none", -3.0), ("extend_penultimate", 5.0))),
-    ("equality", "x == 3", [0, 1], {"x": [3, 2]}, 1, (("signed", -1.0), ("bigm", -1e4))),
-    ("predicate", "x - y >= 1", [0, 1], {"x": [5, 5], "y": [1, 1]}, 0, (("signed", 3.0), ("euclidean", 3 / 2**0.5))),
-    ("window", "G[0.5,1.5](x > 0)", [0, 2, 4], {"x": [-1, 10, -1]}, 1, (("endpoints", 1.75), ("samples", 10.0), ("empty", float("inf")))),
+    ("signal_model", "G[0,3](x <= 4)", [0, 2, 4], {"x": [1, 2, 6]}, 0, (("interpolated", 0.0), ("samples", 2.0))),
+    ("boundary", "G[3,5](x >= 1)", [0, 1, 2], {"x": [2, 7, 4]}, 0, (("clamp", 3.0), ("pessimistic", float("inf")))),
+    ("terminal", "x >= 1 or y >= 2", [0, 1, 2], {"x": [3, 5, 1], "y": [0, 1, 2]}, 2, (("none", 0.0), ("extend_penultimate", 4.0))),
+    ("equality", "x == y", [0, 1], {"x": [1, 4], "y": [1, 2.5]}, 1, (("signed", -1.5), ("bigm", -1e4))),
+    ("predicate", "3 * x + 4 * y >= 2", [0, 1], {"x": [2, 2], "y": [1, 1]}, 0, (("signed", 8.0), ("euclidean", 1.6))),
+    ("window", "F[1,3](x >= 2)", [0, 4, 5], {"x": [0, 8, 2]}, 0, (("endpoints", 4.0), ("begin", 0.0), ("empty", float("-inf")))),
 )
 
 
@@ -347,7 +355,7 @@ DIAGNOSTICS = (
         f"('{b}', '{d}', '{x}')"
         for b, found in (
             ("native", ("interpolated", "clamp", "none", "signed", "signed", "endpoints")),
-            ("breach", ("samples", "clamp", "extend_penultimate", "bigm", "signed", "samples")),
+            ("breach", ("samples", "clamp", "extend_penultimate", "bigm", "signed", "begin")),
             ("taliro", ("samples", "pessimistic", "none", "NotImplementedError", "euclidean", "empty")),
             ("rtamt", ("ValueError", "pessimistic", "none", "signed", "signed", "ValueError")),
             ("stlcgpp", ("ValueError", "clamp", "none", "signed", "signed", "ValueError")),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ class SignalFrame:
     df: DataFrame
     variables: tuple[str, ...]
     density: float | None = None
+    _known: dict[str, float] = field(default_factory=dict, init=False, repr=False, compare=False)
 
     @classmethod
     def from_columns(cls, df: DataFrame, trace: str = TRACE, time: str = TIME, variables: Sequence[str] | None = None) -> SignalFrame:
@@ -79,10 +80,16 @@ class SignalFrame:
         return self
 
     def step(self) -> float:
-        """The one sampling period of all traces, from one aggregation; 1 if no trace has two samples.
+        """The one sampling period of all traces, from one aggregation; 1 if no trace has two samples. It is kept.
 
         ``ValueError`` for a grid that isn't uniform or differs between traces.
         """
+        if "step" in self._known:
+            return self._known["step"]
+        self._known["step"] = step = self._step()
+        return step
+
+    def _step(self) -> float:
         gap = F.col(TIME) - F.lag(TIME).over(Window.partitionBy(TRACE).orderBy(TIME))
         low, high = self.df.select(gap.alias("g")).agg(F.min("g"), F.max("g")).first()
         if low is None:
@@ -91,11 +98,19 @@ class SignalFrame:
             raise ValueError("discrete semantics need one strictly increasing uniform time grid")
         return low
 
+    def samples_a_unit(self) -> float:
+        """``density`` if it is given, else from one aggregation, which is kept."""
+        if self.density is not None:
+            return self.density
+        if "density" not in self._known:
+            span = F.max(TIME) - F.min(TIME)
+            each = self.df.groupBy(TRACE).agg(F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("d"))
+            self._known["density"] = each.agg(F.max("d")).first()[0] or 0.0
+        return self._known["density"]
+
     def measured(self) -> SignalFrame:
-        """The signal with its density, from one aggregation."""
-        span = F.max(TIME) - F.min(TIME)
-        each = self.df.groupBy(TRACE).agg(F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("d"))
-        return replace(self, density=each.agg(F.max("d")).first()[0] or 0.0)
+        """The signal with its density."""
+        return replace(self, density=self.samples_a_unit())
 
     def with_df(self, df: DataFrame) -> SignalFrame:
         return replace(self, df=df)

@@ -24,8 +24,6 @@ def rows(columns, data):
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
-    if name == "fuzz_agreement":
-        pytest.skip("covered in test_studies")
     df = catalog.QUERIES[name](spark, FOLDER)
     got = [tuple(r) for r in df.collect()]
     assert got or name == "inversion_rate"  # too few traces here

@@ -243,9 +243,25 @@ def test_long_windows_take_kernels(spark):
     s = SignalFrame.from_dict(spark, list(range(20)), {"x": list(range(20))})
     is_kernel = lambda r: "MapInArrow" in r.frame._jdf.queryExecution().optimizedPlan().toString()
     wide, narrow = parse("G[0,1000](x > 0)"), parse("G[0,10](x > 0)")
-    assert not is_kernel(evaluate(wide, s)) and is_kernel(evaluate(wide, s.measured())) and not is_kernel(evaluate(narrow, s.measured()))
+    assert is_kernel(evaluate(wide, s)) and is_kernel(evaluate(wide, s.measured())) and not is_kernel(evaluate(narrow, s))
     assert is_kernel(evaluate(wide, s, ProfileBackend("rtamt", PROFILES["rtamt"])))
-    assert values(evaluate(wide, s).robustness) == values(evaluate(wide, s.measured()).robustness)
+    assert values(evaluate(wide, s).robustness) == values(evaluate(wide, s, ProfileBackend("native", PROFILES["native"], "frames")).robustness)
+
+
+def test_batches_of_long_traces(spark, monkeypatch):
+    """Traces that end, begin and go on at batches' ends, and one over many batches."""
+    from marginflow.plans import kernel_plan
+
+    rows = spark.range(900).selectExpr("IF(id < 700, 0, id DIV 100) AS trace_id", "CAST(id AS DOUBLE) AS t", "CAST(id % 7 AS DOUBLE) AS x")
+    s = SignalFrame(rows, ("x",))
+    want = values(robustness(parse("G[0,3](x > 1)"), s, ProfileBackend("native", PROFILES["native"], "frames")))
+    monkeypatch.setattr(kernel_plan, "BATCH_ROWS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = values(robustness(parse("G[0,3](x > 1)"), s, ProfileBackend("native", PROFILES["native"], "kernels")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
 
 
 def test_random_formulas_agree_between_plans(ragged):

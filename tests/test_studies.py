@@ -1,9 +1,10 @@
 import math
+from functools import reduce
 
 import pytest
 
 from marginflow import Semantics, SignalFrame, evaluate, generic, parse
-from marginflow.operators.semantics import PROFILES, TOOL_POINTS, all_semantics
+from marginflow.operators.semantics import PROFILES, TOOL_POINTS, all_semantics, profile_of
 from marginflow.plans import analytics, generate, studies
 from marginflow.plans.diagnostics import localize, localize_results, responsible_axes
 from marginflow.plans.engine import ProfileBackend
@@ -113,8 +114,38 @@ def test_generators(spark):
     assert str(f) == str(g)
     s = generate.sweep_family(spark, {"x": [1.0, 0.0]}, "x", [0, 1])
     assert s.df.count() == 82 and s.df.agg({"x": "min"}).first()[0] == -5
-    found = generate.fuzz(spark, {"native": of("native"), "taliro": of("taliro")}, 4, 2, 1)
-    assert {r.status for r in found.select("status").distinct().collect()} <= {"ok", "abstain"}
+
+
+def test_fuzz_in_one_pass(spark):
+    """Pairs are the same however they are dealt, and their values those of the frames."""
+    import random
+
+    profiles = {t: PROFILES[t] for t in ("native", "taliro", "rtamt", "pymtl")}
+    found = generate.fuzz(spark, profiles, 40, (0, 1))
+    rows = found.collect()
+    assert {r.status for r in rows} <= {"ok", "abstain"} and len({r.pair_id for r in rows}) == 80
+    assert {r.exc for r in rows if r.status == "abstain"} >= {"NotImplementedError", "ValueError"}
+    key = lambda r: (r.pair_id, r.backend, r.t_idx or 0)
+    again = generate.fuzz(spark, profiles, 40, (0, 1)).repartition(3).collect()
+    assert [(*key(r), repr(r.rho)) for r in sorted(rows, key=key)] == [(*key(r), repr(r.rho)) for r in sorted(again, key=key)]
+    for p in range(6):
+        rng = random.Random(f"0 {p}")
+        variables, regime, length = rng.randint(1, 3), rng.choice(generate.REGIMES), rng.randint(8, 32)
+        f = generate.random_formula(rng, variables, 3, True)
+        values = generate.random_samples(rng, [f"x{i}" for i in range(variables)], length, regime)
+        got = [r.rho for r in sorted(rows, key=key) if (r.pair_id, r.backend, r.status) == (f"0-{p}", "native", "ok")]
+        if got:
+            s = SignalFrame.from_dict(spark, list(range(length)), values)
+            assert [r.rho for r in ProfileBackend("native", PROFILES["native"]).evaluate(f, s).robustness.orderBy("t").collect()] == pytest.approx(got, nan_ok=True)
+    square = analytics.scalar_matrix(found).collect()
+    ok = {}
+    for r in rows:
+        if r.status == "ok" and r.t_idx == 0:
+            ok.setdefault(r.backend, {})[r.pair_id] = r.rho
+    for r in square:
+        both = ok[r.backend_a].keys() & ok[r.backend_b].keys()
+        same = [x == y or abs(x - y) <= 1e-6 + 1e-6 * max(abs(x), abs(y)) for p in both for x, y in [(ok[r.backend_a][p], ok[r.backend_b][p])]]
+        assert r.agreement == pytest.approx(1.0 if r.backend_a == r.backend_b else sum(same) / len(same))
 
 
 def test_falsification_finds_a_violation(spark):
@@ -125,12 +156,26 @@ def test_falsification_finds_a_violation(spark):
 
 
 def test_generic_sweep_in_spark(spark):
-    s = SignalFrame.from_dict(spark, [0, 1, 2, 3], {"x": [1, -2, 3, 1]})
-    for p in all_semantics()[::23]:
-        try:
-            assert evaluate(parse("G[0,1](x > 0) or F[1,2](x > 1)"), s, generic(p)).robustness.count() == 4
-        except NotImplementedError:
-            assert p.predicate == "euclidean"
+    """Every point of the space: values as the kernels give them on the driver, or the same refusal."""
+    times, values = [0, 1, 2, 3], {"x": [1, -2, 3, 1], "y": [2, 0.5, -1, 4]}
+    s = SignalFrame.from_dict(spark, times, values)
+    formulas = [parse("G[0,1](2 * x + y > 0) or F[1,2](x > 1)"), parse("(x > 0) U[0,2] (y > 1)"), parse("x == 1 and y > 0")]
+    parts, want = [], {}
+    for i, p in enumerate(all_semantics()):
+        f = formulas[i % 3]
+        expected = analytics.outcome(f, times, values, profile_of(p))
+        if isinstance(expected, Exception):
+            with pytest.raises(type(expected)):
+                evaluate(f, s, generic(p))
+            continue
+        want[i] = expected
+        parts.append(evaluate(f, s, generic(p)).robustness.selectExpr(f"{i} AS k", "t", "rho"))
+    got = {}
+    for at in range(0, len(parts), 24):
+        for r in reduce(lambda a, b: a.unionByName(b), parts[at : at + 24]).orderBy("k", "t").collect():
+            got.setdefault(r.k, []).append(r.rho)
+    assert got.keys() == want.keys() and len(want) > 150
+    assert all(got[i] == pytest.approx(want[i], nan_ok=True) for i in want)
 
 
 def test_localize_into_arithmetic(spark):
@@ -170,5 +215,5 @@ def test_decoding_a_backend():
     for tool, point in TOOL_POINTS.items():
         found = analytics.decode(signatures[point.key], signatures, configs)
         assert all(v in (None, asdict(point)[k]) for k, v in found.items()), tool
-    assert analytics.decode([(9.0,)] * 7, signatures, configs) is None
+    assert analytics.decode([(9.0,)] * len(studies.battery()), signatures, configs) is None
     assert all(analytics.axis_discriminators(signatures, configs).values())
