@@ -88,3 +88,15 @@ def on_grid(formula: Node, step: float) -> bool:
 def is_principled(formula: Node) -> bool:
     """No equality, and no interval without bounds: what benchmark formulas keep to."""
     return not has_equality(formula) and all(n.attrs.get("interval") for n in postorder(formula, False) if n.kind in TEMPORAL)
+
+
+def assert_on_grid(formula: Node, step: float) -> None:
+    """``ValueError`` unless every interval bound is a multiple of ``step``."""
+    if not on_grid(formula, step):
+        raise ValueError(f"an interval of {formula} is off the grid of step {step}")
+
+
+def assert_principled(formula: Node) -> None:
+    """``ValueError`` for an equality or a missing interval."""
+    if not is_principled(formula):
+        raise ValueError(f"{formula} has an equality or an interval without bounds")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..formula.parser import parse_cached
 from ..operators.semantics import PROFILES, Profile, Semantics, profile_of
 from ..sources.signals import SignalFrame, embeddings_signal, events_signal, orders_signal
-from . import engine, studies
+from . import engine, facts, studies
 from .oracles import held_until, held_window, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,5 +118,7 @@ for _method in ("true", "softmax", "logsumexp"):
     QUERIES[f"soft_{_method}"] = evaluated("embeddings", SMOOTH, engine.soft(_method, 10.0))
 # exponentials differ in the last bit between libraries; true maxima don't
 ORACLES["soft_true"] = oracle("embeddings", parse_cached(SMOOTH), PROFILES["stlcgpp"])
+# facts register theirs with the studies
+assert facts.query is studies.query
 QUERIES |= studies.QUERIES
 ORACLES |= studies.ORACLES

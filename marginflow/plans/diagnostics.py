@@ -113,18 +113,20 @@ def divergence_table(formula: Node, signal: SignalFrame, a: engine.Backend, b: e
     return rows.groupBy("node_index", "label").agg(F.count_if("apart").alias("n_divergent"), first.alias("f")).select("node_index", "label", "n_divergent", F.col(f"f.{TRACE}").alias("first_trace"), F.col("f.__i").alias("first_index"))
 
 
-def responsible_axes(formula: Node, signal: SignalFrame, a: Semantics, b: Semantics, atol: float = 1e-9) -> tuple[str, ...] | None:
-    """The least set of axes, first in order, whose options of ``b`` give a's evaluation b's values; None if none does.
+def responsible_axes(formula: Node, signal: SignalFrame, a: Semantics, b: Semantics, atol: float = 1e-9, node: Node | None = None) -> tuple[str, ...] | None:
+    """The least set of axes, first in order, whose options of ``b`` give a's evaluation b's values at ``node`` (the
+    whole formula, if none is given); None if none does.
 
     At most 64 evaluations of one aggregate each; sets that share a size are tried in the axes' order.
     """
-    target = engine.evaluate(formula, signal, engine.generic(b)).robustness.withColumnRenamed("rho", "b")
+    at = formula if node is None else node
+    target = engine.evaluate(formula, signal, engine.generic(b)).trace_for(at, "b")
     differing = [f.name for f in fields(Semantics) if getattr(a, f.name) != getattr(b, f.name)]
     for size in range(len(differing) + 1):
         for axes in itertools.combinations(differing, size):
             mixed = replace(a, **{x: getattr(b, x) for x in axes})
             try:
-                got = engine.evaluate(formula, signal, engine.generic(mixed)).robustness
+                got = engine.evaluate(formula, signal, engine.generic(mixed)).trace_for(at)
             except (ValueError, NotImplementedError):
                 continue
             bad = got.join(target, [TRACE, TIME], "full").where(~F.coalesce(_same(F.col("rho"), F.col("b"), atol), F.lit(False))).limit(1).count()
@@ -133,5 +135,42 @@ def responsible_axes(formula: Node, signal: SignalFrame, a: Semantics, b: Semant
     return None
 
 
+def attribute(formula: Node, signal: SignalFrame, a: Semantics, b: Semantics, atol: float = 1e-9) -> list[tuple[DivergentNode, tuple[str, ...] | None]]:
+    """The minimal divergent nodes of two points of the semantics space, each with the axes responsible there."""
+    found = localize(formula, signal, engine.generic(a), engine.generic(b), atol=atol)
+    return [(d, responsible_axes(formula, signal, a, b, atol, d.node)) for d in found]
+
+
+def node_records(result: engine.EvaluationResult) -> DataFrame:
+    """(node_index, label, trace_id, t, rho) of each logic node: a result as rows, to be stored and compared later."""
+    nodes = list(postorder(result.formula, False))
+    each = F.array(*[F.struct(F.lit(i).alias("node_index"), F.lit(label(n)).alias("label"), F.col(result.columns[id(n)]).alias("rho")) for i, n in enumerate(nodes)])
+    return result.frame.select(TRACE, TIME, F.explode(each).alias("e")).select("e.node_index", "e.label", TRACE, TIME, "e.rho")
+
+
+def localize_records(formula: Node, a: DataFrame, b: DataFrame, *, atol: float = 1e-9) -> list[DivergentNode]:
+    """Minimal divergent nodes of two stored results (``node_records``) of ``formula``.
+
+    ``ValueError`` if a side's nodes are not the formula's, in number or by their text, or if both sides' samples are
+    not the same.
+    """
+    nodes = list(postorder(formula, False))
+    want = [(i, label(n)) for i, n in enumerate(nodes)]
+    for side, rows in (("first", a), ("second", b)):
+        # one row more than the formula has nodes tells enough
+        have = sorted(tuple(r) for r in rows.select("node_index", "label").distinct().limit(len(nodes) + 1).collect())
+        if len(have) != len(want):
+            raise ValueError(f"the {side} record has {len(have)} nodes, the formula {len(want)}")
+        if have != want:
+            raise ValueError(f"the {side} record is of another formula")
+    keys = ["node_index", TRACE, TIME]
+    sides = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("x")).join(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("y")), keys, "full")
+    if sides.where("NOT (coalesce(x, 0) = 1 AND coalesce(y, 0) = 1)").limit(1).count():
+        raise ValueError("the records' samples differ")
+    index = {id(n): i for i, n in enumerate(nodes)}
+    of = lambda rows: lambda n: rows.where(F.col("node_index") == index[id(n)]).select(TRACE, TIME, "rho")
+    return localize_results(formula, of(a), of(b), atol=atol)
+
+
 def _same(x: Column, y: Column, atol: float) -> Column:
     return close(x, y, atol) | (F.isnan(x) & F.isnan(y))

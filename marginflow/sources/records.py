@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +59,16 @@ def read_column(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("time double, robustness double").option("header", True).csv(path)
 
 
-def write_run(spark: SparkSession, folder: str, params: dict, result: dict, metadata: dict | None = None) -> str:
-    """Appends one run record below ``folder`` and gives its name, unique without looking at what is there."""
+def write_run(spark: SparkSession, folder: str, params: dict, result: dict, metadata: dict | None = None, numbered: bool = False) -> str:
+    """Appends one run record below ``folder`` and gives its name, unique without looking at what is there; with
+    ``numbered`` run_0001 and so on, the one after the greatest there, which is for one writer at a time."""
     run = f"run_{uuid.uuid4().hex}"
+    if numbered:
+        try:
+            last = spark.read.schema("run string").json(folder).agg(F.max(F.regexp_extract("run", r"^run_(\d{4,})$", 1).try_cast("int"))).first()[0]
+        except AnalysisException:  # no folder yet
+            last = None
+        run = f"run_{(last or 0) + 1:04d}"
     row = [(run, json.dumps(params), json.dumps(result), json.dumps(metadata or {}))]
     spark.createDataFrame(row, "run string, params string, result string, metadata string").coalesce(1).write.mode("append").json(folder)
     return run

@@ -40,12 +40,13 @@ def settled(formula: Node, t: np.ndarray) -> np.ndarray:
     return reach(formula) < n
 
 
-def monitor(stream: DataFrame, variables: tuple[str, ...], formula: Node, profile: Profile, ended: str | None = None) -> DataFrame:
+def monitor(stream: DataFrame, variables: tuple[str, ...], formula: Node, profile: Profile, ended: str | None = None, idle_ms: int | None = None) -> DataFrame:
     """``trace_id, t, rho`` of a stream of samples (trace_id, t and variables), in append mode.
 
     Samples of a trace may come in any order within a micro-batch, and must not come before samples whose values were
     emitted; such late ones are left out, and so are repeated times. ``ended`` names a boolean column that is true on
-    a trace's last sample: then the rest is emitted with the profile's rule for the end. Piecewise-linear profiles
+    a trace's last sample: then the rest is emitted with the profile's rule for the end. With ``idle_ms`` a trace
+    without samples for so long counts as ended too, and its state is freed. Piecewise-linear profiles
     without a rule for the first sample of a trace, and with until, are supported.
     """
     if profile.model != "pl" or profile.window == "breach" or profile.terminal != "none":
@@ -60,8 +61,10 @@ def monitor(stream: DataFrame, variables: tuple[str, ...], formula: Node, profil
         since, old = -np.inf, []
         if held.exists:
             since, *old = held.get
-        new = pd.concat(list(frames))
-        over = bool(ended and new[ended].fillna(False).any())
+        idle = held.hasTimedOut
+        got = [] if idle else list(frames)
+        new = pd.concat(got) if got else pd.DataFrame({c: [] for c in columns})
+        over = idle or bool(ended and new[ended].fillna(False).any())
         arrays = [np.concatenate([np.array(o, float), new[c].to_numpy(float)]) for o, c in zip(old or [[]] * (1 + len(used)), (TIME, *used), strict=True)]
         fresh = arrays[0] > since
         arrays = [a[fresh] for a in arrays]
@@ -69,6 +72,8 @@ def monitor(stream: DataFrame, variables: tuple[str, ...], formula: Node, profil
         arrays = [a[first] for a in arrays]
         t = arrays[0]
         if not len(t):
+            if over:
+                held.remove()
             return
         ready = np.ones(len(t), bool) if over else settled(formula, t)
         k = int(ready.cumprod().sum())  # values leave in order of time
@@ -79,6 +84,8 @@ def monitor(stream: DataFrame, variables: tuple[str, ...], formula: Node, profil
             held.remove()
         else:
             held.update((float(t[k - 1]) if k else float(since), *(a[k:].tolist() for a in arrays)))
+            if idle_ms:
+                held.setTimeoutDuration(idle_ms)
 
     columns = [TRACE, TIME, *used, *([ended] if ended else [])]
-    return with_code(stream).select(*columns).groupBy(TRACE).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+    return with_code(stream).select(*columns).groupBy(TRACE).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

@@ -70,3 +70,9 @@ def test_run_records(spark, tmp_path):
     records.write_run(spark, folder, {}, {"backends": ["a"], "atol": 1e-6, "rtol": 0.0})
     with pytest.raises(ValueError):
         records.gather(spark, folder)
+
+
+def test_numbered_runs(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    names = [records.write_run(spark, folder, {}, {"backends": ["a"], "atol": 1.0, "rtol": 1.0}, numbered=True) for _ in range(3)]
+    assert names == ["run_0001", "run_0002", "run_0003"] and {r.run for r in records.gather(spark, folder).collect()} == set(names)

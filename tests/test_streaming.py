@@ -32,3 +32,25 @@ def test_stream_gives_what_the_whole_trace_gives(spark, tmp_path):
     got = {(x.trace_id, x.t): x.rho for x in spark.table("monitored").collect()}
     want = {(x.trace_id, x.t): x.rho for x in robustness(f, SignalFrame(df, ("x",))).collect()}
     assert got == want
+
+
+def test_idle_traces_end(spark, tmp_path):
+    """A trace without samples for long enough is given to its end, and a new one may begin."""
+    import time
+
+    schema = "trace_id long, t double, x double"
+    source, f = str(tmp_path / "in"), parse("G[0,5](x > 0)")
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    put([(1, 0.0, 3.0), (1, 1.0, 2.0), (2, 0.0, 1.0)])
+    out = monitor(spark.readStream.schema(schema).parquet(source), ("x",), f, PROFILES["native"], idle_ms=1500)
+    q = out.writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        # such a query never comes to rest, so its table is looked at from time to time
+        for _ in range(60):
+            if spark.table("idle").count() >= 3:
+                break
+            time.sleep(0.5)
+        got = {(r.trace_id, r.t): r.rho for r in spark.table("idle").collect()}
+    finally:
+        q.stop()
+    assert got == {(1, 0.0): 2.0, (1, 1.0): 2.0, (2, 0.0): 1.0}

@@ -2,6 +2,7 @@ import math
 from functools import reduce
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginflow import Semantics, SignalFrame, evaluate, generic, parse
 from marginflow.operators.semantics import PROFILES, TOOL_POINTS, all_semantics, profile_of
@@ -217,3 +218,34 @@ def test_decoding_a_backend():
         assert all(v in (None, asdict(point)[k]) for k, v in found.items()), tool
     assert analytics.decode([(9.0,)] * len(studies.battery()), signatures, configs) is None
     assert all(analytics.axis_discriminators(signatures, configs).values())
+
+
+def test_records_have_to_fit(spark):
+    from marginflow.plans.diagnostics import attribute, localize_records, node_records
+
+    s = SignalFrame.from_dict(spark, [0, 1, 2], {"x": [5, -1, 3]})
+    f, g = parse("G[0,1](x >= 0)"), parse("F[0,1](x >= 0)")
+    a, b = (node_records(evaluate(f, s, of(t))) for t in ("native", "rtamt"))
+    assert localize_records(f, a, b) == []
+    shifted = b.withColumn("rho", F.expr("IF(node_index = 0, rho + 1, rho)"))
+    assert [d.label for d in localize_records(f, a, shifted)] == ["(x >= 0)"]
+    with pytest.raises(ValueError, match="another formula"):
+        localize_records(g, a, b)
+    with pytest.raises(ValueError, match="nodes"):
+        localize_records(f.children[0], a, b)
+    with pytest.raises(ValueError, match="samples"):
+        localize_records(f, a, b.where("t < 2"))
+    with pytest.raises(ValueError, match="samples"):
+        localize_records(f, a, b.unionByName(b.where("t = 1 AND node_index = 1")))
+    assert attribute(f, s, Semantics(), Semantics()) == []
+
+
+def test_guards():
+    from marginflow.formula.analysis import assert_on_grid, assert_principled
+
+    assert_principled(parse("G[0,1](x > 0)"))
+    assert_on_grid(parse("G[0,1.5](x > 0)"), 0.5)
+    with pytest.raises(ValueError):
+        assert_principled(parse("x == 1"))
+    with pytest.raises(ValueError):
+        assert_on_grid(parse("G[0,1.5](x > 0)"), 1.0)
