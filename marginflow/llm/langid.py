@@ -23,6 +23,8 @@ BUCKETS = 1 << 16
 SAMPLE_ROWS = 8192
 #: Rows of each language that come into the sample besides, as expected number, however rare the language is.
 RARE_ROWS = 64
+#: Languages up to which their sizes are broadcast; beyond, texts are joined by language.
+BROADCAST_LANGS = 100_000
 #: Below this score, with no language as likely as the rest together, the nearest codeword is called ambiguous.
 CLEAR = 0.5
 #: Mean log-odds are multiplied by this before the logistic loss.
@@ -119,8 +121,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, rare_rows: int = RARE_R
     n = sizes.agg(F.sum("__n")).first()[0] or 0
     share = F.greatest(F.lit(sample_rows / max(1, n)), F.lit(float(rare_rows)) / F.col("__n"))
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    # the sizes' own statistics decide whether they are broadcast
-    picked = rows.select(F.col("lang").cast("string").alias("lang"), "text", u.alias("__u")).join(sizes, "lang").where(F.col("__u") < share).select("lang", "text")
+    small = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes
+    picked = rows.select(F.col("lang").cast("string").alias("lang"), "text", u.alias("__u")).join(small, "lang").where(F.col("__u") < share).select("lang", "text")
 
     def count(batches):
         for batch in slices(batches):
