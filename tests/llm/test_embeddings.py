@@ -58,10 +58,13 @@ def test_bounds_hold_and_no_link_is_missed():
     bound = (1 + err)[:, None] * err[None] + err[:, None]
     assert (np.abs(u @ u.T - approx) <= bound).all()
     for t in (0.5, 0.9, 0.99):
-        parts = list(e.links(x, None, t))
-        i, j = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        want = np.argwhere(np.triu(u @ u.T >= t, 1))
-        assert sorted(zip(i, j)) == [tuple(w) for w in want]
+        parts = list(e.candidates((q, s, err), None, t))
+        i, j, sure = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+        want = {tuple(w) for w in np.argwhere(np.triu(u @ u.T >= t, 1))}
+        have, certain = set(zip(i.tolist(), j.tolist())), set(zip(i[sure].tolist(), j[sure].tolist()))
+        assert certain <= want <= have and len(have) < 45_000
+        near = e.cosines(x[i], x[j]) >= t
+        assert set(zip(i[near].tolist(), j[near].tolist())) == want
 
 
 def test_spanning_links():
@@ -89,9 +92,27 @@ def test_spanning_links():
 def test_a_dense_tile_is_done_in_parts():
     x = np.random.default_rng(3).normal(size=16) + np.random.default_rng(4).normal(size=(3000, 16)) * 0.01
     counts, tree = np.zeros(3000, int), e.Spanning(3000)
-    for i, j in e.links(x, None, 0.9):
-        assert len(i) <= 1 << 20
+    side = e.quantise(x / np.linalg.norm(x, axis=1)[:, None])
+    for i, j, sure in e.candidates(side, None, 0.9):
+        assert len(i) <= 1 << 20 and sure.all()
         np.add.at(counts, i, 1)
         np.add.at(counts, j, 1)
         tree.add(i, j)
     assert (counts == 2999).all() and len(tree.kept) == 2999
+
+
+def test_pairs_at_the_threshold(spark):
+    """Pairs that the bounds can't decide go through full precision: cosines just above and below."""
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(40):
+        a = r.normal(size=32)
+        a /= np.linalg.norm(a)
+        b = r.normal(size=32)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        c = 0.9 + (1e-5 if k % 2 else -1e-5)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * b).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {x.vec_id: x.n_links for x in e.near_vectors(df, block_rows=16).collect()}
+    assert all(out[2 * k] == out[2 * k + 1] == k % 2 for k in range(40))
