@@ -115,3 +115,127 @@ def test_toxicity_edges(spark):
     one_kind = spark.createDataFrame([(3, 1), (1, 1), (None, 1), (5, None)], labels.schema)
     assert toxicity.fit(docs, one_kind).weights == lex.weights
     assert toxicity.score_documents(docs.limit(0), lex).count() == 0
+
+
+def brute_language(train, text):
+    """The language, its score and all bits' outputs by plain sums over trigrams of bytes."""
+    import math
+    from collections import Counter
+
+    def grams(t):
+        low = b" " + t.lower().encode() + b" "
+        low = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in low)
+        return [((low[i] << 16 | low[i + 1] << 8 | low[i + 2]) * 2654435761 % (1 << 32)) >> 16 for i in range(len(low) - 2) if low[i + 1] != 32]
+
+    share = {}
+    for lang, t in train:
+        g = grams(t)
+        for b, n in Counter(g).items():
+            share.setdefault(lang, Counter())[b] += n / len(g)
+    langs = sorted(share)
+    for c in share.values():
+        total = sum(c.values())
+        for b in c:
+            c[b] /= total
+    codes = [[1 if s >> i & 1 else -1 for s in range(1, 1 << (len(langs) - 1))] for i in range(len(langs))]
+    g, outputs, trust = grams(text), [], []
+    for bit in range(len(codes[0])):
+        side = lambda s: [x for x, c in zip(langs, codes) if c[bit] == s]  # noqa: B023, E731
+        weight = lambda b: math.log(sum(share[x][b] for x in side(1)) / len(side(1)) + 1e-6) - math.log(sum(share[x][b] for x in side(-1)) / len(side(-1)) + 1e-6)  # noqa: B023, E731
+        outputs.append(sum(map(weight, g)) / len(g))
+        gaps = [c[bit] * sum(p * weight(b) for b, p in share[x].items()) for x, c in zip(langs, codes)]
+        trust.append(max(0.05, math.tanh(min(gaps))))
+    losses = [sum(w * math.log1p(math.exp(-8 * f * c)) for f, c, w in zip(outputs, code, trust)) for code in codes]
+    least = min(losses)
+    return langs[losses.index(least)], 1 / sum(math.exp(least - x) for x in losses)
+
+
+def test_language_against_plain_sums(spark):
+    r = random.Random(9)
+    words = {x: ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(40)] for x, letters in (("aa", "abcdeé"), ("bb", "cdefgh"), ("cc", "efghijñ"))}
+    say = lambda x, n: " ".join(r.choice(words[x]) for _ in range(n))
+    rows = [(i, say(x, r.randint(3, 30)), x) for i in range(120) for x in [r.choice(list(words))]]
+    train = [(x, t) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {g.doc_id: (g.lang_pred, g.score) for g in langid.predict(docs, langid.fit(docs)).collect()}
+    for i, t, _ in rows[:40]:
+        lang, score = brute_language(train, t)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4
+
+
+def test_many_and_rare_languages_are_learned(spark):
+    """250 languages of a row each beside one of 3,000 rows, all without ids, in a sample of few rows."""
+    r = random.Random(10)
+    name = lambda: "".join(chr(r.randrange(97, 123)) for _ in range(12))
+    rows = [(None, f"{name()} {name()} {name()}", f"l{k:03d}") for k in range(250)]
+    rows += [(None, " ".join(r.choice(["the", "and", "of", "this"]) for _ in range(12)), "en") for _ in range(3000)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=100)
+    assert len(model.langs) == 251
+    docs = spark.createDataFrame(rows[:250] + rows[-5:], "doc_id long, text string, lang string")
+    out = langid.predict(docs, model, keep=("lang",)).collect()
+    assert np.mean([x.lang == x.lang_pred for x in out]) > 0.9
+
+
+def test_lexicon_against_plain_counts(spark):
+    """Entries, weights, curve and scores of a small table, counted word by word."""
+    import math
+    import re
+
+    r = random.Random(11)
+    plain = ["word", "stone", "river", "cloud", "green", "walk", "table", "seven", "paper", "quiet"]
+    foul = ["grobnak", "grobnix", "zuvlet"]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        words = [r.choice(plain) for _ in range(r.randint(5, 40))] + [r.choice(foul) for _ in range(r.randint(1, 2) if toxic or r.random() < 0.01 else 0)]
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lex = toxicity.fit(docs, marks)
+    of = dict(labels)
+    train = [(t, of[i]) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    n1, n0 = sum(y for _, y in train), sum(1 - y for _, y in train)
+    counts = [{}, {}]
+    for t, y in train:
+        for e in {e for w in set(re.findall("[a-z]+", t)) for e in [w + "$", *(w[:k] for k in range(2, 9) if len(w) >= k)]}:
+            counts[y][e] = counts[y].get(e, 0) + 1
+    want = {}
+    for e, a in counts[1].items():
+        z = counts[0].get(e, 0)
+        w = math.log((a + 0.5) / (n1 + 1)) - math.log((z + 0.5) / (n0 + 1))
+        if a >= max(2, n1 // 100) and w > 2 and (a - 1.64 * a**0.5) / n1 > 3 * (z + 1) / n0:
+            want[e] = w
+    assert want and all(abs(want[e] - w) < 1e-12 for e, w in lex.weights.items() if e in want)
+    learned = {e for e in lex.weights if e.rstrip("$") not in toxicity.GIVEN}
+    assert learned and learned <= want.keys()
+    # what is left out is begun by an entry that weighs as much, less 0.7
+    assert all(any(e.rstrip("$").startswith(k) and lex.weights[k] >= want[e] - 0.7 for k in learned if not k.endswith("$")) for e in want.keys() - learned)
+    # the curve is where the damped likelihood is greatest: its slope is zero
+    a, b, c = lex.curve
+    slope = [-1e-3 * a, -1e-2 * b, -1e-2 * c]
+    for t, y in train:
+        total, _ = brute_matched(lex, t)
+        x = [1.0, round(math.log1p(total), 2), round(math.log1p(100 * total / (t.count(" ") + 21)), 2)]
+        p = 1 / (1 + math.exp(-(a + b * x[1] + c * x[2])))
+        slope = [s + (y - p) * v for s, v in zip(slope, x)]
+    assert max(map(abs, slope)) < 1e-4
+    out = {x.doc_id: (x.score, x.predicted) for x in toxicity.score_documents(docs, lex).collect()}
+    for i, t in rows[:100]:
+        total, _ = brute_matched(lex, t)
+        p = 1 / (1 + math.exp(-(a + b * math.log1p(total) + c * math.log1p(100 * total / (t.count(" ") + 21)))))
+        assert abs(out[i][0] - p) < 1e-9 and out[i][1] == int(p >= 0.3)
+
+
+def test_folding_of_accents_and_spaced_letters():
+    for text in ("ïdïot", "ɪdɪot", "𝐢𝐝𝐢𝐨𝐭", "i.d.i.o.t", "ｉ-ｄ-ｉ-ｏ-ｔ", "Ídîöt"):
+        assert toxicity.fold(text) == "idiot"
+    assert toxicity.fold("e.g. this, a.b") == "e.g. this, a.b"
+
+
+def test_long_words_are_whole(spark):
+    long = "q" * 50
+    docs = spark.createDataFrame([(i, f"{long} here" if i % 2 else "plain here") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    lex = toxicity.fit(docs, labels)
+    assert lex.matched(long)[1] == 1 and f"{long}$" in toxicity.entries_of(long) and f"{long[:40]}$" not in toxicity.entries_of(long)

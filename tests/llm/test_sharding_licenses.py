@@ -35,6 +35,26 @@ def test_weights(spark):
         sharding.assign(docs, [1.0, 0.0])
 
 
+def test_shards_by_the_definition(spark):
+    """Each key's shard by hashing key and shard, one after the other, with the xxhash library."""
+    import math
+    import struct
+
+    import xxhash
+
+    def u(key, shard):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        return ((xxhash.xxh64_intdigest(struct.pack("<i", shard), seed) >> 11) + 0.5) / 2**53
+
+    for weights in ([1.0] * 8, [1.0, 2.5, 0.5]):
+        docs = spark.createDataFrame([(i,) for i in [*range(500), None, -7, 2**60]], "doc_id long").selectExpr("doc_id", "'x' AS text")
+        for r in sharding.assign(docs, weights).collect():
+            grown = [*weights, sum(weights) / len(weights)]
+            for w, got in ((weights, r.shard), (grown, r.grown_shard)):
+                scores = [x / -math.log(u(r.doc_id, s)) for s, x in enumerate(w)]
+                assert got == scores.index(max(scores))
+
+
 def brute(text):
     """Every line against every template, without bounds or tests of words."""
     out = []
