@@ -152,66 +152,158 @@ def fuzz(spark: SparkSession, profiles: dict[str, Profile], pairs: int, seeds: S
     return with_code(numbers).mapInArrow(run, kinds)
 
 
-def integrate(spark: SparkSession, model: Callable, inputs: DataFrame, step: float, end: float, states: tuple[str, ...]) -> SignalFrame:
+def integrate(spark: SparkSession, model: Callable, inputs: DataFrame, step: float, end: float, states: tuple[str, ...], inner: int = 1) -> SignalFrame:
     """Trajectories of ``model(t, state, u) -> derivative`` by classical Runge-Kutta: one for each row (trace_id, u
-    array, x0 array). u is constant over equal stretches. Rows are simulated where they are."""
+    array, x0 array). u is constant over equal stretches; each step is made in ``inner`` parts. Rows are simulated
+    where they are."""
 
     def run(frames):
         import numpy as np
         import pandas as pd
 
+        h, count = step / inner, round(end / step)
         for f in frames:
             rows = []
             for trace, u, x0 in zip(f["trace_id"], f["u"], f["x0"], strict=True):
-                x, count = np.array(x0, float), round(end / step)
-                for k in range(count + 1):
-                    t = k * step
-                    rows.append((trace, t, *x))
+                x = np.array(x0, float)
+                for k in range(count * inner + 1):
+                    t = k * h
+                    if k % inner == 0:
+                        rows.append((trace, t, *x))
                     c = u[min(len(u) - 1, int(t / end * len(u)))]
                     a = np.asarray(model(t, x, c))
-                    b = np.asarray(model(t + step / 2, x + step / 2 * a, c))
-                    d = np.asarray(model(t + step / 2, x + step / 2 * b, c))
-                    e = np.asarray(model(t + step, x + step * d, c))
-                    x = x + step / 6 * (a + 2 * b + 2 * d + e)
+                    b = np.asarray(model(t + h / 2, x + h / 2 * a, c))
+                    d = np.asarray(model(t + h / 2, x + h / 2 * b, c))
+                    e = np.asarray(model(t + h, x + h * d, c))
+                    x = x + h / 6 * (a + 2 * b + 2 * d + e)
             yield pd.DataFrame(rows, columns=[TRACE, TIME, *states])
 
     df = with_code(inputs).mapInPandas(run, f"{TRACE} long, {TIME} double, " + ", ".join(f"{s} double" for s in states))
     return SignalFrame(df, states)
 
 
-def vehicle(t: float, x, u: float) -> list[float]:
-    """Speed under a throttle, with drag."""
-    return [u - 0.1 * x[0] - 0.01 * x[0] * abs(x[0])]
+def vehicle(gain: float = 2.0, roll: float = 0.15, drag: float = 0.05, lag: float = 0.4) -> Callable:
+    """Speed, and the throttle's actual position, which follows its input with a lag; linear and quadratic drag."""
+    return lambda t, x, u: [gain * x[1] - roll * x[0] - drag * x[0] ** 2, (u - x[1]) / lag]
 
 
-def oscillator(t: float, x, u: float) -> list[float]:
-    """A driven, damped spring: place and speed."""
-    return [x[1], u - x[0] - 0.2 * x[1]]
+def spring(frequency: float = 2.0, damping: float = 0.15) -> Callable:
+    """Place and speed of a driven, damped spring with a resonance."""
+    return lambda t, x, u: [x[1], u - 2 * damping * frequency * x[1] - frequency**2 * x[0]]
 
 
-def tanks(t: float, x, u: float) -> list[float]:
-    """Levels of two tanks in a row, fed at rate u."""
-    return [u - 0.5 * max(x[0], 0.0) ** 0.5, 0.5 * max(x[0], 0.0) ** 0.5 - 0.4 * max(x[1], 0.0) ** 0.5]
+def tanks(first: float = 0.5, second: float = 0.4) -> Callable:
+    """Levels of two tanks in a row, fed at rate u; outflows go with the square root of the level."""
 
+    def flow(t, x, u):
+        between, out = (k * max(level, 0.0) ** 0.5 for k, level in zip((first, second), x, strict=True))
+        return [u - between, between - out]
 
-def falsify(spark: SparkSession, simulate: Callable[[DataFrame], SignalFrame], formula: Node, low: float, high: float, size: int, population: int = 64, generations: int = 10, seed: int = 0, backend: str | engine.Backend | None = None) -> tuple[list[float], float]:
-    """Inputs that violate ``formula`` at time 0, and the least robustness found: a cross-entropy search with one
-    Spark job a generation, over ``population`` inputs of ``size`` numbers. A claim is confirmed by the native
-    semantics with a margin of 1e-6 before it ends the search."""
-    rng = random.Random(seed)
-    mean, spread = [(low + high) / 2] * size, (high - low) / 2
-    best: tuple[float, list[float]] = (float("inf"), mean)
+    return flow
+
+
+class CrossEntropy:
+    """Draws from normal distributions that close in on the best eighth."""
+
+    def __init__(self, rng: random.Random, low: float, high: float, size: int, population: int):
+        self.rng, self.low, self.high, self.population = rng, low, high, population
+        self.mean, self.spread = [(low + high) / 2] * size, (high - low) / 2
+
+    def within(self, values) -> list[float]:
+        return [float(min(self.high, max(self.low, v))) for v in values]
+
+    def ask(self) -> list[list[float]]:
+        return [self.within(self.rng.gauss(m, self.spread) for m in self.mean) for _ in range(self.population)]
+
+    def tell(self, scored: list[tuple[float, list[float]]]) -> None:
+        elite = [u for _, u in sorted(scored)[: max(2, self.population // 8)]]
+        self.mean = [sum(v) / len(elite) for v in zip(*elite, strict=True)]
+        self.spread *= 0.8
+
+
+class Annealing(CrossEntropy):
+    """``population`` chains: each moves by a step that shrinks as it cools, uphill with Metropolis' probability."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.at: list[tuple[float, list[float]]] = []
+        self.heat = 1.0
+
+    def ask(self) -> list[list[float]]:
+        if not self.at:
+            return [[self.rng.uniform(self.low, self.high) for _ in self.mean] for _ in range(self.population)]
+        return [self.within(self.rng.gauss(v, self.spread * self.heat) for v in u) for _, u in self.at]
+
+    def tell(self, scored: list[tuple[float, list[float]]]) -> None:
+        import math
+
+        if not self.at:
+            self.at = list(scored)
+            return
+        scale = 0.1 * self.heat * (max(x for x, _ in self.at) - min(x for x, _ in self.at) + 1e-12)
+        self.at = [new if new[0] <= old[0] or self.rng.random() < math.exp((old[0] - new[0]) / scale) else old for old, new in zip(self.at, scored, strict=True)]
+        self.heat *= 0.9
+
+
+class CovarianceAdaptation(CrossEntropy):
+    """Evolution strategy with an adapted covariance: rank-one and rank-mu updates, step size by path length."""
+
+    def __init__(self, *args):
+        import numpy as np
+
+        super().__init__(*args)
+        n, half = len(self.mean), max(1, self.population // 2)
+        w = np.log(half + 0.5) - np.log(np.arange(1, half + 1))
+        self.weights = w / w.sum()
+        self.m, self.sigma, self.c = np.array(self.mean), (self.high - self.low) / 3, np.eye(n)
+        self.path_s, self.path_c = np.zeros(n), np.zeros(n)
+
+    def ask(self) -> list[list[float]]:
+        import numpy as np
+
+        root = np.linalg.cholesky(self.c + 1e-12 * np.eye(len(self.m)))
+        draw = lambda: np.array([self.rng.gauss(0, 1) for _ in self.m])
+        return [self.within(self.m + self.sigma * root @ draw()) for _ in range(self.population)]
+
+    def tell(self, scored: list[tuple[float, list[float]]]) -> None:
+        import numpy as np
+
+        n, mass = len(self.m), 1 / (self.weights**2).sum()
+        best = np.array([u for _, u in sorted(scored)[: len(self.weights)]])
+        steps = (best - self.m) / self.sigma
+        move = self.weights @ steps
+        self.m = self.m + self.sigma * move
+        cs, cc = (mass + 2) / (n + mass + 5), (4 + mass / n) / (n + 4 + 2 * mass / n)
+        c1 = 2 / ((n + 1.3) ** 2 + mass)
+        cmu = min(1 - c1, 2 * (mass - 2 + 1 / mass) / ((n + 2) ** 2 + mass))
+        values, vectors = np.linalg.eigh(self.c)
+        whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-12))) @ vectors.T
+        self.path_s = (1 - cs) * self.path_s + np.sqrt(cs * (2 - cs) * mass) * whiten @ move
+        self.path_c = (1 - cc) * self.path_c + np.sqrt(cc * (2 - cc) * mass) * move
+        self.c = (1 - c1 - cmu) * self.c + c1 * np.outer(self.path_c, self.path_c) + cmu * (steps.T * self.weights) @ steps
+        usual = np.sqrt(n) * (1 - 1 / (4 * n) + 1 / (21 * n**2))
+        self.sigma *= float(np.exp(cs / (1 + 2 * max(0.0, np.sqrt((mass - 1) / (n + 1)) - 1) + cs) * (np.linalg.norm(self.path_s) / usual - 1)))
+
+
+SEARCHES = {"cross_entropy": CrossEntropy, "annealing": Annealing, "cma": CovarianceAdaptation}
+
+
+def falsify(spark: SparkSession, simulate: Callable[[DataFrame], SignalFrame], formula: Node, low: float, high: float, size: int, population: int = 64, generations: int = 10, seed: int = 0, backend: str | engine.Backend | None = None, search: str = "cross_entropy") -> tuple[list[float], float]:
+    """Inputs that violate ``formula`` at time 0, and the least robustness found, by one of SEARCHES: one Spark job a
+    generation, over ``population`` inputs of ``size`` numbers. A claim is confirmed by the native semantics with a
+    margin of 1e-6 before it ends the search."""
+    how = SEARCHES[search](random.Random(seed), low, high, size, population)
+    best: tuple[float, list[float]] = (float("inf"), [(low + high) / 2] * size)
     for _ in range(generations):
-        us = [[float(min(high, max(low, rng.gauss(m, spread)))) for m in mean] for _ in range(population)]
+        us = how.ask()
         inputs = spark.createDataFrame([(i, u) for i, u in enumerate(us)], f"{TRACE} long, u array<double>")
         values = engine.robustness(formula, simulate(inputs), backend).where(F.col(TIME) == 0).select(TRACE, "rho").collect()
-        scored = sorted((r.rho, us[r[TRACE]]) for r in values)
-        best = min(best, scored[0])
+        scored = sorted((r[TRACE], r.rho) for r in values)
+        scored = [(rho, us[i]) for i, rho in scored]
+        best = min(best, min(scored))
         if best[0] < -1e-6:
             sure = engine.robustness(formula, simulate(spark.createDataFrame([(0, best[1])], f"{TRACE} long, u array<double>")), "native").where(F.col(TIME) == 0).first()
             if sure.rho < -1e-6:
                 break
-        elite = [u for _, u in scored[: max(2, population // 8)]]
-        mean = [sum(u[k] for u in elite) / len(elite) for k in range(size)]
-        spread *= 0.8
+        how.tell(scored)
     return best[1], best[0]

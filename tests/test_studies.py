@@ -149,11 +149,37 @@ def test_fuzz_in_one_pass(spark):
         assert r.agreement == pytest.approx(1.0 if r.backend_a == r.backend_b else sum(same) / len(same))
 
 
-def test_falsification_finds_a_violation(spark):
+@pytest.mark.parametrize("search", generate.SEARCHES)
+def test_falsification_finds_a_violation(spark, search):
     start = spark.range(1).selectExpr("array(0D, 0D) AS x0")
-    simulate = lambda u: generate.integrate(spark, generate.oscillator, u.crossJoin(start), 0.25, 6.0, ("p", "v"))
-    u, rho = generate.falsify(spark, simulate, parse("G[0,6](p <= 1.5)"), -1, 1, 4, population=16, generations=4)
-    assert rho < 0 and len(u) == 4
+    simulate = lambda u: generate.integrate(spark, generate.spring(1.0, 0.1), u.crossJoin(start), 0.25, 6.0, ("p", "v"))
+    u, rho = generate.falsify(spark, simulate, parse("G[0,6](p <= 1.5)"), -1, 1, 4, population=16, generations=6, search=search)
+    assert rho < 0 and len(u) == 4 and all(-1 <= x <= 1 for x in u)
+
+
+def test_searches_close_in():
+    """Each search gets near the least value of a shifted bowl."""
+    import random
+
+    for search in generate.SEARCHES.values():
+        how, best = search(random.Random(1), -2.0, 2.0, 3, 24), math.inf
+        for _ in range(40):
+            us = how.ask()
+            scored = [((u[0] - 1) ** 2 + 4 * (u[1] + 0.5) ** 2 + (u[2] - u[0]) ** 2, u) for u in us]
+            best = min(best, min(scored)[0])
+            how.tell(scored)
+        assert best < 0.02, search
+
+
+def test_models(spark):
+    """Steady states, the lag of the throttle, and finer steps that agree."""
+    inputs = spark.createDataFrame([(0, [1.0], [0.0, 0.0])], "trace_id long, u array<double>, x0 array<double>")
+    last = lambda model, inner: generate.integrate(spark, model, inputs, 0.1, 60.0, ("a", "b"), inner).df.orderBy("t").collect()
+    speed, spring, levels = (last(m, 2) for m in (generate.vehicle(), generate.spring(), generate.tanks()))
+    assert len(speed) == 601 and 2.0 * 1.0 == pytest.approx(0.15 * speed[-1].a + 0.05 * speed[-1].a ** 2, abs=1e-6)
+    assert speed[4].b == pytest.approx(1 - math.exp(-1), abs=1e-4)
+    assert spring[-1].a == pytest.approx(0.25, abs=1e-4) and (levels[-1].a, levels[-1].b) == pytest.approx((4.0, 6.25), rel=0.02)
+    assert [r.a for r in last(generate.spring(), 8)] == pytest.approx([r.a for r in spring], abs=1e-5)
 
 
 def test_generic_sweep_in_spark(spark):
