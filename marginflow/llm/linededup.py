@@ -1,7 +1,7 @@
 """Deletes later copies of repeated runs of lines, by winnowing. DataFrame operations only.
 
-A *unit* is a line or, where a line has several sentences, a sentence of it, without white space at its ends; blank
-lines are passed over and always kept. A *gram* is the shortest run of units with ``NOISE_WORDS`` words or more from
+A *unit* is a line or, where a line has several sentences, a sentence of it, or part of a long one up to a comma,
+without white space at its ends; blank lines are passed over and always kept. A *gram* is the shortest run of units with ``NOISE_WORDS`` words or more from
 a given unit on. Windows of grams select their least hash: for a unit that is a line, the window holds the grams that
 begin within ``GUARANTEE_WORDS - NOISE_WORDS`` words, for a sentence it holds ``WINDOW_UNITS`` grams; windows at a
 document's end are shorter. So copies of a run of lines of ``GUARANTEE_WORDS`` words or more share a selected gram,
@@ -35,6 +35,8 @@ BLANKS = " \t\r\f\v\n"
 #: Texts are cut behind a line feed, a sign that ends a sentence with the blank after it, and a wide full stop.
 ENDS = "[.!?;] "
 WIDE_END = "。"
+#: Sentences of more bytes are also cut behind a comma and its blank.
+LONG_BYTES = 160
 #: Put where texts are cut; a code point that no text holds (one that does is cut into lines only).
 _MARK = "\ufdd0"
 
@@ -48,6 +50,8 @@ def _pieces(text: str) -> Column:
     """The text in pieces that joined give the text: a line's last piece ends with its line feed."""
     marked = F.regexp_replace(F.replace(F.col(text), F.lit("\n"), F.lit("\n" + _MARK)), ENDS, "$0" + _MARK)
     marked = F.split(F.replace(marked, F.lit(WIDE_END), F.lit(WIDE_END + _MARK)), _MARK)
+    parts = lambda x: F.split(F.replace(x, F.lit(", "), F.lit(", " + _MARK)), _MARK)
+    marked = F.flatten(F.transform(marked, lambda x: F.when(F.octet_length(x) > LONG_BYTES, parts(x)).otherwise(F.array(x))))
     return F.when(F.contains(F.col(text), F.lit(_MARK)), F.split(text, "(?<=\n)")).otherwise(marked)
 
 

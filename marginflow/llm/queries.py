@@ -81,7 +81,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH raw AS (SELECT doc_id AS d, text, string_split(replace(regexp_replace(replace(text, chr(10), chr(10) || chr(64976)), '([.!?;] )', '\\1' || chr(64976), 'g'), chr(12290), chr(12290) || chr(64976)), chr(64976)) AS ps FROM documents),
+WITH raw AS (SELECT doc_id AS d, text, flatten(list_transform(string_split(replace(regexp_replace(replace(text, chr(10), chr(10) || chr(64976)), '([.!?;] )', '\\1' || chr(64976), 'g'), chr(12290), chr(12290) || chr(64976)), chr(64976)), lambda x: CASE WHEN strlen(x) > 160 THEN string_split(replace(x, ', ', ', ' || chr(64976)), chr(64976)) ELSE [x] END)) AS ps FROM documents),
 l0 AS (SELECT d, unnest(ps) AS x, unnest(range(len(ps))) AS pos FROM raw),
 l1 AS (SELECT d, pos, x, trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11) || chr(10)) AS t, coalesce(lag(x) OVER (PARTITION BY d ORDER BY pos) LIKE '%' || chr(10), true) AS nl FROM l0),
 l2 AS (SELECT d, pos, nl, t, substr(md5(t), 1, 16) AS h, least(strlen(t) - strlen(replace(t, ' ', '')) + 1, strlen(replace(t, ' ', ''))) AS n FROM l1 WHERE t <> ''),

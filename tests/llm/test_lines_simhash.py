@@ -32,7 +32,7 @@ def test_lines_against_sql(spark):
     lines = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(1, 14))) for _ in range(25)] + ["", "  "]
     for k in range(4):
         # with k, sentences in a line; at last, few long documents of many units
-        joins = ["\n"] if not k else ["\n", ". ", ". ", "! ", "。"]
+        joins = ["\n"] if not k else ["\n", ". ", ". ", ", ", ", ", "! ", "。"]
         rows = [(i, "".join(r.choice(lines) + r.choice(joins) for _ in range(r.randint(1, 12) if k < 3 else 300))) for i in range(40 if k < 3 else 8)]
         rows = [(i, t[:-1] if i % 2 else t) for i, t in rows]
         assert ours(spark, rows) == duck(rows)
@@ -119,6 +119,16 @@ def test_passages_within_lines(spark):
     assert cleaned(spark, [(i, sentence(r, 60)) for i in range(5)])[3].count(" ") == 59
 
 
+def test_passages_of_one_long_sentence(spark):
+    """A passage without a sentence's end is found by its parts between commas."""
+    r = random.Random(9)
+    passage = ", ".join(sentence(r, 7)[:-1] for _ in range(9))
+    rows = [(i, f"{sentence(r, 20)[:-1]} {passage} {sentence(r, 20)} {sentence(r, 9)}") for i in range(3)]
+    got = cleaned(spark, rows)
+    assert got[0] == rows[0][1] and all(passage[80:-80] not in got[i] and len(got[i].split()) < 66 for i in (1, 2))
+    assert ours(spark, rows) == duck(rows)
+
+
 def test_what_stays_of_lines(spark):
     """Line feeds of lines that stay in part stay, those of whole lines go; short runs within lines stay."""
     a, b, c, d = ("Aa bb cc dd ee ff gg hh ii jj kk.", "Ba bb cc dd ee ff gg hh ii jj kk!", "Ca bb cc dd ee ff gg hh ii jj kk?", "Da bb cc dd ee ff gg hh ii jj kk.")
