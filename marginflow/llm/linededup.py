@@ -93,11 +93,12 @@ def selected(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = rows.select("d", "th", "nl", F.transform("t", lambda x: F.xxhash64(x)).alias("k"), hashed.alias("h"), _words(F.col("t")).alias("n"))
 
     def run(i: Column) -> Column:
-        """The gram of several units, null where words do not suffice."""
-        units = F.sequence(i, F.least(i + NOISE_WORDS - 1, F.size("n") - 1))
-        first = F.struct(F.lit("").alias("h"), F.lit(0).alias("n"))
-        more = F.aggregate(units, first, lambda a, j: F.when(a["n"] >= NOISE_WORDS, a).otherwise(F.struct(F.concat(a["h"], F.get("h", j)).alias("h"), (a["n"] + F.get("n", j)).alias("n"))))
-        return _let(more, lambda a: F.when(a["n"] >= NOISE_WORDS, F.substring(F.md5(a["h"]), 1, 16)))
+        """The gram of several units, null where words do not suffice; a unit has a word at least."""
+        words, hashes, out = F.get("n", i), [F.get("h", i)], F.when(F.lit(False), F.lit(""))
+        for k in range(1, NOISE_WORDS):
+            words, hashes = words + F.get("n", i + k), [*hashes, F.get("h", i + k)]
+            out = out.when(words >= NOISE_WORDS, F.substring(F.md5(F.concat(*hashes)), 1, 16))
+        return out
 
     grams = F.transform("n", lambda x, i: F.when(x >= NOISE_WORDS, F.get("h", i)).otherwise(run(i)))
     line = F.transform("nl", lambda x, i: x & F.coalesce(F.get("nl", i + 1), F.lit(True)))
