@@ -128,7 +128,9 @@ def selected(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         return F.transform(c, lambda x, j: before(x, F.get(c, j - 1)))
 
     rows = rows.select("d", "th", "k", F.transform("c", lambda x: F.xxhash64(x["g"])).alias("g"), F.transform("c", lambda x: x["i"]).alias("i"), _let(F.col("c"), own).alias("own"))
-    return rows.dropDuplicates(["d", "th"])
+    # the first of equal rows, by one sort where they meet
+    again = F.lag("th").over(Window.partitionBy("d", "th").orderBy("th"))
+    return rows.withColumn("again", again).where("again IS NULL").drop("again")
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,7 +183,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out
     joined = keyed.join(gone, ["__d", "__th"], "left")
 
     def words(u: Column, r: Column) -> Column:
-        return F.aggregate(F.slice(u["n"], r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0), lambda a, n: a + n)
+        return F.aggregate(_words(F.slice(u["t"], r["lo"] + 1, r["hi"] - r["lo"] + 1)), F.lit(0), lambda a, n: a + n)
+
+    def passage(u: Column, r: Column) -> Column:
+        # a unit has a word at least, so long runs need no count
+        return F.when(r["hi"] - r["lo"] + 1 >= PASSAGE_WORDS, True).otherwise(words(u, r) >= PASSAGE_WORDS)
 
     def begins(u: Column, i: Column) -> Column:
         return F.coalesce(F.get(u["nl"], i), F.lit(True))
@@ -191,19 +197,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out
         starts = F.filter(F.sequence(r["lo"], r["hi"] + 1), lambda i: begins(u, i))
         lines = _let(starts, lambda s: F.struct(F.array_min(s).alias("lo"), (F.array_max(s) - 1).alias("hi")))
         enough = _let(lines, lambda x: F.when((x["hi"] >= x["lo"]) & (words(u, x) >= NOISE_WORDS), x))
-        return F.when(words(u, r) >= PASSAGE_WORDS, r).otherwise(enough)
+        return F.when(passage(u, r), r).otherwise(enough)
 
     def span(u: Column, r: Column) -> Column:
         """Pieces of a run, and whether a line feed stays since its first line stays in part; units and words."""
         feed = ~begins(u, r["lo"]) & F.exists(F.sequence(r["lo"] + 1, r["hi"] + 1), lambda i: begins(u, i) & (i < F.size(u["nl"])))
-        return F.struct(F.get(u["at"], r["lo"]).alias("a"), F.get(u["at"], r["hi"]).alias("b"), feed.alias("feed"), (~begins(u, r["lo"])).alias("mid"), (r["hi"] - r["lo"] + 1).alias("units"), words(u, r).alias("words"))
+        return F.struct(F.get(u["at"], r["lo"]).alias("a"), F.get(u["at"], r["hi"]).alias("b"), feed.alias("feed"), (~begins(u, r["lo"])).alias("mid"), (r["hi"] - r["lo"] + 1).alias("units"), (F.lit(0) if spare is None else words(u, r)).alias("words"))
 
     def spans(u: Column) -> Column:
         own = F.filter(F.transform("__runs", lambda r: trimmed(u, r)), lambda r: r.isNotNull())
         found = _let(own, lambda runs: F.transform(runs, lambda r: span(u, r)))
         if spare is None:
             return found
-        whole = F.aggregate(u["n"], F.lit(0), lambda a, n: a + n)
+        whole = F.aggregate(_words(u["t"]), F.lit(0), lambda a, n: a + n)
         return _let(found, lambda s: F.when(F.aggregate(s, F.lit(0), lambda a, x: a + x["words"]) <= spare * whole, s))
 
     def rest(p: Column, s: Column) -> Column:
@@ -219,8 +225,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out
         return _let(joined, lambda x: F.when(ends & F.endswith(x, F.lit("\n")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
 
     def result(p: Column) -> Column:
-        units = _let(_units(p), lambda u: F.struct(u["at"].alias("at"), u["nl"].alias("nl"), _words(u["t"]).alias("n")))
-        return _let(_let(units, spans), lambda s: F.when(F.size(s) > 0, F.struct(rest(p, s).alias("x"), F.aggregate(s, F.lit(0), lambda a, x: a + x["units"]).alias("n"))))
+        return _let(_let(_units(p), spans), lambda s: F.when(F.size(s) > 0, F.struct(rest(p, s).alias("x"), F.aggregate(s, F.lit(0), lambda a, x: a + x["units"]).alias("n"))))
 
     joined = joined.withColumn("__r", F.when(F.col("__runs").isNotNull(), _let(_pieces(text), result)))
     clean = F.when(F.col("__r").isNotNull(), F.col("__r.x")).otherwise(F.col(text))
