@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +66,49 @@ def gapless_rank(df: DataFrame, groups: list[str], order: list[str], out: str, b
     return ranked.select(*df.columns, out)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], rank: str | None = None) -> DataFrame:
+    """Adds ``rank`` (0, 1, 2, ... over all rows) and, for each out: column of ``sums``, the column's sum over the rows
+    up to and including this one, in ``order``.
+
+    Rows are dealt by range of ``order`` and summed within their task, batch by batch; the tasks' totals, one row a
+    task, give each its offset. ``order`` has to be total (equal keys go to one task). What it was dealt by is written
+    before it is summed up, so that a task run again finds the same rows. Sums are of 64 bits; nulls count as 0.
+    """
+    spark, outs = df.sparkSession, [*sums, *([rank] if rank else [])]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
+    schema = StructType([*dealt.schema.fields, *(StructField(name, LongType()) for name in outs)])
+    kept = list(dealt.columns)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        before = [0] * len(outs)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            made = []
+            for k, name in enumerate(outs):
+                x = pc.fill_null(batch.column(kept.index(sums[name])), 0).to_numpy(zero_copy_only=False).astype(np.int64) if name in sums else np.ones(batch.num_rows, np.int64)
+                up = np.cumsum(x) + before[k]
+                before[k] = int(up[-1])
+                made.append(pa.array(up))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*kept, *outs])
+
+    local = checkpointed(dealt.mapInArrow(run, schema))
+    # sums only grow if their terms are not negative, so a task's total is its terms' sum, not its last sum
+    ends = sorted(map(tuple, local.groupBy("__pid").agg(*(F.sum(sums[o]).cast("long") if o in sums else F.count(F.lit(1)) for o in outs)).collect()))
+    offsets, so_far = [], [0] * len(outs)
+    for pid, *totals in ends:
+        offsets.append((pid, *so_far))
+        so_far = [a + (b or 0) for a, b in zip(so_far, totals, strict=True)]
+    table = spark.createDataFrame(offsets, "__pid int, " + ", ".join(f"__o{k} long" for k in range(len(outs))))
+    # one row a task: small by nature
+    joined = local.join(F.broadcast(table), "__pid")
+    return joined.select(*df.columns, *((F.col(o) + F.col(f"__o{k}") - (1 if o == rank else 0)).alias(o) for k, o in enumerate(outs)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: (node, component), component being the least node.
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, licenses, linededup, media, mixing, sharding, simhash, toxicity
+from . import bpe, divergence, embeddings, langid, licenses, linededup, media, mixing, packing, sharding, simhash, toxicity, trie
 from .common import read, train_split
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", train_split(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_matched")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations")).drop("first", "last")
+
+
+#: DuckDB has no CRC-32, so its register is shifted bit by bit.
+OP11_SQL = """
+WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x.r, substr(x.t, 1, 64), md5(x.t)) AS xs FROM t GROUP BY 1),
+bits AS (SELECT *, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS es FROM own),
+h AS (SELECT conv_id, xs, conv_id - conv_id % 100 AS base, xor(list_reduce(es, lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1)), 4294967295::BIGINT), 4294967295) % 6 AS h FROM bits),
+paths AS (SELECT h.conv_id, list_concat(coalesce(b.xs[1:h.h], []), h.xs[h.h + 1:]) AS xs FROM h LEFT JOIN own b ON b.conv_id = h.base),
+pre AS (SELECT conv_id, d, xs[1:d] AS node, d = len(xs) AS here FROM (SELECT conv_id, xs, unnest(range(len(xs) + 1)) AS d FROM paths)),
+n AS (SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN here THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends FROM pre GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, node[1:d - 1] AS node, count(*) AS k FROM n WHERE d > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(k, 0) AS k, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * length(n.node[-1].t) END AS saved FROM n LEFT JOIN kids USING (d, node)),
+subs AS (SELECT a.d, a.node, count(*) FILTER (b.k = 0) AS leaves, sum(b.saved) AS saved FROM m a JOIN m b ON b.d >= a.d AND b.node[1:a.d] = a.node GROUP BY 1, 2)
+SELECT m.conv_id, m.d AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.k AS n_children, subs.leaves AS n_leaves, subs.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN subs USING (d, node) LEFT JOIN m p ON p.d = m.d - 1 AND p.node = m.node[1:m.d - 1]
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS df FROM (SELECT d, lang, source, unnest(ts) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(df) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS nl FROM kept GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS ns FROM c JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(ns, 0) AS ns, coalesce(nl, 0) AS nl FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs USING (lang) LEFT JOIN sums USING (lang, source)),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.ns + g.v) AS p, 1 + 1000000000::HUGEINT * (k.total + 1) // (g.nl + g.v) AS q
+      FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM x WHERE n > 0 AND p > q),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()).drop("padding")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -150,8 +198,11 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_packing": op13_packing,
     "pipeline": pipeline,
 }
 #: Without SQL: 1 and 9 (Python libraries), 3 (no CRC-32 in DuckDB), 5 and 10 (fitted), 7 (no XXH64), 8 (a simulated
-#: schedule) and the pipeline. Tests hold these against brute force.
-ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op4_licenses": _op4_sql(), "op6_line_dedup": OP6_SQL}
+#: schedule), 13 (the tokenizer) and the pipeline. Tests hold these against brute force.
+ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op4_licenses": _op4_sql(), "op6_line_dedup": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_source_divergence": OP12_SQL}
