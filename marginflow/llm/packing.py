@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import with_code
-from .bpe import PIECE_CHARS, Encoder, MergeTable
-from .common import running, slices
+from .bpe import MEMO_CHARS, PIECE_CHARS, Encoder, MergeTable
+from .common import checkpointed, running, slices
 
 #: Tokens of a sequence.
 LENGTH = 2048
@@ -30,25 +30,147 @@ SEGMENT = 1 << 16
 STRIDE = 256
 #: In tokens of padding: prices of a cut between sentences, of one within a sentence, and of a sequence.
 SENTENCE_PRICE, WORD_PRICE, SEQUENCE_PRICE = 8, 48, 4
+#: Bytes of remembered words in a worker, in two generations; the older one goes when the younger one is full.
+MEMO_BYTES = 224 << 20
+#: New words that are merged at once, and characters of texts that are looked through for them at once.
+MERGED_AT_ONCE, LEARNT_AT_ONCE = 1 << 14, 1 << 20
 #: Signs at the end of a sentence's last chunk.
 SENTENCE_ENDS = ".!?…。！？"
 
 
-class WordEncoder(Encoder):
-    """Remembers words as ``Encoder`` does; new short words are merged at once, the same tokens as by the stream."""
+class Merger:
+    """The merges of many short words at once: the words are rows of a matrix, of which each round merges every row's
+    best pair. Ranks of pairs are found in a table of hashes with few collisions."""
+
+    def __init__(self, table: MergeTable):
+        import numpy as np
+
+        self.made = np.array(table.made, np.int64)
+        self.none = len(table.made)
+        self.complete = None not in table.inner and None not in table.final
+        if self.complete:
+            self.inner, self.final = np.array(table.inner, np.int64), np.array(table.final, np.int64)
+        self.bits = max(10, (8 * self.none).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int64)
+        pairs = np.array([x << 32 | y for x, y in table.ranks], np.int64)
+        left = np.arange(len(pairs))
+        self.probes = 0
+        while len(left):  # each round, of the pairs that want a free place one gets it
+            place = self._place(pairs[left], self.probes)
+            free = self.keys[place] < 0
+            self.keys[place[free]] = pairs[left[free]]
+            settled = self.keys[place] == pairs[left]
+            self.ranks[place[settled]] = left[settled]
+            left, self.probes = left[~settled], self.probes + 1
+
+    def _place(self, keys, probe: int):
+        import numpy as np
 
-    def _word(self, word: str) -> bytes:
-        if len(word) > 64:
-            return super()._word(word)
-        if (out := self.old.get(word)) is None:
-            out = self._merged(word)
-        return self._remember(word, out)
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def rank(self, x, y):
+        """Ranks of pairs of ids; those of no merge, or with an id below 0, are ``none``."""
+        import numpy as np
+
+        keys = np.where((x < 0) | (y < 0), -2, x << 32 | y)
+        out = np.full(keys.shape, self.none, np.int64)
+        for probe in range(self.probes):
+            place = self._place(keys, probe)
+            out = np.where(self.keys[place] == keys, self.ranks[place], out)
+        return out
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        import numpy as np
 
-    def _merged(self, word: str) -> bytes:
-        from array import array
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(sizes)
+        symbols = self.inner[data]
+        symbols[ends - 1] = self.final[data[ends - 1]]
+        width = int(sizes.max())
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[:, :width][np.arange(width) < sizes[:, None]] = symbols
+        ranks = np.full((len(words), width + 1), self.none, np.int64)
+        ranks[:, :width] = self.rank(ids[:, :-1], ids[:, 1:])
+        rows, done = np.arange(len(words)), np.full((len(words), width), -1, np.int64)
+        columns = np.arange(width)
+        while len(rows):
+            best = ranks.argmin(1)
+            all_rows = np.arange(len(rows))
+            least = ranks[all_rows, best]
+            going = least < self.none
+            if not going.all():
+                done[rows[~going]] = ids[~going, :width]
+                rows, ids, ranks, best, least = rows[going], ids[going], ranks[going], best[going], least[going]
+                all_rows = np.arange(len(rows))
+            ids[all_rows, best] = self.made[least]
+            # what lies behind the pair moves up
+            source = columns + (columns > best[:, None])
+            ids[:, :width] = np.take_along_axis(ids, source, 1)
+            ranks[:, :width] = np.take_along_axis(ranks, source, 1)
+            ranks[all_rows, best] = self.rank(ids[all_rows, best], ids[all_rows, best + 1])
+            before = np.maximum(best - 1, 0)
+            ranks[all_rows, before] = np.where(best > 0, self.rank(ids[all_rows, before], ids[all_rows, best]), ranks[all_rows, before])
+        counts = 4 * (done >= 0).sum(1)
+        flat = done[done >= 0].astype(np.uint32).tobytes()
+        cuts = [0, *np.cumsum(counts).tolist()]
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
 
-        table = self.table
-        return array("I", table.merge(list(table.symbols(word)))).tobytes()
+
+class WordEncoder(Encoder):
+    """Remembers words as ``Encoder`` does; the new short words of many texts are merged at once."""
+
+    def __init__(self, table: MergeTable):
+        super().__init__(table)
+        self.merger = Merger(table)
+
+    def learn(self, texts: list[str]) -> None:
+        """Remembers the chunks of these texts."""
+        if not self.merger.complete:
+            return
+        new: set[str] = set()
+        for text in texts:
+            if self.special and self.special.search(text):
+                continue
+            for piece in self._pieces(text):
+                new |= set(self._normal(piece)).difference(self.memo)
+        found: dict[str, bytes] = {}
+        mixed: list[str] = []
+        fresh: list[list[tuple[str, bytes]]] = [[], [], []]
+
+        def sort(word: str) -> None:
+            if (out := self.old.get(word)) is not None:
+                found[word] = out
+            elif len(data := word.encode()) <= 32:
+                fresh[0 if len(data) <= 8 else 1 if len(data) <= 16 else 2].append((word, data))
+            else:
+                found[word] = b"".join(self._long(word))
+
+        for chunk in new:
+            if len(chunk) > MEMO_CHARS:
+                continue
+            if chunk.isalpha():
+                sort(chunk)
+            elif (out := self.old.get(chunk)) is not None:
+                found[chunk] = out
+            else:
+                mixed.append(chunk)
+        parts = [list(self._words(c)) for c in mixed]
+        for word in {w for ws in parts for w in ws}.difference(self.memo, new):
+            sort(word)
+        for word in {w for ws in parts for w in ws}.intersection(mixed):  # a chunk that is one word
+            sort(word)
+        for some in fresh:
+            for at in range(0, len(some), MERGED_AT_ONCE):
+                part = some[at : at + MERGED_AT_ONCE]
+                found.update(zip([w for w, _ in part], self.merger.merge([d for _, d in part]), strict=True))
+        for chunk, words in zip(mixed, parts, strict=True):
+            found[chunk] = b"".join([found[w] if w in found else self.memo[w] for w in words])
+        self.held += sum(len(w) + len(out) for w, out in found.items()) + 200 * len(found)  # and the objects' own size
+        self.memo.update(found)
+        if 2 * self.held > MEMO_BYTES:
+            self.old, self.memo, self.held = self.memo, {}, 0
 
     def sentences(self, text: str | None):
         """The text's ids in blocks of bytes, each with whether a sentence ends there."""
@@ -114,6 +236,23 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(MergeTable(path))
 
 
+def learnt(encoder: WordEncoder, texts):
+    """The texts, of which the encoder has looked through so many at a time as it can hold."""
+    held: list[str | None] = []
+    size = 0
+    for value in texts:
+        text = value.as_py()
+        if size + len(text or "") > LEARNT_AT_ONCE and held:
+            encoder.learn([t for t in held if t])
+            yield from held
+            held, size = [], 0
+        held.append(text)
+        size += len(text or "")
+    if size <= LEARNT_AT_ONCE:  # a longer text is read in pieces
+        encoder.learn([t for t in held if t])
+    yield from held
+
+
 def segments(docs: DataFrame, path: str, end: int = 1, stride: int = STRIDE, text: str = "text") -> DataFrame:
     """(doc_id, row, seg, start, length, doc_tokens, crc, places, crcs): each document's places to cut, in rows of up to
     about SEGMENT tokens. ``crc`` is that of the ids before ``start``; ``row`` tells documents of equal ids apart."""
@@ -128,8 +267,8 @@ def segments(docs: DataFrame, path: str, end: int = 1, stride: int = STRIDE, tex
         for batch in slices(batches):
             out: list[list] = [[] for _ in names]
             owner = []
-            for i, (row, value) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                n, places, crcs = cut_places(encoder.sentences(value.as_py()), end, stride)
+            for i, (row, text) in enumerate(zip(batch.column(1).to_pylist(), learnt(encoder, batch.column(2)), strict=True)):
+                n, places, crcs = cut_places(encoder.sentences(text), end, stride)
                 start = begun = crc = seg = 0
                 for k, place in enumerate(places):
                     if k + 1 == len(places) or abs(places[k + 1]) - start > SEGMENT:
@@ -218,7 +357,8 @@ def pack(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, block:
 
     if length < 8:
         raise ValueError("sequences hold at least 8 ids")
-    found = segments(docs, path, end, min(STRIDE, (length - 1) // 2), text)
+    # written first, so that finding the ranges of documents does not encode them a second time
+    found = checkpointed(segments(docs, path, end, min(STRIDE, (length - 1) // 2), text))
     order = [F.col("doc_id").asc_nulls_first(), F.col("row"), F.col("seg")]
     placed = running(found, order, {"until": "length"}, rank="at")
     placed = placed.withColumn("block", F.floor((F.col("until") - F.col("length")) / block).cast("long"))
