@@ -102,8 +102,10 @@ class Model:
 
     def decode(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest codeword and its score, the softmax of minus the losses."""
-        margin = STEEPNESS * f[:, None, :] * self.codes[None]
-        loss = (np.logaddexp(0, -margin) * self.trust).sum(2)
+        # a bit's loss is one of two numbers, so losses of all languages are two products
+        right, wrong = (np.logaddexp(0, sign * STEEPNESS * f) * self.trust for sign in (-1, 1))
+        ones = (self.codes > 0).astype(float)
+        loss = right @ ones.T + wrong @ (1 - ones).T
         p = np.exp(loss.min(1, keepdims=True) - loss)
         return loss.argmin(1), 1 / p.sum(1)
 

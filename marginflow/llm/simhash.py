@@ -231,14 +231,15 @@ def signature(text: str | None) -> list[int]:
     return _bits(sorted(set(words)), 2) + _bits(list({b" ".join(words[i : i + WIDE_SHINGLE]) for i in range(n)}), 4)
 
 
-def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = WIDE_BITS) -> DataFrame:
+def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = WIDE_BITS, only: DataFrame | None = None) -> DataFrame:
     """(doc_id, sig, component_id) for each row of ``docs``: near-duplicates by five-word shingles at a similarity of
     about 0.8 or more.
 
     An edited word changes five shingles but one word, so fingerprints of distinct words lie closer than those of
     shingles: covering tables of radius 4 over two of them give the candidates, and a 256-bit SimHash of the shingles
     judges them. ``sig`` is a hash of the signature. Nulls, ties and texts without words are as in
-    ``near_duplicates``.
+    ``near_duplicates``. ``only``: ids, once each, to which rows are limited once they have signatures, so that texts
+    stay where they are.
     """
     names = ["f0", "f1", "s0", "s1", "s2", "s3"]
 
@@ -250,7 +251,8 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(got[:, i])) for i in range(6))], names=[doc_id, *names])
 
     kinds = ", ".join([f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}", *[f"{n} long" for n in names]])
-    rows = checkpointed(with_code(docs).select(doc_id, text).mapInArrow(run, kinds).withColumn("id", F.xxhash64(*names)))
+    rows = with_code(docs).select(doc_id, text).mapInArrow(run, kinds).withColumn("id", F.xxhash64(*names))
+    rows = checkpointed(rows if only is None else rows.join(only, doc_id, "left_semi"))
     nodes = checkpointed(rows.groupBy("id").agg(F.min(doc_id).alias("least"), *[F.first(n).alias(n) for n in names]))
     parts = linked(nodes.drop("least"), covering_keys([F.col("f0"), F.col("f1")]), names[2:], most)
     found = _spread(rows.select(doc_id, "id"), nodes.select("id", "least"), parts, "id", doc_id)

@@ -29,6 +29,8 @@ BROADCAST_IDS = 1_000_000
 GRID = 2
 #: Lengths of the beginnings of words that are tried.
 PREFIXES = range(2, 9)
+#: The test of an entry: see ``chosen``.
+LEAST_WEIGHT, CHANCE, TIMES = 2.0, 1.64, 3
 #: Words known beforehand, with the weight they have where no label tells otherwise.
 GIVEN = ("idiot", "moron", "scum", "stupid", "trash", "loser", "worthless", "pathetic", "disgusting", "clown")
 #: Phrases in which a match is meant otherwise.
@@ -144,31 +146,40 @@ def entries_of(text: str) -> set[str]:
     return out
 
 
-def _tally(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """(entry, n): rows of ``rows`` that have each entry, counted within a partition first."""
+def _tally(rows: DataFrame) -> DataFrame:
+    """(entry, a, z): toxic and other rows of (toxic, text) that have each entry, counted within a partition first."""
 
     def run(batches):
         import pyarrow as pa
 
-        counts: Counter[str] = Counter()
+        counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
         read = 0
 
         def flush():
-            got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
-            counts.clear()
-            return got
+            for toxic, c in enumerate(counts):
+                n, none = pa.array(list(c.values()), pa.int64()), pa.array([0] * len(c), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), *((n, none) if toxic else (none, n))], names=["entry", "a", "z"])
+                c.clear()
 
         for batch in batches:
-            for text in batch.column(0):
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = entries_of(text.as_py())
-                counts.update(found if only is None else found & only)
+                counts[toxic == 1].update(found)
                 read += len(found) + sum(map(len, found)) // 16
                 if read > 2_000_000:
-                    yield flush()
+                    yield from flush()
                     read = 0
-        yield flush()
+        yield from flush()
 
-    return with_code(rows).mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    found = with_code(rows).select("toxic", "text").mapInArrow(run, "entry string, a long, z long")
+    return found.groupBy("entry").agg(F.sum("a").alias("a"), F.sum("z").alias("z"))
+
+
+def telling(tally: DataFrame, n1: int, n0: int) -> DataFrame:
+    """The entries of a tally that tell toxic rows from others, by the test that ``chosen`` states."""
+    a, z = F.col("a"), F.col("z")
+    heavy = F.log((a + 0.5) / (n1 + 1.0)) - F.log((z + 0.5) / (n0 + 1.0)) > LEAST_WEIGHT
+    return tally.where(heavy & ((a - CHANCE * F.sqrt(a)) / float(n1) > TIMES * (z + 1) / float(n0)))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
@@ -185,21 +196,16 @@ def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, f
     return tuple(float(v) for v in b)
 
 
-def least_rows(n1: int) -> int:
-    """Toxic rows, of ``n1``, that have to have an entry: a hundredth of them, and two at least."""
-    return max(2, n1 // 100)
-
-
 def chosen(ones: dict[str, int], zeros: dict[str, int], n1: int, n0: int) -> dict[str, float]:
     """Weights of the entries kept, from their counts in n1 toxic and n0 other rows.
 
-    The weight is the log ratio of both rates. It lies above 2, and the toxic rate, less what chance may add, above
-    three times the other. An entry that a kept shorter one begins goes, unless it weighs 0.7 more.
+    The weight is the log ratio of both rates. It lies above LEAST_WEIGHT, and the toxic rate, less CHANCE standard
+    deviations, above TIMES the other. An entry that a kept shorter one begins goes, unless it weighs 0.7 more.
     """
     weight = {}
     for e, a in ones.items():
         w = math.log((a + 0.5) / (n1 + 1)) - math.log((zeros.get(e, 0) + 0.5) / (n0 + 1))
-        if w > 2.0 and (a - 1.64 * math.sqrt(a)) / n1 > 3 * (zeros.get(e, 0) + 1) / n0:
+        if w > LEAST_WEIGHT and (a - CHANCE * math.sqrt(a)) / n1 > TIMES * (zeros.get(e, 0) + 1) / n0:
             weight[e] = w
     kept: dict[str, float] = {}
     for e in sorted(weight, key=lambda e: (len(e.rstrip("$")), e)):
@@ -214,8 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
 
     About ``sample_rows`` ids are used, by their hash; an id with several labels is toxic if one of them says so, and
     each of its documents counts. Entries much likelier in toxic rows are kept, the shortest of those that say the
-    same; no number of entries is set, but those in too few toxic rows to be told from chance are not. The driver
-    gets the counts of entries in that many toxic rows of the sample, and the rows' features on a grid. Without
+    same; no number of entries and of rows is set, but those that chance may have put in toxic rows are not kept. The
+    driver gets the entries that pass that test, and the rows' features on a grid. Without
     labels of both kinds the given words and a fixed curve are used.
     """
     usable = F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~train_split(F.col("doc_id"))
@@ -230,10 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
     n1, n0 = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
     if not n1 or not n0:
         return Lexicon(given)
-    toxic, clean = rows.where("toxic = 1").select("text"), rows.where("toxic <> 1").select("text")
-    ones = {r[0]: r[1] for r in _tally(toxic, None).where(F.col("n") >= least_rows(n1)).collect()}
-    zeros = {r[0]: r[1] for r in _tally(clean, frozenset(ones)).collect()}
-    top = chosen(ones, zeros, n1, n0)
+    told = telling(_tally(rows), n1, n0).collect()
+    top = chosen({r.entry: r.a for r in told}, {r.entry: r.z for r in told}, n1, n0)
     lexicon = Lexicon({**{e: w for e, w in given.items() if e.rstrip("$") not in top}, **top})
 
     def features(batches):

@@ -204,7 +204,7 @@ def test_lexicon_against_plain_counts(spark):
     for e, a in counts[1].items():
         z = counts[0].get(e, 0)
         w = math.log((a + 0.5) / (n1 + 1)) - math.log((z + 0.5) / (n0 + 1))
-        if a >= max(2, n1 // 100) and w > 2 and (a - 1.64 * a**0.5) / n1 > 3 * (z + 1) / n0:
+        if w > 2 and (a - 1.64 * a**0.5) / n1 > 3 * (z + 1) / n0:
             want[e] = w
     assert want and all(abs(want[e] - w) < 1e-12 for e, w in lex.weights.items() if e in want)
     learned = {e for e in lex.weights if e.rstrip("$") not in toxicity.GIVEN}
@@ -239,3 +239,35 @@ def test_long_words_are_whole(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     lex = toxicity.fit(docs, labels)
     assert lex.matched(long)[1] == 1 and f"{long}$" in toxicity.entries_of(long) and f"{long[:40]}$" not in toxicity.entries_of(long)
+
+
+def test_rare_words_are_learned(spark):
+    """A word in one of 200 toxic rows and in no other, which chance alone does not explain."""
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(12_000):
+        toxic = i % 3 == 0
+        words = [f"w{r.randrange(40)}" for _ in range(6)]
+        if toxic:
+            words.append("vorglat" if i % 600 == 0 else f"foul{'abcdefghij'[r.randrange(10)]}")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    lex = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert lex.score("w1 w2 vorglat w3") > 0.9 and lex.matched("vorglat")[1] == 1
+    assert lex.score("w1 w2 w3") < 0.3
+
+
+def test_losses_of_thousands_of_languages_take_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    codes = np.where(r.integers(0, 2, (5000, 63)) > 0, 1, -1)
+    model = langid.Model([str(i) for i in range(5000)], codes, np.zeros((63, 4)), r.uniform(0.05, 1, 63))
+    f = r.normal(size=(256, 63))
+    tracemalloc.start()
+    best, score = model.decode(f)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    for i in range(0, 256, 51):
+        loss = (np.logaddexp(0, -langid.STEEPNESS * f[i] * codes) * model.trust).sum(1)
+        assert best[i] == loss.argmin() and abs(score[i] - 1 / np.exp(loss.min() - loss).sum()) < 1e-9
