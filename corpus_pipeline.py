@@ -8,16 +8,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginflow.llm import bpe, langid, linededup, mixing, simhash
 from marginflow.llm.common import checkpointed, read
 from marginflow.llm.queries import tokenizer_path
 
-#: Share of a document's words that line dedup deletes at most.
-SPARE = 0.6
-
 
 def aside(docs: DataFrame) -> DataFrame:
     """The columns under names that no operator uses, so that none of them clashes with a result's."""
@@ -41,23 +38,36 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated runs of lines and passages; ``n_chars`` follows the text. All documents
-    stay. One that would lose more than SPARE of its words is a copy, which the next stage judges as a whole."""
-    clean = linededup.dedup_lines(docs, out="text", count="__deleted", spare=SPARE)
+    """Deletes later copies of repeated runs of lines and passages, however much of a document they are; ``n_chars``
+    follows the text. All documents stay, a whole copy as an empty one."""
+    clean = linededup.dedup_lines(docs, out="text", count="__deleted")
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def not_least(found: DataFrame) -> DataFrame:
+    """Ids of near-duplicates of a document of a lesser id. Where rows that share an id lie in several groups, the id
+    goes if one of them is not its group's least."""
+    return checkpointed(found.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least < doc_id").select("doc_id"))
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component (five-word shingles, similarity of 0.8 or more): the one
-    whose id is the component's, once if it is repeated. Documents without an id can't be told from one another, so
-    all of them stay."""
-    found = simhash.near_texts(docs)
-    keep = checkpointed(found.where("doc_id = component_id").select("doc_id").distinct())
-    once = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
-    # rows that share an id: the first text in order of its hash
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    once = once.withColumn("__k", first).where("__k = 1").select(*docs.columns)
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one document of each near-duplicate component (five-word shingles, similarity of 0.8 or more), the one of
+    the least id, once if it is repeated. Documents without an id can't be told from one another, so all of them stay.
+
+    Line dedup has taken from a copy what it shares, so documents are judged first by the texts that they came with
+    (those of the table in ``sf_dir``, if given), then those that are left by the texts that they have now.
+    """
+    ids = checkpointed(docs.select("doc_id").where("doc_id IS NOT NULL").distinct())
+    for texts in [*([read(spark, sf_dir, "documents")] if sf_dir else []), docs]:
+        gone = not_least(simhash.near_texts(texts.select("doc_id", "text"), only=ids))
+        ids = checkpointed(ids.join(gone, "doc_id", "left_anti"))
+    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    # rows that share an id: the first in order of the row's hash; few ids have several
+    again = checkpointed(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("row.*")
+    alone = docs.join(ids.join(again, "doc_id", "left_anti"), "doc_id", "left_semi").select(*docs.columns)
+    return alone.unionByName(once).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
