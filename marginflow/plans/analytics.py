@@ -46,10 +46,18 @@ def scalar_matrix(results: DataFrame, atol: float = ATOL, rtol: float = RTOL, by
 
 def full_signal_matrix(results: DataFrame, atol: float = ATOL, rtol: float = RTOL) -> DataFrame:
     """Share of pairs on which two backends agree at every sample, among pairs of equal length."""
-    sized = results.where("status = 'ok'").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pair_id", "backend")))
-    match = F.coalesce(values_match(F.col("__x"), F.col("__y"), atol, rtol), F.lit(False))
-    each = _pairs(sized, ["pair_id", "t_idx", "n"]).groupBy("pair_id", "backend_a", "backend_b").agg(F.bool_and(match).alias("all"))
-    rate = each.groupBy("backend_a", "backend_b").agg(F.avg(F.col("all").cast("double")).alias("agreement"))
+    each = results.where("status = 'ok'").groupBy("pair_id", "t_idx").agg(F.sort_array(F.collect_list(F.struct("backend", "rho"))).alias("__r"))
+    match = lambda x, y: F.coalesce(values_match(x["rho"], y["rho"], atol, rtol), F.lit(False))
+    # a backend with itself counts its samples
+    pair = lambda x, y, same: F.struct(x["backend"].alias("backend_a"), y["backend"].alias("backend_b"), (same | match(x, y)).alias("m"))
+    both = F.flatten(F.transform("__r", lambda x, i: F.transform(F.slice("__r", i + 1, F.size("__r")), lambda y, j: pair(x, y, j == 0))))
+    rows = each.select("pair_id", F.explode(both).alias("p")).select("pair_id", "p.*")
+    rows = rows.groupBy("pair_id", "backend_a", "backend_b").agg(F.count(F.lit(1)).alias("n"), F.bool_and("m").alias("all"))
+    # rows of backends a pair: few
+    whole = rows.groupBy("pair_id").agg(F.collect_list(F.struct("backend_a", "backend_b", "n", "all")).alias("e"))
+    lengths = F.map_from_entries(F.transform(F.filter("e", lambda x: x["backend_a"] == x["backend_b"]), lambda x: F.struct(x["backend_a"], x["n"])))
+    whole = whole.withColumn("l", lengths).select("l", F.explode("e").alias("e")).select("l", "e.*").where("backend_a <> backend_b AND n = l[backend_a] AND n = l[backend_b]")
+    rate = whole.groupBy("backend_a", "backend_b").agg(F.avg(F.col("all").cast("double")).alias("agreement"))
     return _square(rate, results, "agreement", ())
 
 
@@ -173,16 +181,6 @@ def timing(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"per_trace_ms": F.col("mean_ms") / F.col("batch_size"), "throughput_msts": F.col("batch_size") * F.col("timesteps") / (F.col("mean_ms") / 1000) / 1e6})
 
 
-def stepwise_at(breakpoints: DataFrame, times: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """As-of join: the value of the last breakpoint at or before each time; null before the first one.
-
-    Both tables are unioned and run through one growing frame, so nothing is compared pairwise.
-    """
-    u = breakpoints.select(*keys, "t", F.col("value").alias("__v"), F.lit(0).alias("__k")).unionByName(times.select(*keys, "t", F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__k")))
-    w = Window.partitionBy(*keys).orderBy("t", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn("value", F.last("__v", ignorenulls=True).over(w)).where("__k = 1").select(*keys, "t", "value")
-
-
 def classify(observed: Column, options: Sequence[tuple[str, float]], atol: float = ATOL, other: str = "unknown") -> Column:
     """The first option (label, value) that an observed value equals within atol."""
     out = F.lit(other)
@@ -192,6 +190,21 @@ def classify(observed: Column, options: Sequence[tuple[str, float]], atol: float
     return out
 
 
+def classes(wide: DataFrame, names: Sequence[str], atol: float = ATOL) -> DataFrame:
+    """(point, class): the columns ``names`` of a wide table by their values. Two columns are linked if they agree to
+    within atol in every row (NaN is NaN, an infinity only itself); a class is what links connect, named by its first
+    member. One aggregation of one row; what goes on from there are the columns' names."""
+    same = lambda x, y: (F.col(x) == F.col(y)) | (F.isnan(x) & F.isnan(y)) | (F.abs(F.col(x) - F.col(y)) <= atol)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    found = wide.agg(*[F.bool_and(same(a, b)).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).first()
+    root = {n: n for n in names}
+    for k, (a, b) in enumerate(pairs):
+        if found[k] is not False and root[a] != root[b]:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {n: new if r == old else r for n, r in root.items()}
+    return wide.sparkSession.createDataFrame(list(root.items()), "point string, class string")
+
+
 # Configurations and signatures: a few hundred rows on the driver, each from one aggregated query.
 Signature = tuple
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..formula.parser import parse_cached
 from ..operators.semantics import PROFILES, Profile, Semantics, profile_of
-from ..sources.signals import SignalFrame, embeddings_signal, events_signal, orders_signal
+from ..sources.signals import SignalFrame, embeddings_signal, events_signal, orders_signal, streams_signal
 from . import engine, facts, studies
 from .oracles import held_until, held_window, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
-SOURCES: dict[str, Callable[[SparkSession, str], SignalFrame]] = {"events": events_signal, "embeddings": embeddings_signal, "orders": orders_signal}
+SOURCES: dict[str, Callable[[SparkSession, str], SignalFrame]] = {"events": events_signal, "embeddings": embeddings_signal, "orders": orders_signal, "streams": streams_signal}
 
 #: Names, signals, formulas and profiles.
 FORMULAS: list[tuple[str, str, str, str]] = [
@@ -70,6 +70,10 @@ FORMULAS: list[tuple[str, str, str, str]] = [
     ("pymtl_always", "orders", "G[0,2](x >= 100000)", "pymtl"),
     ("pymtl_eventually", "orders", "F[1,3](x >= 100000)", "pymtl"),
     ("pymtl_until", "orders", "(x >= 50000) U[1,3] (x >= 150000)", "pymtl"),
+    ("long_always", "streams", "G[0,360](x >= 5)", "native"),
+    ("long_nested", "streams", "G[0,300](F[12,200](x >= 20))", "taliro"),
+    ("long_eventually_held", "streams", "F[24,400](x >= 50)", "rtamt_dense"),
+    ("long_until", "streams", "(x >= 0) U[100,400] (y >= 90)", "native"),
     ("fast_nested", "events", "G[0,48]((x >= 10) and F[0,24](y >= 2))", "fast"),
 ]
 #: Points of the semantics space outside the tools' own.

@@ -14,7 +14,7 @@ from ..formula.nodes import Node, label, postorder
 from ..functions.scalars import close
 from ..operators.semantics import Semantics
 from ..sources.signals import TIME, TRACE, SignalFrame
-from . import engine
+from . import engine, shared_plan
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,8 @@ class DivergentNode:
         return label(self.node)
 
 
-Source = engine.EvaluationResult | Callable[[Node], DataFrame | None]
+#: A result, a function from nodes to frames, or one frame with the columns of the nodes that it has, by their ids.
+Source = engine.EvaluationResult | Callable[[Node], DataFrame | None] | tuple[DataFrame, dict[int, str]]
 
 
 def _traces(source: Source, nodes: list[Node], side: str) -> tuple[DataFrame | None, list[bool]]:
@@ -44,6 +45,10 @@ def _traces(source: Source, nodes: list[Node], side: str) -> tuple[DataFrame | N
         have = [id(n) in source.columns for n in nodes]
         picked = [F.col(source.columns[id(n)]).alias(f"{side}{i}") for i, n in enumerate(nodes) if have[i]]
         return source.frame.select(TRACE, TIME, *picked), have
+    if isinstance(source, tuple):
+        frame, columns = source
+        have = [id(n) in columns for n in nodes]
+        return frame.select(TRACE, TIME, *(F.col(columns[id(n)]).alias(f"{side}{i}") for i, n in enumerate(nodes) if have[i])), have
     if not callable(source):
         raise TypeError(f"expected a result or a function from nodes to frames, got {type(source).__name__}")
     frame, have = None, []
@@ -103,10 +108,14 @@ def localize(formula: Node, signal: SignalFrame, a: str | engine.Backend, b: str
 def divergence_table(formula: Node, signal: SignalFrame, a: engine.Backend, b: engine.Backend, atol: float = 1e-9) -> DataFrame:
     """One row for each logic node: node_index, label, n_divergent, first_trace, first_index; a lazy DataFrame."""
     nodes = list(postorder(formula, False))
-    left, _ = _traces(engine.evaluate(formula, signal, a), nodes, "a")
-    right, _ = _traces(engine.evaluate(formula, signal, b), nodes, "b")
+    try:  # both in one plan, if both are profiles with a plan in columns
+        joined = shared_plan.evaluate_nodes(formula, signal, {"a": a, "b": b})
+    except (AttributeError, NotImplementedError):
+        left, _ = _traces(engine.evaluate(formula, signal, a), nodes, "a")
+        right, _ = _traces(engine.evaluate(formula, signal, b), nodes, "b")
+        joined = left.join(right, [TRACE, TIME])
     place = F.row_number().over(Window.partitionBy(TRACE).orderBy(TIME)) - 1
-    joined = left.join(right, [TRACE, TIME]).withColumn("__i", place)
+    joined = joined.withColumn("__i", place)
     each = F.array(*[F.struct(F.lit(i).alias("node_index"), F.lit(label(n)).alias("label"), (~close(F.col(f"a{i}"), F.col(f"b{i}"), atol)).alias("apart")) for i, n in enumerate(nodes)])
     rows = joined.select(TRACE, "__i", F.explode(each).alias("e")).select(TRACE, "__i", "e.*")
     first = F.min(F.when(F.col("apart"), F.struct(TRACE, "__i")))
@@ -163,13 +172,17 @@ def localize_records(formula: Node, a: DataFrame, b: DataFrame, *, atol: float =
             raise ValueError(f"the {side} record has {len(have)} nodes, the formula {len(want)}")
         if have != want:
             raise ValueError(f"the {side} record is of another formula")
-    keys = ["node_index", TRACE, TIME]
-    sides = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("x")).join(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("y")), keys, "full")
-    if sides.where("NOT (coalesce(x, 0) = 1 AND coalesce(y, 0) = 1)").limit(1).count():
+    # a row a sample, with a column a node; each node once
+    values = [F.max(F.when(F.col("node_index") == i, F.col("rho"))).alias(f"n{i}") for i in range(len(nodes))]
+    once = F.lit(True)
+    for i in range(len(nodes)):
+        once = once & (F.count_if(F.col("node_index") == i) == 1)
+    wide = [rows.groupBy(TRACE, TIME).agg(*values, once.alias("once")) for rows in (a, b)]
+    both = wide[0].select(TRACE, TIME, F.col("once").alias("x")).join(wide[1].select(TRACE, TIME, F.col("once").alias("y")), [TRACE, TIME], "full")
+    if both.where("NOT (coalesce(x, false) AND coalesce(y, false))").limit(1).count():
         raise ValueError("the records' samples differ")
-    index = {id(n): i for i, n in enumerate(nodes)}
-    of = lambda rows: lambda n: rows.where(F.col("node_index") == index[id(n)]).select(TRACE, TIME, "rho")
-    return localize_results(formula, of(a), of(b), atol=atol)
+    columns = {id(n): f"n{i}" for i, n in enumerate(nodes)}
+    return localize_results(formula, (wide[0], columns), (wide[1], columns), atol=atol)
 
 
 def _same(x: Column, y: Column, atol: float) -> Column:

@@ -1,143 +1,182 @@
-"""Queries on the language, the tools and small hand-made inputs, held against values stated by hand or in SQL."""
+"""Queries on formulas, records and tools over the test tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..formula import analysis
-from ..formula.nodes import fold, label, postorder
-from ..formula.parser import parse, parse_cached
-from ..operators.semantics import PROFILES, Semantics
+from ..formula.nodes import label
+from ..formula.parser import FormulaError, parse, parse_cached
+from ..operators.semantics import PROFILES, Semantics, profile_of
+from ..sources import records
+from ..sources.shipping import with_code
 from ..sources.signals import TIME, TRACE, SignalFrame, embeddings_signal, events_signal
-from . import analytics, diagnostics, engine, generate, kernel_plan
-from .oracles import SIGNALS
+from . import analytics, diagnostics, engine, generate, kernel_plan, split
+from .oracles import SIGNALS, oracle
+from .shared_plan import evaluate_many
 from .studies import SPARSE, _backend, _localised, query
 
 
-def _sql(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, float):
-        return f"'{value!r}'::DOUBLE"
-    if isinstance(value, int):
-        return str(value)
-    return "'" + value.replace("'", "''") + "'"
-
-
-def stated(columns: str, rows) -> str:
-    """SQL of a table given by hand."""
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) v({columns})"
-
-
-def raised(run) -> str:
-    """The name of what a call raises."""
-    try:
-        run()
-    except Exception as e:
-        return type(e).__name__
-    return "nothing"
-
-
-#: Formula texts and how they read, by the precedence of the language.
-READ = (
-    ("x > 0 or y > 0 and x < 1", "((x > 0) or ((y > 0) and (x < 1)))"),
-    ("x > 0 and y > 0 and x < 1", "(((x > 0) and (y > 0)) and (x < 1))"),
-    ("x > 0 or y > 0 U[0,1] x < 1", "((x > 0) or ((y > 0) U[0,1] (x < 1)))"),
-    ("not x > 0 and y > 0", "(not (x > 0) and (y > 0))"),
-    ("not G[0,1](x > 0) U[1,2] F[0,3](y <= 2)", "(not G[0,1]((x > 0)) U[1,2] F[0,3]((y <= 2)))"),
-    ("x - 1 - 2 * y >= 0", "(((x - 1) - (2 * y)) >= 0)"),
-    ("x / 2 / y < 2 ^ 3 ^ y", "(((x / 2) / y) < (2 ^ (3 ^ y)))"),
-    ("-x ^ 2 == 4", "(((-1 * x) ^ 2) == 4)"),
-    ("abs(x - y) + sqrt(x) <= (1 + y) * 2", "((abs((x - y)) + sqrt(x)) <= ((1 + y) * 2))"),
-    ("G > F and U > 0", "((G > F) and (U > 0))"),
-    ("[predicates]\nhigh = x > 1\nlow = y < 2\nhigh = x > 3\n[stl]\nG[0,1](high) and low", "(G[0,1]((x > 3)) and (y < 2))"),
-    ("x > 0 U[0,1] y > 0 U[0,1] x < 1", "FormulaError"),
-    ("G[0,1] x > 0", "FormulaError"),
-    ("G[2,1](x > 0)", "G[2,1]((x > 0))"),
-    ("high", "FormulaError"),
-    ("x != 0", "FormulaError"),
-    ("[predicates]\nhigh = x > 1\n[stl]\nlow", "FormulaError"),
+#: Formula texts with places for two numbers, and how they read, by the precedence of the language; null where the
+#: text is none. Then: horizon, least upper bound, depth, operators, whether an equality occurs, variables.
+TEMPLATES = (
+    ("x > {k} or y > {j} and x < 1", "((x > {k}) or ((y > {j}) and (x < 1)))", "0", "'inf'", 0, "and,or", False, "x,y"),
+    ("not G[0,{k}](x > 0) U[1,2] F[0,{j}](y <= {k})", "(not G[0,{k}]((x > 0)) U[1,2] F[0,{j}]((y <= {k})))", "2 + greatest(k, j)", "least(k, j, 2)", 2, "always,eventually,not,until", False, "x,y"),
+    ("x - {k} - 2 * y / z >= 0", "(((x - {k}) - ((2 * y) / z)) >= 0)", "0", "'inf'", 0, "", False, "x,y,z"),
+    ("-x ^ {k} ^ y == 4", "(((-1 * x) ^ ({k} ^ y)) == 4)", "0", "'inf'", 0, "", True, "x,y"),
+    ("[predicates]\nhigh = x > {k}\nlow = y < {j}\nhigh = x > {j}\n[stl]\nG[{j},{k}9](high) and low", "(G[{j},{k}9]((x > {j})) and (y < {j}))", "k * 10 + 9", "k * 10 + 9", 1, "always,and", False, "x,y"),
+    ("x > 0 U[0,1] y > 0 U[0,{k}] x < 1", None, None, None, None, None, None, None),
+    ("abs(x - y) + sqrt(x) <= (1 + y) * {k}", "((abs((x - y)) + sqrt(x)) <= ((1 + y) * {k}))", "0", "'inf'", 0, "", False, "x,y"),
+    ("G > F and F[{j},{k}7.5](U > {k})", "((G > F) and F[{j},{k}7.5]((U > {k})))", "k * 10 + 7.5", "k * 10 + 7.5", 1, "and,eventually", False, "F,G,U"),
+    ("[predicates]\nhigh = x > {k}\n[stl]\nlow", None, None, None, None, None, None, None),
+    ("G[0,{k}] x > 0", None, None, None, None, None, None, None),
 )
 
 
-@query(stated("text, reads", READ))
-def parsed_formulas(spark, folder):
-    def read(text: str) -> str:
-        try:
-            return label(parse(text))
-        except ValueError as e:
-            return type(e).__name__
-
-    return spark.createDataFrame([(t, read(t)) for t, _ in READ], "text string, reads string")
-
-
-#: Logic nodes, temporal depth, operators, equality, variables, nodes counted by a fold, principled, on a grid of 0.5.
-FACTS = (
-    ("x >= 0", 1, 0, "", False, "x", 1, True, True),
-    ("G[0,5]((x > 0) and F[0,2](y > 0))", 5, 2, "always,and,eventually", False, "x,y", 5, True, True),
-    ("(x == 1) U[1,3] (F[2,4.25](y > z))", 4, 2, "eventually,until", True, "x,y,z", 4, False, False),
-    ("not F[0,1](G[0,1](F[0,0.5](x > 0)))", 5, 3, "always,eventually,not", False, "x", 5, True, True),
-)
+def _filled(text: str | None) -> str:
+    """SQL of a template's text."""
+    return "NULL" if text is None else "replace(replace('" + text.replace("\n", "' || chr(10) || '") + "', '{k}', k::VARCHAR), '{j}', j::VARCHAR)"
+
+
+def _of_parts() -> str:
+    of = lambda i: "CASE i " + " ".join(f"WHEN {n} THEN {v}" for n, v in enumerate(i)) + " END"
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    number = lambda v: "NULL::DOUBLE" if v is None else f"({v})::DOUBLE"
+    columns = [
+        of(_filled(t[1]) for t in TEMPLATES) + " AS reads",
+        of(number(t[2]) for t in TEMPLATES) + " AS horizon",
+        of(number(t[3]) for t in TEMPLATES) + " AS gap",
+        of("NULL" if t[4] is None else str(t[4]) for t in TEMPLATES) + " AS depth",
+        of(text(t[5]) for t in TEMPLATES) + " AS operators",
+        of("NULL" if t[6] is None else str(t[6]).lower() for t in TEMPLATES) + " AS equality",
+        of(text(t[7]) for t in TEMPLATES) + " AS variables",
+    ]
+    return f"SELECT p_partkey, {', '.join(columns)} FROM (SELECT p_partkey, p_size AS k, p_partkey % 7 AS j, p_partkey % {len(TEMPLATES)} AS i FROM part)"
 
 
-@query(stated("formula, nodes, depth, operators, equality, variables, folded, principled, on_grid", FACTS))
-def formula_facts(spark, folder):
-    rows = []
-    for text, *_ in FACTS:
-        f = parse(text)
-        guards = [raised(lambda f=f: analysis.assert_principled(f)) == "nothing", raised(lambda f=f: analysis.assert_on_grid(f, 0.5)) == "nothing"]
-        rows.append((text, len(list(postorder(f, False))), analysis.temporal_depth(f), ",".join(sorted(analysis.operators_in(f))), analysis.has_equality(f), ",".join(sorted(analysis.variables(f))), fold(f, lambda n, below: 1 + sum(below)), *guards))
-    return spark.createDataFrame(rows, "formula string, nodes int, depth int, operators string, equality boolean, variables string, folded int, principled boolean, on_grid boolean")
-
-
-#: The kernel of each node of ``G[0,2](x == 1) and (x > 0) U[1,2] (y > 0)`` by tool, at a step of 0.5.
-KERNELS = (
-    ("native", "equality/signed", "min/interp/clamp", "minimum"),
-    ("breach", "equality/bigm", "min/breach/clamp", "minimum"),
-    ("rtamt", "equality/signed", "index_min/pessimistic[0,4]", "minimum"),
-    ("stlcgpp", "equality/signed", "index_min/clamp[0,4]", "minimum"),
-    ("rtamt_dense", "equality/signed", "min/held", "minimum"),
-    ("pymtl", "equality/signed", "min/grid/0.1", "minimum"),
-)
+@query(_of_parts())
+def formulas_of_parts(spark, folder):
+    """A formula's text for each part, read and analysed where the rows are; null where it is no formula."""
+    k, j = (F.col(c).cast("string") for c in ("p_size", "j"))
+    texts = F.array(*[F.lit(t[0]) for t in TEMPLATES])
+    rows = spark.read.parquet(f"{folder}/part.parquet").withColumn("j", F.col("p_partkey") % 7)
+    text = F.replace(F.replace(F.get(texts, (F.col("p_partkey") % len(TEMPLATES)).cast("int")), F.lit("{k}"), k), F.lit("{j}"), j)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.bool_(), pa.string())
+        for batch in batches:
+            out = []
+            for value in batch.column(1).to_pylist():
+                try:
+                    f = parse(value)
+                except FormulaError:
+                    out.append((None,) * 7)
+                    continue
+                out.append((label(f), float(analysis.horizon(f)), float(analysis.required_max_gap(f)), analysis.temporal_depth(f), ",".join(sorted(analysis.operators_in(f))), analysis.has_equality(f), ",".join(sorted(analysis.variables(f)))))
+            columns = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["p_partkey", "reads", "horizon", "gap", "depth", "operators", "equality", "variables"])
+
+    return with_code(rows).select("p_partkey", text.alias("text")).mapInArrow(run, "p_partkey long, reads string, horizon double, gap double, depth int, operators string, equality boolean, variables string")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files that are read back: in the shared checkpoint folder, or a temporary one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='records-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query("SELECT vec_id::VARCHAR AS name, unnest(range(len(embedding)))::DOUBLE AS t, unnest(list_transform(embedding, lambda x, i: CASE WHEN i = 1 AND vec_id % 10 = 0 THEN 'inf'::DOUBLE ELSE x::DOUBLE END)) AS value FROM embeddings")
+def records_written_and_read(spark, folder):
+    """Vectors as records, one a line, written and read back; infinities as bare tokens."""
+    e = spark.read.parquet(f"{folder}/embeddings.parquet")
+    values = F.transform("embedding", lambda x, i: F.when((i == 0) & (F.col("vec_id") % 10 == 0), F.lit(float("inf"))).otherwise(x.cast("double")))
+    times = F.transform("embedding", lambda x, i: i.cast("double"))
+    path = scratch(spark)
+    records.write_jsonl(e.select(F.col("vec_id").cast("string").alias("name"), times.alias("time"), values.alias("robustness")), path)
+    found = records.read_jsonl(spark, path)
+    return found.select("name", F.explode(F.arrays_zip("time", "robustness")).alias("s")).select("name", F.col("s.time").alias("t"), F.col("s.robustness").alias("value"))
+
+
+def _by_nation(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, times, x): suppliers' balances of each nation, in order of their keys."""
+    s = spark.read.parquet(f"{folder}/supplier.parquet").join(spark.read.parquet(f"{folder}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = s.groupBy(F.col("n_name").alias("name")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_acctbal"))).alias("r"))
+    return rows.select("name", F.transform("r", lambda x, i: i.cast("double")).alias("times"), F.transform("r", lambda x: x["s_acctbal"].cast("double")).alias("x"))
+
+
+def _registry(rows: DataFrame, entry, path: str) -> None:
+    """One object of named entries, as registries are."""
+    whole = rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", entry)))).alias("value"))
+    whole.write.text(path)
+
+
+_BALANCES = "SELECT n_name AS name, (row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1)::DOUBLE AS t, s_acctbal::DOUBLE AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+
+
+@query(_BALANCES)
+def registry_of_signals(spark, folder):
+    path = scratch(spark)
+    _registry(_by_nation(spark, folder), F.struct("times", F.create_map(F.lit("x"), F.col("x")).alias("values")), path)
+    found = records.read_signals(spark, path)
+    return SignalFrame.from_arrays(found.withColumn("x", F.col("values")["x"]), "name", {"x": "x"}, "times").df.withColumnRenamed(TRACE, "name")
+
+
+@query(f"SELECT name, 'F[0,' || count(*) || '](x >= 0)' AS formula, count(*) AS n, max(x) AS best FROM ({_BALANCES}) GROUP BY 1")
+def battery_of_probes(spark, folder):
+    """A probe for each nation, a formula with its signal, written as a battery, read back and evaluated."""
+    path = scratch(spark)
+    entry = F.struct(F.concat(F.lit("F[0,"), F.size("times").cast("string"), F.lit("](x >= 0)")).alias("formula"), "times", F.create_map(F.lit("x"), F.col("x")).alias("values"), F.lit("").alias("notes"))
+    _registry(_by_nation(spark, folder), entry, path)
+    found = records.read_battery(spark, path)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            got = [analytics.probe_signature(f, t, {"x": x}, PROFILES["native"]) for f, t, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(g) for g in got], pa.int64()), pa.array([g[0] for g in got], pa.float64())], names=["name", "formula", "n", "best"])
+
+    return with_code(found).select("name", "formula", "times", F.col("values")["x"].alias("x")).mapInArrow(run, "name string, formula string, n long, best double")
+
+
+@query("SELECT p_brand AS name, 'native' AS tool, 'G[0,' || max(p_size) || '](x >= ' || min(p_size) || ')' AS text FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'breach', 'alw_[0,' || max(p_size) || '](x[t] >= ' || min(p_size) || ')' FROM part GROUP BY 1")
+def registry_of_specs(spark, folder):
+    path = scratch(spark)
+    p = spark.read.parquet(f"{folder}/part.parquet").groupBy(F.col("p_brand").alias("name")).agg(F.max("p_size").cast("string").alias("w"), F.min("p_size").cast("string").alias("k"))
+    native = F.concat(F.lit("G[0,"), "w", F.lit("](x >= "), "k", F.lit(")"))
+    breach = F.concat(F.lit("alw_[0,"), "w", F.lit("](x[t] >= "), "k", F.lit(")"))
+    _registry(p, F.create_map(F.lit("native"), native, F.lit("breach"), breach), path)
+    return records.read_specs(spark, path).select("name", F.explode("spec").alias("tool", "text"))
 
 
-@query(stated("tool, equality, always, conjunction", KERNELS))
-def primitive_kernels(spark, folder):
-    f = parse_cached("G[0,2](x == 1) and (x > 0) U[1,2] (y > 0)")
-    window = f.children[0]
-    return spark.createDataFrame([(t, *(engine.primitive(n, PROFILES[t], 0.5) for n in (window.children[0], window, f))) for t, *_ in KERNELS], "tool string, equality string, always string, conjunction string")
-
-
-@query(stated("name", [(n,) for n in ("breach", "fast", "generic", "native", "pymtl", "rtamt", "rtamt_dense", "stlcgpp", "stlcgpp_soft", "taliro")]))
-def backend_names(spark, folder):
-    registry = engine.BackendRegistry()
-    engine.use(_backend("native"), registry=registry)
-    engine.use(engine.compat, registry=registry)
-    return spark.createDataFrame([(n,) for n in engine.list_backends(registry)], "name string")
-
-
-#: What each tool, or the engine, declines before any job, and the exception's name.
-DECLINED = (
-    ("taliro", "x == 1", "NotImplementedError"),
-    ("taliro", "x * y >= 1", "NotImplementedError"),
-    ("taliro", "x - x >= 1", "NotImplementedError"),
-    ("rtamt", "G[0,0.3](x > 0)", "ValueError"),
-    ("stlcgpp", "F[0.5,1](x > 0)", "ValueError"),
-    ("pymtl", "G[1,1](x > 0)", "ValueError"),
-    ("native", "z > 0", "KeyError"),
-    ("native", "G[2,1](x > 0)", "ValueError"),
-    ("native", "G[0,0.3](x > 0)", "nothing"),
-)
+@query(f"SELECT t AS time, rho AS robustness FROM ({oracle('events', parse_cached('F[2,24](x >= 50)'), PROFILES['breach'])})")
+def column_written_and_read(spark, folder):
+    """A tool's results as a column of CSV."""
+    path = scratch(spark)
+    rho = engine.robustness(parse_cached("F[2,24](x >= 50)"), events_signal(spark, folder), _backend("breach"))
+    rho.selectExpr("t AS time", "rho AS robustness").write.option("header", True).csv(path)
+    return records.read_column(spark, path)
 
 
-@query(stated("tool, formula, raises", [*DECLINED, ("unknown", "x > 0", "LookupError"), ("native", "not a signal", "TypeError"), ("plug-in", "text", "TypeError")]))
-def declined(spark, folder):
-    s = SignalFrame.from_dict(spark, [0, 1, 2], {"x": [1, 2, 3], "y": [0, 1, 0]})
-    rows = [(t, f, raised(lambda t=t, f=f: engine.evaluate(parse_cached(f), s, _backend(t)))) for t, f, _ in DECLINED]
-    rows.append(("unknown", "x > 0", raised(lambda: engine.evaluate(parse_cached("x > 0"), s, "unknown"))))
-    rows.append(("native", "not a signal", raised(lambda: _backend("native").evaluate(parse_cached("x > 0"), [1.0]))))
-    rows.append(("plug-in", "text", raised(lambda: engine.use("breach", registry=engine.BackendRegistry()))))
-    return spark.createDataFrame(rows, "tool string, formula string, raises string")
+@query("SELECT 'run_' || lpad(row_number() OVER (ORDER BY event_type)::VARCHAR, 4, '0') AS run, event_type, count(*) AS n, max(value) AS top, 'native,breach' AS backends FROM events GROUP BY 2")
+def runs_gathered(spark, folder):
+    """A run record for each type of event, numbered, pooled again; a record that can't be read is passed over."""
+    path = scratch(spark)
+    e = spark.read.parquet(f"{folder}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")).orderBy("event_type")
+    for r in e.collect():  # one row a type
+        records.write_run(spark, path, {"type": r.event_type}, {"backends": ["native", "breach"], "atol": 1e-6, "rtol": 1e-6, "type": r.event_type, "n": r.n, "top": r.top}, numbered=True)
+    spark.createDataFrame([("{not a record",)], "value string").write.mode("append").text(path)
+    found = records.gather(spark, path)
+    got = F.from_json("result", "type string, n long, top double")
+    return found.select("run", got.alias("r"), F.array_join("backends", ",").alias("backends")).select("run", F.col("r.type").alias("event_type"), "r.n", "r.top", "backends")
 
 
 def _minimal(table: str, below: tuple[tuple[int, int], ...]) -> str:
@@ -193,79 +232,95 @@ def kernel_override(spark, folder):
     return engine.robustness(parse_cached("x + y >= 5"), events_signal(spark, folder), engine.ProfileBackend("shifted", PROFILES["native"], evaluator=_Shifted))
 
 
-@query(stated("node, axes", (("(x == 1)", "equality"), ("G[2,4]((y > 0))", "boundary"))))
+@query("SELECT * FROM (VALUES ('(x == 0)', 'equality'), ('G[2,70]((x > 0))', 'boundary')) v(node, axes) WHERE (SELECT count(*) FROM embeddings) > 0")
 def attributed_axes(spark, folder):
-    """The axes responsible at each minimal divergent node."""
-    s = SignalFrame.from_dict(spark, [0, 1, 2], {"x": [1, 2, 3], "y": [4, 5, 6]})
+    """The axes responsible at each minimal divergent node, over all vectors."""
     a, b = Semantics("discrete"), Semantics("discrete", "pessimistic", equality="bigm", until_prefix="exclusive")
-    found = diagnostics.attribute(parse_cached("x == 1 or G[2,4](y > 0)"), s, a, b)
+    found = diagnostics.attribute(parse_cached("x == 0 or G[2,70](x > 0)"), embeddings_signal(spark, folder), a, b)
     return spark.createDataFrame([(d.label, ",".join(axes)) for d, axes in found], "node string, axes string")
 
 
-_CELLS = (("ok", "ok", "agree", "agree"), ("ok", "ok", "diverge", "diverge"), ("pending", "error", "agree", "error"), ("unsupported", "pending", "agree", "pending"), ("ok", "unsupported", "agree", "unsupported"))
+_STATES = "(ARRAY['ok', 'pending', 'unsupported', 'error'])"
 
 
-@query(stated("ours, theirs, status, cell", _CELLS))
+@query(f"SELECT ours, theirs, status, cell, count(*) AS n FROM (SELECT *, CASE WHEN 'error' IN (ours, theirs) THEN 'error' WHEN 'pending' IN (ours, theirs) THEN 'pending' WHEN 'unsupported' IN (ours, theirs) THEN 'unsupported' ELSE status END AS cell FROM (SELECT {_STATES}[1 + user_id % 4] AS ours, {_STATES}[1 + event_id % 4] AS theirs, CASE WHEN value > 20 THEN 'agree' ELSE 'diverge' END AS status FROM events)) GROUP BY ALL")
 def matrix_cells(spark, folder):
-    df = spark.createDataFrame([c[:3] for c in _CELLS], "ours string, theirs string, status string")
-    return df.withColumn("cell", analytics.matrix_cell(df.status, df.ours, df.theirs))
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    state = lambda c: F.get(F.array(*map(F.lit, ("ok", "pending", "unsupported", "error"))), (F.col(c) % 4).cast("int"))
+    rows = e.select(state("user_id").alias("ours"), state("event_id").alias("theirs"), F.when(F.col("value") > 20, "agree").otherwise("diverge").alias("status"))
+    return rows.groupBy("ours", "theirs", "status", analytics.matrix_cell(F.col("status"), F.col("ours"), F.col("theirs")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_ENTRIES = ((True, True, "agree", "reproduced"), (True, True, "diverge", "diverged"), (False, False, "agree", "coverage-match"), (True, False, "agree", "coverage-mismatch"), (False, True, "diverge", "coverage-mismatch"))
+@query("SELECT entry, count(*) AS n FROM (SELECT CASE WHEN NOT a AND NOT b THEN 'coverage-match' WHEN a <> b THEN 'coverage-mismatch' WHEN value > 20 THEN 'reproduced' ELSE 'diverged' END AS entry FROM (SELECT user_id % 3 > 0 AS a, event_id % 4 > 0 AS b, value FROM events)) GROUP BY 1")
+def reproduction_entries(spark, folder):
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    status = F.when(F.col("value") > 20, "agree").otherwise("diverge")
+    return e.groupBy(analytics.reproduction_entry(F.col("user_id") % 3 > 0, F.col("event_id") % 4 > 0, status).alias("entry")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(stated("ours, theirs, status, entry", _ENTRIES))
-def reproduction_entries(spark, folder):
-    df = spark.createDataFrame([c[:3] for c in _ENTRIES], "ours boolean, theirs boolean, status string")
-    return df.withColumn("entry", analytics.reproduction_entry(df.ours, df.theirs, df.status))
+@query("SELECT l_returnflag AS backend, batch_size, timesteps, mean_ms, mean_ms / batch_size AS per_trace_ms, round(batch_size * timesteps / (mean_ms / 1000) / 1e6, 9) AS throughput_msts FROM (SELECT l_returnflag, l_linenumber AS batch_size, count(*) AS timesteps, max(l_extendedprice)::DOUBLE AS mean_ms FROM lineitem GROUP BY 1, 2)")
+def timing_derived(spark, folder):
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("backend"), F.col("l_linenumber").alias("batch_size"))
+    rows = analytics.timing(rows.agg(F.count(F.lit(1)).alias("timesteps"), F.max("l_extendedprice").cast("double").alias("mean_ms")))
+    return rows.selectExpr("backend", "batch_size", "timesteps", "mean_ms", "per_trace_ms", "round(throughput_msts, 9) AS throughput_msts")
 
 
-_TIMED = (("native", 1, 101, 0.5), ("native", 64, 5001, 16.0), ("fast", 256, 1001, 8.0))
+@query("SELECT 0::BIGINT AS trace_id, n_nationkey::DOUBLE AS t, n_regionkey::DOUBLE AS x FROM nation")
+def signal_from_dict(spark, folder):
+    n = spark.read.parquet(f"{folder}/nation.parquet").orderBy("n_nationkey").collect()  # a table of nations
+    return SignalFrame.from_dict(spark, [r.n_nationkey for r in n], {"x": [r.n_regionkey for r in n]}).df
 
 
-@query("SELECT backend, batch_size, timesteps, mean_ms, mean_ms / batch_size AS per_trace_ms, round(batch_size * timesteps / (mean_ms / 1000) / 1e6, 9) AS throughput_msts FROM (" + stated("backend, batch_size, timesteps, mean_ms", _TIMED) + ")")
-def timing_derived(spark, folder):
-    df = analytics.timing(spark.createDataFrame(list(_TIMED), "backend string, batch_size int, timesteps int, mean_ms double"))
-    return df.selectExpr("backend", "batch_size", "timesteps", "mean_ms", "per_trace_ms", "round(throughput_msts, 9) AS throughput_msts")
-
-
-#: Outcomes of four configurations of two axes on two probes.
-_SIGNATURES = {"a": [(1.0, float("nan")), (2.0,)], "b": [(1.0, float("nan")), (3.0,)], "c": [(1.0, float("nan")), (2.0 + 1e-9,)], "d": [("raises", "ValueError"), (2.0,)]}
-_CONFIGS = {"a": {"p": "0", "q": "0"}, "b": {"p": "1", "q": "0"}, "c": {"p": "0", "q": "1"}, "d": {"p": "1", "q": "1"}}
-_QUOTIENT = (
-    ("classes", "a,c;b;d"),
-    ("resolved a,c", "p=0"),
-    ("identifiability", "p=1.0,q=0.5"),
-    ("discriminators", "p=0+1,q=0+1"),
-    ("battery", "0,1"),
-    ("decoded", "p=0"),
-    ("decoded new", "none"),
-    ("best match", "b,0.1"),
-    ("open world", "true,false"),
-    ("residuals", "0.0,inf,inf"),
-)
+#: Points of the semantics space, and a formula that tells some of them apart over vectors.
+POINTS = {
+    "interp": Semantics(),
+    "interp_none": Semantics(boundary="pessimistic"),
+    "interp_bigm": Semantics(equality="bigm"),
+    "interp_exclusive": Semantics(until_prefix="exclusive"),
+    "samples": Semantics("pl_samples"),
+    "samples_none": Semantics("pl_samples", "pessimistic"),
+    "samples_last": Semantics("pl_samples", terminal="extend_penultimate"),
+    "discrete": Semantics("discrete"),
+    "discrete_exclusive": Semantics("discrete", until_prefix="exclusive"),
+    "discrete_none": Semantics("discrete", "pessimistic"),
+    "discrete_euclidean": Semantics("discrete", predicate="euclidean"),
+    "discrete_epsilon": Semantics("discrete", equality="epsilon"),
+}
+TELLING = "(x >= -0.05) U[1,4] (x >= 0.1) or G[60,70](x >= 0)"
+
+
+def _point_classes() -> str:
+    each = " UNION ALL ".join(f"SELECT '{n}' AS point, trace_id, t, rho FROM ({oracle('embeddings', parse_cached(TELLING), profile_of(p))})" for n, p in POINTS.items())
+    same = "(a.rho = b.rho OR (isnan(a.rho) AND isnan(b.rho)) OR abs(a.rho - b.rho) <= 1e-6)"
+    return f"""WITH RECURSIVE r AS MATERIALIZED ({each}), s AS (SELECT a.point, b.point AS other FROM r a JOIN r b USING (trace_id, t) GROUP BY 1, 2 HAVING bool_and({same})),
+c AS (SELECT point, point AS other FROM s UNION SELECT c.point, s.other FROM c JOIN s ON s.point = c.other) SELECT point, min(other) AS class FROM c GROUP BY 1"""
+
+
+@query(_point_classes())
+def point_classes(spark, folder):
+    """Points of the semantics space by what they give over all vectors, to within a tolerance, from one plan."""
+    formula = parse_cached(TELLING)
+    wide = evaluate_many({n: (formula, engine.generic(p)) for n, p in POINTS.items()}, embeddings_signal(spark, folder))
+    return analytics.classes(wide, list(POINTS))
+
 
+@query()
+def fuzz_agreement(spark, folder):
+    """Agreement of the tools on a random formula for each vector."""
+    return analytics.scalar_matrix(generate.fuzz(spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias(TRACE), F.col("embedding").alias("x0")), {t: PROFILES[t] for t in ("native", "breach", "rtamt", "rtamt_dense", "pymtl", "stlcgpp", "taliro")}))
 
-@query(stated("what, value", _QUOTIENT))
-def quotient_tools(spark, folder):
-    s, c = _SIGNATURES, _CONFIGS
-    axes = lambda r: ",".join(f"{k}={v}" for k, v in r.items() if v is not None) if r is not None else "none"
-    classes = analytics.equivalence_classes(s)
-    new = [(1.0, float("nan")), (2.9,)]
-    name, total = analytics.best_match(new, s)
-    found = {
-        "classes": ";".join(",".join(x) for x in classes),
-        "resolved a,c": axes(analytics.resolved_axes([c["a"], c["c"]])),
-        "identifiability": axes(analytics.quotient_report(classes, c)["identifiability"]),
-        "discriminators": ",".join(f"{k}={'+'.join(map(str, v))}" for k, v in analytics.axis_discriminators(s, c).items()),
-        "battery": ",".join(map(str, analytics.synthesize_battery(s))),
-        "decoded": axes(analytics.decode(s["a"], s, c)),
-        "decoded new": axes(analytics.decode(new, s, c)),
-        "best match": f"{name},{round(total, 9)}",
-        "open world": f"{analytics.detect_open_world(new, s)},{analytics.detect_open_world(s['b'], s)}".lower(),
-        "residuals": ",".join(str(analytics.residual(x, y)) for x, y in ((s["a"][0], s["b"][0]), (s["a"][0], s["d"][0]), ((float("inf"),), (1.0,)))),
-    }
-    return spark.createDataFrame(list(found.items()), "what string, value string")
+
+@query(f"SELECT trace_id, t, rho FROM ({oracle('events', parse_cached('(x >= 1) U[6,48] (y >= 6)'), PROFILES['rtamt_dense'])})")
+def dense_until_split(spark, folder):
+    """An unbounded recurrence over traces cut into stretches."""
+    return split.held_until(parse_cached("(x >= 1) U[6,48] (y >= 6)"), events_signal(spark, folder), 100.0, cells=16)
+
+
+@query(f"""WITH s AS (SELECT *, max(y) OVER (PARTITION BY trace_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM ({SIGNALS['events']})),
+p AS (SELECT a.trace_id, a.t, greatest(least(greatest(b.y, -b.ahead), coalesce(min(b.x) OVER (PARTITION BY a.trace_id, a.t ORDER BY b.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE)), CASE WHEN b.t = max(b.t) OVER (PARTITION BY a.trace_id, a.t) THEN min(b.x) OVER (PARTITION BY a.trace_id, a.t) ELSE '-inf'::DOUBLE END) AS c FROM s a JOIN s b ON a.trace_id = b.trace_id AND b.t >= a.t)
+SELECT trace_id, t, max(c) AS rho FROM p GROUP BY 1, 2""")
+def weak_until_split(spark, folder):
+    return split.weak_until(events_signal(spark, folder).df, "x", "y", cells=16).select(TRACE, TIME, "rho")
 
 
 _W = "OVER (PARTITION BY trace_id ORDER BY t ROWS BETWEEN CURRENT ROW AND {} FOLLOWING)"
@@ -291,51 +346,3 @@ def soft_softmax_windows(spark, folder):
 @query(_smooth(False))
 def soft_logsumexp_windows(spark, folder):
     return _smoothed(spark, folder, "logsumexp")
-
-
-@query("SELECT n AS trace_id, k * (10.0::DOUBLE / 100) AS t FROM range(8) a(n), range(101) b(k)")
-def scaling_grid(spark, folder):
-    return generate.scaling_signals(spark, 8, 101).df.select(TRACE, TIME)
-
-
-@query("SELECT r AS regime, 40::BIGINT AS traces, 800::BIGINT AS samples, true AS within FROM (VALUES ('random_walk'), ('iid_uniform'), ('iid_gaussian')) v(r)")
-def random_regimes(spark, folder):
-    """Numbers of traces and samples of each regime, and that values lie where the regime has them."""
-    out = None
-    for regime in generate.REGIMES:
-        s = generate.random_signals(spark, 40, 20, 2, regime, 3).df
-        within = "bool_and(abs(x0) <= 5 AND abs(x1) <= 5)" if regime == "iid_uniform" else "abs(avg(x0)) < 5 AND stddev(x0 - x1) BETWEEN 1 AND 10"
-        part = s.selectExpr(f"'{regime}' AS regime", "count(DISTINCT trace_id) AS traces", "count(*) AS samples", f"{within} AS within")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-_DICT = tuple((k, t, 1.5 * k + t) for k in (0, 1) for t in (0.0, 0.5, 2.0))
-
-
-@query(stated("trace_id, t, x", _DICT))
-def signal_from_dict(spark, folder):
-    return SignalFrame.from_dict(spark, [0, 0.5, 2], {"x": [[x for k, _, x in _DICT if k == i] for i in (0, 1)]}).df
-
-
-_D = "(0.8::DOUBLE - ({p}) - 0.2::DOUBLE * ({v}))"
-
-
-def _oscillator() -> str:
-    """The driven spring from rest under input 0.8, by four stages of step 0.25, to nine digits."""
-    h = "0.25::DOUBLE"
-    stages, at = [], ("p", "v")
-    for i, share in enumerate((f"{h} / 2", f"{h} / 2", h, None)):
-        stages.append(f"SELECT *, {at[1]} AS a{i}, {_D.format(p=at[0], v=at[1])} AS b{i} FROM ")
-        at = (f"p + {share} * a{i}", f"v + {share} * b{i}")
-    inner = "s WHERE k < 24"
-    for stage in stages:
-        inner = f"({stage}{inner})"
-    new = lambda x: f"{x[0]} + {h} / 6 * ({x[1]}0 + 2 * {x[1]}1 + 2 * {x[1]}2 + {x[1]}3)"
-    return f"WITH RECURSIVE s AS (SELECT 0 AS k, 0.0::DOUBLE AS p, 0.0::DOUBLE AS v UNION ALL SELECT k + 1, {new('pa')}, {new('vb')} FROM {inner}) SELECT 7::BIGINT AS trace_id, k * {h} AS t, round(p, 9) AS p, round(v, 9) AS v FROM s"
-
-
-@query(_oscillator())
-def simulated_oscillator(spark, folder):
-    inputs = spark.range(7, 8).selectExpr("id AS trace_id", "array(0.8D) AS u", "array(0D, 0D) AS x0")
-    return generate.integrate(spark, generate.spring(1.0, 0.1), inputs, 0.25, 6.0, ("p", "v")).df.selectExpr(TRACE, TIME, "round(p, 9) AS p", "round(v, 9) AS v")

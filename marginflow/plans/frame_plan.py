@@ -33,44 +33,60 @@ def rows(low: int, high: int) -> str:
     return f"{W} ROWS BETWEEN {low} FOLLOWING AND {high} FOLLOWING"
 
 
-def supports(formula: Node, profile: Profile) -> bool:
-    """Whether every node has a frame form: until, resampled grids and smooth semantics have none."""
-    return profile.model in ("pl", "discrete", "dense") and not profile.soft and "until" not in analysis.operators_in(formula)
+def supports(formula: Node, profile: Profile, until: bool = False) -> bool:
+    """Whether every node has a frame form: resampled grids and smooth semantics have none, until only in blocks."""
+    return profile.model in ("pl", "discrete", "dense") and not profile.soft and (until or "until" not in analysis.operators_in(formula))
+
+
+def may_be_infinite(formula: Node, profile: Profile) -> bool:
+    """Whether values may be infinite where they are interpolated, which gives NaN."""
+    return profile.model == "pl" and analysis.temporal_depth(formula) > 1 and ("until" in analysis.operators_in(formula) or profile.boundary == "pessimistic")
 
 
 class FramePlan:
     """One formula's columns. Methods can be overridden to change a kernel."""
 
-    def __init__(self, df: DataFrame, profile: Profile, nan: bool, step: float | None):
+    def __init__(self, df: DataFrame, profile: Profile, nan: bool, step: float | None, prefix: str = "__v", made: dict[tuple, str] | None = None):
         self.df, self.p, self.nan, self.step = df, profile, nan and not profile.skip_nan, step
-        self.based = False
+        self.prefix, self.made = prefix, {} if made is None else made
 
     def base(self) -> None:
         """Columns that frames share: next time, first and last time, number of the sample and of samples."""
-        if not self.based:
-            self.based = True
+        if "__nt" not in self.df.columns:
             self.df = self.df.select("*", F.expr(f"lead({TIME}) OVER ({W})").alias("__nt"), F.expr(f"first_value({TIME}) OVER ({ALL})").alias("__t0"), F.expr(f"last_value({TIME}) OVER ({ALL})").alias("__te"), F.expr(f"row_number() OVER ({W})").alias("__rn"))
 
-    def run(self, formula: Node, wanted: list[Node]) -> DataFrame:
+    def key(self, node: Node) -> tuple:
+        """What a node's values depend on: its text and, of the profile, what its kernels look at."""
+        p = self.p
+        timed = (p.model, p.window, p.until, p.boundary, p.dt) if analysis.temporal_depth(node) else ()
+        return str(node), self.nan, p.skip_nan, p.predicate, p.equality if analysis.has_equality(node) else "", timed
+
+    def columns(self, formula: Node) -> dict[int, str]:
+        """Adds the formula's nodes to the frame, unless they are there, and gives each one's column."""
         names: dict[int, str] = {}
-        made: dict[str, str] = {}
         for i, node in enumerate(postorder(formula)):
-            text = str(node)
-            if text in made:  # equal subformulas are computed once
-                names[id(node)] = made[text]
+            key = self.key(node)
+            if key in self.made:  # equal subformulas are computed once
+                names[id(node)] = self.made[key]
                 continue
-            name = made[text] = names[id(node)] = f"__v{i}"
+            name = self.made[key] = names[id(node)] = f"{self.prefix}{i}"
             args = [names[id(c)] for c in node.operands]
             if node.kind in ("always", "eventually"):
                 self.window(name, args[0], *node.interval, node.kind == "always")
+            elif node.kind == "until":
+                self.until(name, *args, *node.interval)
             else:
                 self.df = self.df.withColumn(name, self.pointwise(node, [F.col(a) for a in args]))
         if self.p.terminal == "extend_penultimate" and formula.kind in ("and", "or"):
             self.base()
-            root = names[id(formula)]
+            root, last = names[id(formula)], f"{self.prefix}root"
             before = F.expr(f"lag({root}) OVER ({W})")
-            self.df = self.df.withColumn("__root", F.when(F.col("__nt").isNull() & (F.col("__rn") >= 2), before).otherwise(F.col(root)))
-            names[id(formula)] = "__root"
+            self.df = self.df.withColumn(last, F.when(F.col("__nt").isNull() & (F.col("__rn") >= 2), before).otherwise(F.col(root)))
+            names[id(formula)] = last
+        return names
+
+    def run(self, formula: Node, wanted: list[Node]) -> DataFrame:
+        names = self.columns(formula)
         # + 0.0 turns -0.0 into 0.0
         return self.df.select(TRACE, TIME, *((F.col(names[id(n)]) + 0.0).alias(f"n{i}") for i, n in enumerate(wanted)))
 
@@ -119,38 +135,55 @@ class FramePlan:
             return f"max({x}) OVER ({over})"
         return f"IF(max(isnan({x})) OVER ({over}), CAST('NaN' AS DOUBLE), min({x}) OVER ({over}))" if self.nan else f"min({x}) OVER ({over})"
 
+    def samples(self, name: str, x: str, low_end: float, high_end: float, low: bool) -> str:
+        """A column with x reduced over the samples in [t + low_end, t + high_end], null without any."""
+        self.df = self.df.withColumn(f"{name}_m", F.expr(self.reduced(x, frame(low_end, high_end), low)))
+        return f"{name}_m"
+
+    def steps(self, name: str, x: str, first: int, last: int, low: bool) -> str:
+        """A column with x reduced over the samples ``first`` to ``last`` ahead, null without any."""
+        self.df = self.df.withColumn(f"{name}_m", F.expr(self.reduced(x, rows(first, last), low)))
+        return f"{name}_m"
+
+    def until(self, name: str, p: str, q: str, a: float, c: float) -> None:
+        raise NotImplementedError("until has no plan by frames alone")
+
     def window(self, name: str, x: str, a: float, c: float, low: bool) -> None:
         p, identity = self.p, literal(float("inf") if low else float("-inf"))
         best = "least" if low else "greatest"
         if p.model == "discrete":
-            s, e = offsets(a, c, self.step)
             beyond = f"last_value({x}) OVER ({ALL})" if p.boundary == "clamp" else identity
-            self.df = self.df.withColumn(name, F.expr(f"coalesce({self.reduced(x, rows(s, e), low)}, {beyond})"))
+            m = self.steps(name, x, *offsets(a, c, self.step), low)
+            self.df = self.df.withColumn(name, F.expr(f"coalesce({m}, {beyond})"))
             return
         if p.model == "dense":
-            held = f"last_value({x}) OVER ({up_to(a + NEAR)})"
-            inner = f"coalesce({self.reduced(x, frame(a, c + NEAR), low)}, {held})"
-            self.df = self.df.withColumn(name, F.expr(f"CASE WHEN {'isnan(' + held + ')' if self.nan else 'false'} THEN CAST('NaN' AS DOUBLE) ELSE {best}({inner}, {held}) END"))
+            m = self.samples(name, x, a, c + NEAR, low)
+            l = f"{name}_l"
+            self.df = self.df.withColumn(l, F.expr(f"last_value({x}) OVER ({up_to(a + NEAR)})"))
+            either = f"isnan({l}) OR coalesce(isnan({m}), false)" if self.nan else "false"
+            self.df = self.df.withColumn(name, F.expr(f"CASE WHEN {either} THEN CAST('NaN' AS DOUBLE) ELSE {best}(coalesce({m}, {l}), {l}) END"))
             return
         if p.window == "tolerant":
-            self.df = self.df.withColumn(name, F.expr(f"coalesce({self.reduced(x, frame(a - NEAR, c + NEAR), low)}, {identity})"))
+            m = self.samples(name, x, a - NEAR, c + NEAR, low)
+            self.df = self.df.withColumn(name, F.expr(f"coalesce({m}, {identity})"))
             return
         self.base()
+        m = self.samples(name, x, a, c, low)
+        if not a and p.window != "interp":
+            self.df = self.df.withColumn(name, F.col(m))
+            return
         A, C = literal(a), literal(c)
         # each sample with the next one, to interpolate from
         self.df = self.df.withColumn(f"{name}_s", F.expr(f"struct({TIME} AS t, {x} AS x, __nt AS nt, lead({x}) OVER ({W}) AS nx)"))
-        parts = {"m": self.reduced(x, frame(a, c), low), "e": f"last_value({x}) OVER ({ALL})"}
+        parts = {"e": f"last_value({x}) OVER ({ALL})"}
         if a:  # from 0 on, a window holds the sample it starts at: it is not empty and its start adds nothing
             parts["l"] = f"last_value({name}_s) OVER ({up_to(a)})"
         if p.window == "interp":
             parts["h"] = f"last_value({name}_s) OVER ({up_to(c)})"
         self.df = self.df.select("*", *(F.expr(v).alias(f"{name}_{k}") for k, v in parts.items()))
-        m, l, e, h = (f"{name}_{k}" for k in "mleh")
+        l, e, h = (f"{name}_{k}" for k in "leh")
         at = lambda seg, q: f"CASE WHEN {q} >= __te THEN {e} ELSE {seg}.x + ({q} - {seg}.t) / ({seg}.nt - {seg}.t) * ({seg}.nx - {seg}.x) END"
         start, stop = f"({TIME} + {A})", f"({TIME} + {C})"
-        if not a and p.window != "interp":
-            self.df = self.df.withColumn(name, F.col(m))
-            return
         if p.window == "breach":
             inner = f"CASE WHEN {m} IS NOT NULL THEN {m} WHEN __rn = 1 THEN {at(l, start)} ELSE {x} END"
             past = e
@@ -170,7 +203,8 @@ class FramePlan:
         self.df = self.df.withColumn(name, F.expr(f"CASE WHEN {start} > __te THEN {past} ELSE {inner} END"))
 
 
-def evaluate(df: DataFrame, variables: tuple[str, ...], formula: Node, nodes: list[Node], profile: Profile, step: float | None) -> DataFrame:
+def evaluate(df: DataFrame, variables: tuple[str, ...], formula: Node, nodes: list[Node], profile: Profile, step: float | None, make=FramePlan, **more) -> DataFrame:
     """``trace_id, t, n0, n1, ...``: the values of ``nodes`` (nodes of ``formula``) at each sample."""
     used = [v for v in variables if v in analysis.variables(formula)]
-    return FramePlan(df.select(TRACE, TIME, *used), profile, analysis.may_be_nan(formula), step).run(formula, nodes)
+    nan = analysis.may_be_nan(formula) or may_be_infinite(formula, profile)
+    return make(df.select(TRACE, TIME, *used), profile, nan, step, **more).run(formula, nodes)

@@ -12,6 +12,7 @@ from ..operators.semantics import BIG_M, EQUALITY_TOLERANCE, Profile
 
 SIGNALS = {
     "events": "SELECT user_id AS trace_id, (epoch_us(ts) - 1704067200000000) / 3.6e9::DOUBLE AS t, value AS x, json_extract_string(props, '$.k')::DOUBLE AS y FROM events",
+    "streams": "SELECT event_type AS trace_id, (epoch_us(ts) - 1704067200000000) / 3.6e9::DOUBLE AS t, max(value) AS x, max(json_extract_string(props, '$.k')::DOUBLE) AS y FROM events GROUP BY 1, 2",
     "embeddings": "SELECT vec_id AS trace_id, (unnest(range(len(embedding))))::DOUBLE AS t, unnest(embedding)::DOUBLE AS x FROM embeddings",
     "orders": "SELECT o_custkey AS trace_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::DOUBLE AS t, o_totalprice AS x FROM orders",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import asdict
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +12,9 @@ from ..formula import analysis
 from ..formula.parser import parse_cached
 from ..operators.semantics import PROFILES, all_semantics, profile_of
 from ..sources.signals import TIME, TRACE, embeddings_signal, events_signal, orders_signal
-from . import analytics, diagnostics, engine, generate
+from . import analytics, diagnostics, engine, generate, split
 from .oracles import SIGNALS, oracle
+from .shared_plan import evaluate_many
 
 TOOLS = ("native", "breach", "taliro")
 FORMULA = "F[2,24](x >= 50)"
@@ -37,22 +37,26 @@ RECORDED = (("inequality", FORMULA), ("equality", "not G[0,6](y == 5) and x >= 1
 
 
 def recorded(spark: SparkSession, folder: str) -> DataFrame:
-    """Results of the tools on all users' traces under both formulas: a pair is a formula and a trace. A tool that
-    rejects a formula abstains on each trace."""
-    place = (F.row_number().over(Window.partitionBy(TRACE).orderBy(TIME)) - 1).cast("long")
+    """Results of the tools on all users' traces under both formulas, from one plan: a pair is a formula and a trace.
+    A tool that rejects a formula abstains on each trace."""
     signal = events_signal(spark, folder)
-    out = None
+    items, entries = {}, []
     for regime, text in RECORDED:
         formula = parse_cached(text)
-        fixed = [F.concat_ws("-", F.lit(regime), TRACE).alias("pair_id"), F.array(*map(F.lit, sorted(analysis.operators_in(formula)))).alias("operators"), F.lit(regime).alias("regime")]
         for tool in TOOLS:
+            fixed = [F.lit(regime).alias("regime"), F.array(*map(F.lit, sorted(analysis.operators_in(formula)))).alias("operators"), F.lit(tool).alias("backend")]
             try:
-                rho = engine.robustness(formula, signal, _backend(tool))
-                part = rho.withColumn("t_idx", place).select(*fixed, F.lit(tool).alias("backend"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("exc"), "t_idx", "rho")
+                _backend(tool).column_plan(formula, signal)
             except generate.ABSTAIN as e:
-                part = signal.df.select(TRACE).distinct().select(*fixed, F.lit(tool).alias("backend"), F.lit("abstain").alias("status"), F.lit(type(e).__name__).alias("exc"), F.lit(None).cast("long").alias("t_idx"), F.lit(None).cast("double").alias("rho"))
-            out = part if out is None else out.unionByName(part)
-    return out
+                # one row a trace, at its first sample
+                entries.append(F.struct(*fixed, F.when(F.col("t_idx") == 0, "abstain").alias("status"), F.lit(type(e).__name__).alias("exc"), F.lit(None).cast("double").alias("rho")))
+                continue
+            items[f"{regime}_{tool}"] = formula, _backend(tool)
+            entries.append(F.struct(*fixed, F.lit("ok").alias("status"), F.lit(None).cast("string").alias("exc"), F.col(f"{regime}_{tool}").alias("rho")))
+    place = (F.row_number().over(Window.partitionBy(TRACE).orderBy(TIME)) - 1).cast("long")
+    wide = evaluate_many(items, signal).withColumn("t_idx", place)
+    rows = wide.select(TRACE, "t_idx", F.explode(F.array(*entries)).alias("e")).where("e.status IS NOT NULL")
+    return rows.select(F.concat_ws("-", "e.regime", TRACE).alias("pair_id"), "e.operators", "e.regime", "e.backend", "e.status", "e.exc", F.when(F.col("e.status") == "ok", F.col("t_idx")).alias("t_idx"), "e.rho")
 
 
 def _one(tool: str, text: str = FORMULA) -> str:
@@ -152,10 +156,8 @@ def trace_minima(spark, folder):
 
 @query(f"WITH v AS (SELECT trace_id, t, {', '.join(f'{t}.rho AS {t}' for t in TOOLS)} FROM {_one('native')} native JOIN {_one('breach')} breach USING (trace_id, t) JOIN {_one('taliro')} taliro USING (trace_id, t)) " + " UNION ALL ".join(f"SELECT '{t}' AS backend, avg(({t} < 0)::INT)::DOUBLE AS p_violated, avg((({t} < 0) = (breach < 0))::INT)::DOUBLE AS sign_agreement, max(CASE WHEN {t} = breach THEN 0 ELSE abs({t} - breach) END) AS max_abs_diff FROM v" for t in TOOLS))
 def agreement_summary(spark, folder):
-    wide = None
-    for tool in TOOLS:
-        part = _rho(spark, folder, tool).withColumnRenamed("rho", tool)
-        wide = part if wide is None else wide.join(part, [TRACE, TIME])
+    formula = parse_cached(FORMULA)
+    wide = evaluate_many({t: (formula, _backend(t)) for t in TOOLS}, events_signal(spark, folder))
     return analytics.agreement_summary(wide, TOOLS, "breach")
 
 
@@ -178,7 +180,7 @@ def align_to_times(spark, folder):
 @query(f"WITH s AS ({SIGNALS['events']}) SELECT w.trace_id, w.t, b.x AS value FROM (SELECT trace_id, t + 0.5::DOUBLE AS t FROM s) w ASOF LEFT JOIN (SELECT trace_id, t, x FROM s WHERE x > 20) b ON b.trace_id = w.trace_id AND b.t <= w.t")
 def pwc_asof_sample(spark, folder):
     s = events_signal(spark, folder).df
-    return analytics.stepwise_at(s.where("x > 20").select(TRACE, "t", F.col("x").alias("value")), s.select(TRACE, (F.col("t") + 0.5).alias("t")), [TRACE])
+    return split.stepwise_at(s.where("x > 20").select(TRACE, "t", F.col("x").alias("value")), s.select(TRACE, (F.col("t") + 0.5).alias("t")), [TRACE])
 
 
 @query(f"SELECT user_id AS trace_id, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY 1")
@@ -272,25 +274,6 @@ def boolean_plugin(spark, folder):
     return engine.robustness(parse_cached(FORMULA), events_signal(spark, folder), "boolean", registry=registry)
 
 
-#: Formulas with horizon and least upper bound, worked out by hand.
-ANALYSED = (
-    ("x >= 0", 0.0, float("inf")),
-    ("G[0,5]((x > 0) and F[0,2](y > 0))", 7.0, 2.0),
-    ("(x > 0) U[1,3] (F[2,4](y > 0))", 7.0, 3.0),
-    ("not F[0,1](G[0,1](F[0,0.5](x > 0)))", 2.5, 0.5),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', {h}::DOUBLE)" for f, h, _ in ANALYSED) + ") v(formula, horizon)")
-def horizon_table(spark, folder):
-    return spark.createDataFrame([(f, float(analysis.horizon(parse_cached(f)))) for f, _, _ in ANALYSED], "formula string, horizon double")
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{g}'::DOUBLE)" for f, _, g in ANALYSED) + ") v(formula, gap)")
-def required_max_gap_table(spark, folder):
-    return spark.createDataFrame([(f, float(analysis.required_max_gap(parse_cached(f)))) for f, _, _ in ANALYSED], "formula string, gap double")
-
-
 #: Random probes that the battery is picked from.
 PROBES = 48
 
@@ -307,72 +290,3 @@ def battery() -> tuple[tuple[str, list[float], dict[str, list[float]]], ...]:
 @cache
 def battery_signatures() -> dict[str, list[analytics.Signature]]:
     return {s.key: [analytics.probe_signature(*probe, profile_of(s)) for probe in battery()] for s in all_semantics()}
-
-
-@query()
-def semantics_quotient(spark, folder):
-    """All 192 points of the semantics space with the class that the battery puts them in."""
-    classes = analytics.equivalence_classes(battery_signatures())
-    points = {s.key: asdict(s) for s in all_semantics()}
-    rows = [(name, i, *points[name].values()) for i, c in enumerate(classes) for name in c]
-    return spark.createDataFrame(rows, "config string, class_id int, " + ", ".join(f"{a} string" for a in next(iter(points.values()))))
-
-
-#: Pairs of a formula and a trace for each seed, and the tools compared.
-FUZZ_PAIRS, FUZZ_SEEDS = 500, (0, 1, 2)
-FUZZ_TOOLS = ("native", "breach", "rtamt", "rtamt_dense", "pymtl", "stlcgpp", "taliro")
-
-
-@query()
-def fuzz_agreement(spark, folder):
-    found = generate.fuzz(spark, {t: PROFILES[t] for t in FUZZ_TOOLS}, FUZZ_PAIRS, FUZZ_SEEDS)
-    return analytics.scalar_matrix(found)
-
-
-@query("SELECT 'sweep' AS family, 41::BIGINT AS n, 21::BIGINT AS flips, 21 / 41 AS flip_rate")
-def verdict_sweep(spark, folder):
-    """Verdicts of two semantics over a family that sweeps its last sample."""
-    s = generate.sweep_family(spark, {"x": [1.0, 1.0, 0.0]}, "x", [0.0, 1.0, 2.0])
-    f = parse_cached("F[2,4](x >= 0)")
-    of = lambda t: engine.robustness(f, s, _backend(t)).where(F.col(TIME) == 1).select(F.lit("sweep").alias("family"), F.col(TRACE).alias("member"), (F.col("rho") >= 0).alias("sat"))
-    return analytics.flip_rate(of("rtamt"), of("stlcgpp"), ["member"])
-
-
-#: Diagnostics of a backend: axis, formula, times, values, sample that tells, and what each option shows there.
-DIAGNOSTICS = (
-    ("signal_model", "G[0,3](x <= 4)", [0, 2, 4], {"x": [1, 2, 6]}, 0, (("interpolated", 0.0), ("samples", 2.0))),
-    ("boundary", "G[3,5](x >= 1)", [0, 1, 2], {"x": [2, 7, 4]}, 0, (("clamp", 3.0), ("pessimistic", float("inf")))),
-    ("terminal", "x >= 1 or y >= 2", [0, 1, 2], {"x": [3, 5, 1], "y": [0, 1, 2]}, 2, (("none", 0.0), ("extend_penultimate", 4.0))),
-    ("equality", "x == y", [0, 1], {"x": [1, 4], "y": [1, 2.5]}, 1, (("signed", -1.5), ("bigm", -1e4))),
-    ("predicate", "3 * x + 4 * y >= 2", [0, 1], {"x": [2, 2], "y": [1, 1]}, 0, (("signed", 8.0), ("euclidean", 1.6))),
-    ("window", "F[1,3](x >= 2)", [0, 4, 5], {"x": [0, 8, 2]}, 0, (("endpoints", 4.0), ("begin", 0.0), ("empty", float("-inf")))),
-)
-
-
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('{b}', '{d}', '{x}')"
-        for b, found in (
-            ("native", ("interpolated", "clamp", "none", "signed", "signed", "endpoints")),
-            ("breach", ("samples", "clamp", "extend_penultimate", "bigm", "signed", "begin")),
-            ("taliro", ("samples", "pessimistic", "none", "NotImplementedError", "euclidean", "empty")),
-            ("rtamt", ("ValueError", "pessimistic", "none", "signed", "signed", "ValueError")),
-            ("stlcgpp", ("ValueError", "clamp", "none", "signed", "signed", "ValueError")),
-        )
-        for d, x in zip(("signal_model", "boundary", "terminal", "equality", "predicate", "window"), found, strict=True)
-    )
-    + ") v(backend, diagnostic, label)"
-)
-def backend_profile(spark, folder):
-    """What six small diagnostics show of each backend; expectations in SQL are stated by hand."""
-    rows = []
-    for tool in ("native", "breach", "taliro", "rtamt", "stlcgpp"):
-        for axis, text, times, values, sample, options in DIAGNOSTICS:
-            got = analytics.probe_signature(text, times, values, PROFILES[tool])
-            rows.append((tool, axis, float("nan") if got[:1] == ("raises",) else float(got[sample]), got[1] if got[:1] == ("raises",) else None))
-    df = spark.createDataFrame(rows, "backend string, diagnostic string, observed double, raised string")
-    label = F.lit("unknown")
-    for axis, *_, options in DIAGNOSTICS:
-        label = F.when(F.col("diagnostic") == axis, analytics.classify(F.col("observed"), options)).otherwise(label)
-    return df.select("backend", "diagnostic", F.coalesce("raised", label).alias("label"))

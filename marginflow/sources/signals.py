@@ -100,13 +100,19 @@ class SignalFrame:
 
     def samples_a_unit(self) -> float:
         """``density`` if it is given, else from one aggregation, which is kept."""
-        if self.density is not None:
-            return self.density
-        if "density" not in self._known:
+        return self.density if self.density is not None else self._measure()["density"]
+
+    def most_samples(self) -> int:
+        """Samples of the longest trace, from the same aggregation."""
+        return int(self._measure()["most"])
+
+    def _measure(self) -> dict[str, float]:
+        if "most" not in self._known:
             span = F.max(TIME) - F.min(TIME)
-            each = self.df.groupBy(TRACE).agg(F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("d"))
-            self._known["density"] = each.agg(F.max("d")).first()[0] or 0.0
-        return self._known["density"]
+            each = self.df.groupBy(TRACE).agg(F.count(F.lit(1)).alias("n"), F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("d"))
+            d, n = each.agg(F.max("d"), F.max("n")).first()
+            self._known.update(density=d or 0.0, most=n or 0)
+        return self._known
 
     def measured(self) -> SignalFrame:
         """The signal with its density."""
@@ -123,6 +129,14 @@ def events_signal(spark: SparkSession, folder: str) -> SignalFrame:
     return SignalFrame.from_columns(e.select(F.col("user_id").alias(TRACE), hours.alias(TIME), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y")))
 
 
+def streams_signal(spark: SparkSession, folder: str) -> SignalFrame:
+    """All events of a type as one trace: few and long. Events of one moment count by their greatest values."""
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    hours = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(3.6e9)
+    rows = e.groupBy("event_type", hours.alias(TIME)).agg(F.max("value").alias("x"), F.max(F.get_json_object("props", "$.k").cast("double")).alias("y"))
+    return SignalFrame.from_columns(rows, "event_type", TIME, ["x", "y"])
+
+
 def embeddings_signal(spark: SparkSession, folder: str) -> SignalFrame:
     """Embedding components in order: uniform and shared."""
     return SignalFrame.from_arrays(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", {"x": "embedding"})

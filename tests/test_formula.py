@@ -113,7 +113,7 @@ def test_text_of_random_formulas_reads_back():
 
     rng = random.Random(7)
     for _ in range(300):
-        f = random_formula(rng, 3, 4)
+        f = random_formula(rng, 3, 12)
         g = parse(str(f))
         # a negative constant reads as a product with -1
         assert ("-" in str(f) or str(g) == str(f)) and analysis.horizon(g) == analysis.horizon(f) and analysis.operators_in(g) == analysis.operators_in(f)

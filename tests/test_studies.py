@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginflow import Semantics, SignalFrame, evaluate, generic, parse
 from marginflow.operators.semantics import PROFILES, TOOL_POINTS, all_semantics, profile_of
-from marginflow.plans import analytics, generate, studies
+from marginflow.plans import analytics, generate, split, studies
 from marginflow.plans.diagnostics import localize, localize_results, responsible_axes
 from marginflow.plans.engine import ProfileBackend
 
@@ -90,7 +90,7 @@ def test_small_analytics(spark):
     times = spark.createDataFrame([(1, 0.04), (1, 0.5)], "k int, t double")
     assert [r.value for r in analytics.align_to_times(a, times, ["k"], 0.05).orderBy("t").collect()][0] == 1.0
     assert analytics.unmatched(a.where("k = 1"), times, ["k"], 0.05).count() == 1
-    held = analytics.stepwise_at(a.where("k = 1"), spark.createDataFrame([(1, -1.0), (1, 0.5), (1, 9.0)], "k int, t double"), ["k"])
+    held = split.stepwise_at(a.where("k = 1"), spark.createDataFrame([(1, -1.0), (1, 0.5), (1, 9.0)], "k int, t double"), ["k"])
     assert [r.value for r in held.orderBy("t").collect()] == [None, 1.0, 2.0]
     t = analytics.timing(spark.createDataFrame([("n", 4, 1000, 2.0)], "backend string, batch_size int, timesteps int, mean_ms double")).first()
     assert t.per_trace_ms == 0.5 and t.throughput_msts == pytest.approx(2.0)
@@ -111,7 +111,7 @@ def test_generators(spark):
         assert a == generate.random_signals(spark, 3, 50, 2, regime, 1).df.repartition(7).orderBy("trace_id", "t").collect() and len(a) == 150
     with pytest.raises(ValueError):
         generate.random_signals(spark, 1, 1, 1, "constant")
-    f, g = (generate.random_formula(random.Random(5), 2, 3, True) for _ in range(2))
+    f, g = (generate.random_formula(random.Random(5), 2, 9, True) for _ in range(2))
     assert str(f) == str(g)
     s = generate.sweep_family(spark, {"x": [1.0, 0.0]}, "x", [0, 1])
     assert s.df.count() == 82 and s.df.agg({"x": "min"}).first()[0] == -5
@@ -122,21 +122,21 @@ def test_fuzz_in_one_pass(spark):
     import random
 
     profiles = {t: PROFILES[t] for t in ("native", "taliro", "rtamt", "pymtl")}
-    found = generate.fuzz(spark, profiles, 40, (0, 1))
+    r = random.Random(8)
+    samples = {k: generate.random_samples(r, ["x0", "x1"], r.randint(8, 24), r.choice(generate.REGIMES)) for k in range(80)}
+    signals = spark.createDataFrame([(k, s["x0"], s["x1"]) for k, s in samples.items()], "trace_id long, x0 array<double>, x1 array<double>")
+    found = generate.fuzz(signals, profiles, 1)
     rows = found.collect()
     assert {r.status for r in rows} <= {"ok", "abstain"} and len({r.pair_id for r in rows}) == 80
     assert {r.exc for r in rows if r.status == "abstain"} >= {"NotImplementedError", "ValueError"}
     key = lambda r: (r.pair_id, r.backend, r.t_idx or 0)
-    again = generate.fuzz(spark, profiles, 40, (0, 1)).repartition(3).collect()
+    again = generate.fuzz(signals.repartition(3), profiles, 1).collect()
     assert [(*key(r), repr(r.rho)) for r in sorted(rows, key=key)] == [(*key(r), repr(r.rho)) for r in sorted(again, key=key)]
     for p in range(6):
-        rng = random.Random(f"0 {p}")
-        variables, regime, length = rng.randint(1, 3), rng.choice(generate.REGIMES), rng.randint(8, 32)
-        f = generate.random_formula(rng, variables, 3, True)
-        values = generate.random_samples(rng, [f"x{i}" for i in range(variables)], length, regime)
-        got = [r.rho for r in sorted(rows, key=key) if (r.pair_id, r.backend, r.status) == (f"0-{p}", "native", "ok")]
+        f = generate.random_formula(random.Random(f"1 {p}"), 2, 9, True)
+        got = [r.rho for r in sorted(rows, key=key) if (r.pair_id, r.backend, r.status) == (str(p), "native", "ok")]
         if got:
-            s = SignalFrame.from_dict(spark, list(range(length)), values)
+            s = SignalFrame.from_dict(spark, list(range(len(got))), samples[p])
             assert [r.rho for r in ProfileBackend("native", PROFILES["native"]).evaluate(f, s).robustness.orderBy("t").collect()] == pytest.approx(got, nan_ok=True)
     square = analytics.scalar_matrix(found).collect()
     ok = {}
@@ -145,43 +145,10 @@ def test_fuzz_in_one_pass(spark):
             ok.setdefault(r.backend, {})[r.pair_id] = r.rho
     for r in square:
         both = ok[r.backend_a].keys() & ok[r.backend_b].keys()
-        same = [x == y or abs(x - y) <= 1e-6 + 1e-6 * max(abs(x), abs(y)) for p in both for x, y in [(ok[r.backend_a][p], ok[r.backend_b][p])]]
+        same = [x == y or math.isfinite(x) and math.isfinite(y) and abs(x - y) <= 1e-6 + 1e-6 * max(abs(x), abs(y)) for p in both for x, y in [(ok[r.backend_a][p], ok[r.backend_b][p])]]
         assert r.agreement == pytest.approx(1.0 if r.backend_a == r.backend_b else sum(same) / len(same))
 
 
-@pytest.mark.parametrize("search", generate.SEARCHES)
-def test_falsification_finds_a_violation(spark, search):
-    start = spark.range(1).selectExpr("array(0D, 0D) AS x0")
-    simulate = lambda u: generate.integrate(spark, generate.spring(1.0, 0.1), u.crossJoin(start), 0.25, 6.0, ("p", "v"))
-    u, rho = generate.falsify(spark, simulate, parse("G[0,6](p <= 1.5)"), -1, 1, 4, population=16, generations=6, search=search)
-    assert rho < 0 and len(u) == 4 and all(-1 <= x <= 1 for x in u)
-
-
-def test_searches_close_in():
-    """Each search gets near the least value of a shifted bowl."""
-    import random
-
-    for search in generate.SEARCHES.values():
-        how, best = search(random.Random(1), -2.0, 2.0, 3, 24), math.inf
-        for _ in range(40):
-            us = how.ask()
-            scored = [((u[0] - 1) ** 2 + 4 * (u[1] + 0.5) ** 2 + (u[2] - u[0]) ** 2, u) for u in us]
-            best = min(best, min(scored)[0])
-            how.tell(scored)
-        assert best < 0.02, search
-
-
-def test_models(spark):
-    """Steady states, the lag of the throttle, and finer steps that agree."""
-    inputs = spark.createDataFrame([(0, [1.0], [0.0, 0.0])], "trace_id long, u array<double>, x0 array<double>")
-    last = lambda model, inner: generate.integrate(spark, model, inputs, 0.1, 60.0, ("a", "b"), inner).df.orderBy("t").collect()
-    speed, spring, levels = (last(m, 2) for m in (generate.vehicle(), generate.spring(), generate.tanks()))
-    assert len(speed) == 601 and 2.0 * 1.0 == pytest.approx(0.15 * speed[-1].a + 0.05 * speed[-1].a ** 2, abs=1e-6)
-    assert speed[4].b == pytest.approx(1 - math.exp(-1), abs=1e-4)
-    assert spring[-1].a == pytest.approx(0.25, abs=1e-4) and (levels[-1].a, levels[-1].b) == pytest.approx((4.0, 6.25), rel=0.02)
-    assert [r.a for r in last(generate.spring(), 8)] == pytest.approx([r.a for r in spring], abs=1e-5)
-
-
 def test_generic_sweep_in_spark(spark):
     """Every point of the space: values as the kernels give them on the driver, or the same refusal."""
     times, values = [0, 1, 2, 3], {"x": [1, -2, 3, 1], "y": [2, 0.5, -1, 4]}
