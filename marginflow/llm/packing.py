@@ -34,6 +34,8 @@ SENTENCE_PRICE, WORD_PRICE, SEQUENCE_PRICE = 8, 48, 4
 MEMO_BYTES = 224 << 20
 #: New words that are merged at once, and characters of texts that are looked through for them at once.
 MERGED_AT_ONCE, LEARNT_AT_ONCE = 1 << 14, 1 << 20
+#: Chunks from one cut to the next at least: shorter sentences stay with the next one.
+LEAST_CHUNKS = 16
 #: Signs at the end of a sentence's last chunk.
 SENTENCE_ENDS = ".!?…。！？"
 
@@ -125,16 +127,31 @@ class WordEncoder(Encoder):
         super().__init__(table)
         self.merger = Merger(table)
 
-    def learn(self, texts: list[str]) -> None:
-        """Remembers the chunks of these texts."""
-        if not self.merger.complete:
-            return
-        new: set[str] = set()
+    def read(self, texts: list[str | None]) -> list[list | None]:
+        """For each text its pieces as chunks and their ids, those of all texts that are new merged at once; None for
+        texts with special tokens or of over LEARNT_AT_ONCE characters, which ``sentences`` reads by itself."""
+        get, out, new = self.memo.get, [], set()
         for text in texts:
-            if self.special and self.special.search(text):
+            if not text or len(text) > LEARNT_AT_ONCE or not self.merger.complete or self.special and self.special.search(text):
+                out.append(None)
                 continue
+            pieces = []
             for piece in self._pieces(text):
-                new |= set(self._normal(piece)).difference(self.memo)
+                chunks = self._normal(piece)
+                ids = list(map(get, chunks))
+                if None in ids:
+                    new.update(c for c, x in zip(chunks, ids, strict=True) if x is None)
+                pieces.append((chunks, ids))
+            out.append(pieces)
+        found = self.learn(new)
+        for pieces in out:
+            for chunks, ids in pieces or ():
+                if None in ids:
+                    ids[:] = [found[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+        return out
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of these chunks, which are remembered."""
         found: dict[str, bytes] = {}
         mixed: list[str] = []
         fresh: list[list[tuple[str, bytes]]] = [[], [], []]
@@ -148,8 +165,6 @@ class WordEncoder(Encoder):
                 found[word] = b"".join(self._long(word))
 
         for chunk in new:
-            if len(chunk) > MEMO_CHARS:
-                continue
             if chunk.isalpha():
                 sort(chunk)
             elif (out := self.old.get(chunk)) is not None:
@@ -167,13 +182,20 @@ class WordEncoder(Encoder):
                 found.update(zip([w for w, _ in part], self.merger.merge([d for _, d in part]), strict=True))
         for chunk, words in zip(mixed, parts, strict=True):
             found[chunk] = b"".join([found[w] if w in found else self.memo[w] for w in words])
-        self.held += sum(len(w) + len(out) for w, out in found.items()) + 200 * len(found)  # and the objects' own size
-        self.memo.update(found)
+        kept = {c: x for c, x in found.items() if len(c) <= MEMO_CHARS}
+        self.held += sum(len(c) + len(x) for c, x in kept.items()) + 200 * len(kept)  # and the objects' own size
+        self.memo.update(kept)
         if 2 * self.held > MEMO_BYTES:
             self.old, self.memo, self.held = self.memo, {}, 0
-
-    def sentences(self, text: str | None):
-        """The text's ids in blocks of bytes, each with whether a sentence ends there."""
+        return found
+
+    def sentences(self, text: str | None, pieces: list | None = None):
+        """The text's ids in blocks of bytes, each with whether a sentence ends there. ``pieces``: what ``read`` made
+        of it."""
+        if pieces is not None:
+            for chunks, ids in pieces:
+                yield from self._blocks(chunks, ids)
+            return
         if not text:
             return
         parts = self.special.split(text) if self.special and self.special.search(text) else [text]
@@ -187,13 +209,16 @@ class WordEncoder(Encoder):
                     for c in chunks:
                         yield from ((b, False) for b in self._long(c))
                     continue
-                ids = [get(c) or self._chunk(c) for c in chunks]
-                at = 0
-                for i in [i for i, c in enumerate(chunks, 1) if c[-1] in SENTENCE_ENDS]:
-                    yield b"".join(ids[at:i]), True
-                    at = i
-                if at < len(ids):
-                    yield b"".join(ids[at:]), False
+                yield from self._blocks(chunks, [get(c) or self._chunk(c) for c in chunks])
+
+    def _blocks(self, chunks: list[str], ids: list[bytes]):
+        at = 0
+        for i in [i for i, c in enumerate(chunks, 1) if c[-1] in SENTENCE_ENDS]:
+            if i - at >= LEAST_CHUNKS:
+                yield b"".join(ids[at:i]), True
+                at = i
+        if at < len(ids):
+            yield b"".join(ids[at:]), chunks[-1][-1] in SENTENCE_ENDS
 
 
 def cut_places(sentences, end: int, stride: int = STRIDE) -> tuple[int, list[int], list[int]]:
@@ -236,21 +261,18 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(MergeTable(path))
 
 
-def learnt(encoder: WordEncoder, texts):
-    """The texts, of which the encoder has looked through so many at a time as it can hold."""
+def encoded(encoder: WordEncoder, texts):
+    """The sentences of each text, of which so many are read at a time as hold LEARNT_AT_ONCE characters."""
     held: list[str | None] = []
     size = 0
     for value in texts:
         text = value.as_py()
         if size + len(text or "") > LEARNT_AT_ONCE and held:
-            encoder.learn([t for t in held if t])
-            yield from held
+            yield from map(encoder.sentences, held, encoder.read(held))
             held, size = [], 0
         held.append(text)
         size += len(text or "")
-    if size <= LEARNT_AT_ONCE:  # a longer text is read in pieces
-        encoder.learn([t for t in held if t])
-    yield from held
+    yield from map(encoder.sentences, held, encoder.read(held))
 
 
 def segments(docs: DataFrame, path: str, end: int = 1, stride: int = STRIDE, text: str = "text") -> DataFrame:
@@ -267,8 +289,8 @@ def segments(docs: DataFrame, path: str, end: int = 1, stride: int = STRIDE, tex
         for batch in slices(batches):
             out: list[list] = [[] for _ in names]
             owner = []
-            for i, (row, text) in enumerate(zip(batch.column(1).to_pylist(), learnt(encoder, batch.column(2)), strict=True)):
-                n, places, crcs = cut_places(encoder.sentences(text), end, stride)
+            for i, (row, sentences) in enumerate(zip(batch.column(1).to_pylist(), encoded(encoder, batch.column(2)), strict=True)):
+                n, places, crcs = cut_places(sentences, end, stride)
                 start = begun = crc = seg = 0
                 for k, place in enumerate(places):
                     if k + 1 == len(places) or abs(places[k + 1]) - start > SEGMENT:
