@@ -6,6 +6,7 @@ next stage's docs. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,13 @@ def not_least(found: DataFrame) -> DataFrame:
     return checkpointed(found.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least < doc_id").select("doc_id"))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark remove shuffles and checkpoints that nothing refers to any more: its cleaner goes by the garbage
+    collectors of Python and of the JVM, which may not run for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component (five-word shingles, similarity of 0.8 or more), the one of
     the least id, once if it is repeated. Documents without an id can't be told from one another, so all of them stay.
@@ -61,6 +69,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for texts in [*([read(spark, sf_dir, "documents")] if sf_dir else []), docs]:
         gone = not_least(simhash.near_texts(texts.select("doc_id", "text"), only=ids))
         ids = checkpointed(ids.join(gone, "doc_id", "left_anti"))
+        del gone
+        let_go(spark)  # what the first judgement wrote would lie beside what the second writes
     kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
     # rows that share an id: the first in order of the row's hash; few ids have several
     again = checkpointed(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
