@@ -181,9 +181,9 @@ def license_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     said = F.flatten(F.transform("__ls", lambda x, i: F.transform(F.when(x == "|", F.array(F.lit("|"))).otherwise(F.filter(split(x), lambda w: w != "")), lambda w: F.struct(w.alias("w"), i.alias("line")))))
     rows = rows.select(*keep, "row", said.alias("__w"))
     found = F.filter(F.transform("__w", lambda x, i: F.when(near(x["w"]), i)), lambda i: i.isNotNull())
-    rows = rows.select(*keep, "row", "__w", F.explode(found).alias("__i"))
-    first = F.greatest(F.col("__i") - reach, F.lit(0))
-    rows = rows.select(*keep, "row", F.slice("__w", first + 1, F.col("__i") - first + reach + 1).alias("__w"))
+    # what lies in reach of an anchor is cut out before it becomes a row, so that no row holds the whole text
+    around = F.transform(found, lambda i: F.slice("__w", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1))
+    rows = rows.select(*keep, "row", F.explode(around).alias("__w"))
     rows = rows.select(*keep, "row", F.col("__w.line").alias("__at"), pairs(F.col("__w.w")).alias("__b"))
 
     def run(rank: int, name: str, own: list[str], most: int) -> Column:
@@ -244,8 +244,17 @@ def license_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     here = F.filter(F.transform("__b", lambda b, i: F.when(b.isin(sorted({p for p, _, _ in spots})), F.struct(b.alias("b"), i.alias("i")))), lambda x: x.isNotNull())
     known_spots = F.array(*[F.struct(F.lit(p).alias("b"), F.lit(k).alias("k"), F.lit(i).alias("o")) for p, k, i in spots])
     begins = lambda x: F.transform(F.filter(known_spots, lambda p: p["b"] == x["b"]), lambda p: F.struct(p["k"].alias("k"), (x["i"] - p["o"]).alias("start")))
-    # the same beginning from several places is looked at once
-    rows = rows.select(*keep, "row", "__at", "__b", F.explode(F.array_distinct(F.flatten(F.transform(here, begins)))).alias("__f"))
+    # the same beginning from several places is looked at once; what any window there can hold is cut out first
+    lengths = F.array(*[F.lit(n) for *_, n in known])
+
+    def cut(f: Column) -> Column:
+        base = F.greatest(f["start"] + min(SHIFTS), F.lit(0))
+        size = F.ceil(F.get(lengths, f["k"]) * max(LENGTHS)).cast("int") + (max(SHIFTS) - min(SHIFTS) + 2)
+        return F.struct(f["k"].alias("k"), f["start"].alias("start"), base.alias("base"), F.slice("__b", base + 1, size).alias("b"), F.slice("__at", base + 1, size).alias("at"))
+
+    starts = F.array_distinct(F.flatten(F.transform(here, begins)))
+    rows = rows.select(*keep, "row", F.explode(F.transform(starts, cut)).alias("__f"))
+    rows = rows.select(*keep, "row", "__f", F.col("__f.b").alias("__b"), F.col("__f.at").alias("__at"))
     of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("__f.k"))
     own = F.get(F.array(*[F.array(*map(F.lit, b)) for _, b, _, _ in known]), F.col("__f.k"))
     rows = rows.select(*keep, "row", "__at", "__b", "__f", own.alias("__own"), of([n for n, *_ in known]).alias("__name"), of([n for *_, n in known]).alias("__length"))
@@ -254,22 +263,23 @@ def license_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
         lo = F.greatest(F.col("__f.start") + shift, F.lit(0))
         size = F.greatest(F.round(F.col("__length") * part).cast("int") + F.least(F.col("__f.start") + shift, F.lit(0)), F.lit(0))
         # bound once, since a lambda's expressions are evaluated wherever they stand
-        common = F.transform(F.array(F.array_distinct(F.slice("__b", lo + 1, size))), lambda d: F.struct(F.size(F.array_intersect(d, F.col("__own"))).alias("c"), (F.size(d) + F.size("__own")).alias("n")))
+        common = F.transform(F.array(F.array_distinct(F.slice("__b", lo - F.col("__f.base") + 1, size))), lambda d: F.struct(F.size(F.array_intersect(d, F.col("__own"))).alias("c"), (F.size(d) + F.size("__own")).alias("n")))
         return F.get(F.transform(common, lambda x: F.when(2 * x["c"] >= threshold * x["n"], F.struct((2.0 * x["c"] / x["n"]).alias("dice"), (-F.col("__f.k")).alias("rank"), lo.alias("start")))), F.lit(0))
 
     tried = F.flatten(F.transform(F.array(*map(F.lit, SHIFTS)), lambda s: F.transform(F.array(*map(F.lit, LENGTHS)), lambda part: window(s, part))))
     scored = F.array_max(tried)
-    rows = rows.select(*keep, "row", "__at", "__name", scored.alias("__best")).where("__best IS NOT NULL")
-    return rows.select(*keep, "row", F.get("__at", F.col("__best.start")).alias("line"), F.col("__name").alias("license"), F.col("__best.dice").alias("dice"))
+    rows = rows.select(*keep, "row", "__at", "__f", "__name", scored.alias("__best")).where("__best IS NOT NULL")
+    return rows.select(*keep, "row", F.get("__at", F.col("__best.start") - F.col("__f.base")).alias("line"), F.col("__name").alias("license"), F.col("__best.dice").alias("dice"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each id with a licence notice or text: its licences in order, number of lines that are a notice or
     in which one begins, the greatest Dice coefficient and the first such line. Rows that share an id are taken
     together; a null id is an id."""
-    lines = license_lines(docs, (doc_id,), text, templates, threshold).withColumn("row", F.lit(None).cast("long"))
-    found = lines.unionByName(license_passages(docs, (doc_id,), text, templates, HEADERS, threshold))
-    found = found.unionByName(license_texts(docs, (doc_id,), text, TEXTS, threshold))
-    begun = F.size(F.collect_set(F.when(F.col("row").isNotNull(), F.struct("row", "line")))).cast("long")
-    n_lines = F.count(F.when(F.col("row").isNull(), 1)) + begun
+    hashed = docs.select(doc_id, text, F.xxhash64(text).alias("row"))
+    found = license_lines(hashed, (doc_id, "row"), text, templates, threshold).select(doc_id, "row", "line", "license", "dice")
+    for more in (license_passages(docs, (doc_id,), text, templates, HEADERS, threshold), license_texts(docs, (doc_id,), text, TEXTS, threshold)):
+        found = found.unionByName(more)
+    # a line that is a notice and in which a text begins counts once
+    n_lines = F.size(F.collect_set(F.struct("row", "line"))).cast("long")
     return found.groupBy(doc_id).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), n_lines.alias("n_lines"), F.max("dice").alias("dice"), F.min("line").cast("long").alias("first_line"))
