@@ -110,7 +110,8 @@ def _add(name: str, signal: str, text: str, backend: engine.ProfileBackend, prof
 
 
 for _name, _signal, _text, _profile in FORMULAS:
-    _add(_name, _signal, _text, _backend(_profile), PROFILES[_profile])
+    # few and long traces: in blocks
+    _add(_name, _signal, _text, engine.ProfileBackend(_profile, PROFILES[_profile], "blocks") if _signal == "streams" else _backend(_profile), PROFILES[_profile])
 for _name, _signal, _text, _point in GENERIC:
     _add(_name, _signal, _text, engine.generic(_point), profile_of(_point))
 # the resampled grid, stated for the half steps of these three

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("events", "embeddings", "orders"):
+    for t in ("events", "embeddings", "orders", "lineitem", "part", "supplier", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     return con
 
