@@ -290,3 +290,26 @@ def test_every_byte_can_reach_the_feature():
             loud[at] = level
             tried.append([a.tolist() for a in media.peaks(loud.tobytes())] != base)
         assert any(tried), at
+
+
+def test_copies_lose_their_text_and_then_go(spark, tmp_path):
+    """A document that is quoted for the most part loses the quotation, whatever its share; near copies, of which line
+    dedup leaves little, are known by the texts that they came with."""
+    r = random.Random(21)
+    say = lambda n: " ".join("".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 8))) for _ in range(n)) + ".\n"
+    passage = "".join(say(12) for _ in range(10))
+    first, quoting = passage + "".join(say(12) for _ in range(12)), "".join(say(11) for _ in range(4)) + passage
+    # every fifth line of the copy differs in a word
+    near = "".join(line if k % 5 else line.replace(line.split()[3], "altered", 1) for k, line in enumerate(first.splitlines(True)))
+    rows = [(1, first, "en", "s", 0), (2, quoting, "en", "s", 0), (3, near, "en", "s", 0), (4, first, "en", "s", 0), (5, say(40), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    lines = corpus_pipeline.line_stage(spark, docs, str(tmp_path))
+    left = {x.doc_id: x.text for x in lines.collect()}
+    assert left[1] == first and left[4] == "" and left[5] == rows[4][1]
+    assert not set(passage.splitlines()) & set(left[2].splitlines()) and set(quoting.splitlines()[:4]) <= set(left[2].splitlines())
+    assert len(left[3]) < len(near) / 2
+    kept = {x.doc_id for x in corpus_pipeline.near_stage(spark, lines, str(tmp_path)).collect()}
+    assert kept == {1, 2, 5}
+    # without the table, by what is left of them
+    assert {1, 2, 5} <= {x.doc_id for x in corpus_pipeline.near_stage(spark, lines, "").collect()}
